@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.llm import credentials as C
 from kbspark.llm import encode as E
+from kbspark.llm import generated as G
 from kbspark.llm import neighbours as N
 from kbspark.llm import split as S
 
@@ -27,11 +29,29 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return S.split(_table(spark, d, "index_file"), _table(spark, d, "recursive_chunker"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return G.find_unwritten(_table(spark, d, "index_file")).select("file_id").distinct()
+
+
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Kind of every file that was not written by hand."""
+    return G.find_unwritten(_table(spark, d, "index_file"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return C.find_credentials(_table(spark, d, "index_file")).select("file_id", "line_no").distinct()
+
+
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Contents with the values masked."""
+    return C.redact(_table(spark, d, "index_file"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return E.encode(_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_masked": p4_masked, "p7_ids": p7_ids}
 SQL = {
     "p2_found": """SELECT DISTINCT f.file_id, c.config_id FROM index_file f JOIN recursive_chunker c
 ON c.max_tokens > 0 AND (octet_length(encode(f.content)) + 3) // 4 > c.max_tokens""",
