@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kbspark.llm import credentials as C
 from kbspark.llm import encode as E
 from kbspark.llm import generated as G
+from kbspark.llm import leaks as L
 from kbspark.llm import neighbours as N
 from kbspark.llm import split as S
 
@@ -51,7 +52,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return E.encode(_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_masked": p4_masked, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return L.find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_masked": p4_masked, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL = {
     "p2_found": """SELECT DISTINCT f.file_id, c.config_id FROM index_file f JOIN recursive_chunker c
 ON c.max_tokens > 0 AND (octet_length(encode(f.content)) + 3) // 4 > c.max_tokens""",
