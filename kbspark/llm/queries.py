@@ -11,6 +11,7 @@ from kbspark.llm import generated as G
 from kbspark.llm import leaks as L
 from kbspark.llm import neighbours as N
 from kbspark.llm import split as S
+from kbspark.llm import truncated as T
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,7 +57,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return L.find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_masked": p4_masked, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return T.find_truncated(_table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    documents = _table(spark, d, "documents")
+    return T.truncation_rates(documents, T.find_truncated(documents))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_masked": p4_masked, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL = {
     "p2_found": """SELECT DISTINCT f.file_id, c.config_id FROM index_file f JOIN recursive_chunker c
 ON c.max_tokens > 0 AND (octet_length(encode(f.content)) + 3) // 4 > c.max_tokens""",
