@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.plans.spread import spread
+
 # Names, placeholders and formats.
 _STRONG = {"password", "passwd", "pwd", "passphrase", "secret", "apikey", "credential", "credentials", "bearer", "passcode", "pass", "senha", "contrasena", "clave", "passwort", "kennwort", "mdp", "motdepasse", "pw", "userpass", "dbpass", "authtoken", "accesstoken", "secretkey", "privatekey"}
 _WEAK = {"token", "key", "auth", "pat", "authorization", "cred", "creds", "signature", "salt", "dsn"}
@@ -294,7 +296,7 @@ def _masked(batches):
 
 
 def _input(files: DataFrame) -> DataFrame:
-    return files.select(F.col("file_id").cast("long").alias("_id"), F.col("rel_path").alias("_path"), F.col("content").alias("_text")).where("_text is not null")
+    return spread(files.select(F.col("file_id").cast("long").alias("_id"), F.col("rel_path").alias("_path"), F.col("content").alias("_text")).where("_text is not null"))
 
 
 def find_credentials(files: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.plans.spread import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,7 +166,7 @@ def _put_together(vocabulary: str):
 
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, long: int = LONG, leaf: int = LEAF) -> DataFrame:
     """``(doc_id, ids)`` for every row."""
-    d = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    d = spread(documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")))
     size = F.coalesce(F.length("_text"), F.lit(0))
     short = d.where(size <= long).mapInArrow(_encode_whole(vocabulary), "doc_id long, ids array<int>")
     big = d.where(size > long).groupBy("_id", F.sha2("_text", 256).alias("_hash")).agg(F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))

@@ -29,7 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kbspark.functions.globs import glob_regex
 from kbspark.plans.lineage import cut_lineage
+from kbspark.plans.spread import spread
 
 #: Line hashes kept per file, and the share of foreign ones (of at least so many) that makes a copy.
 SKETCH, FOREIGN_SHARE, FOREIGN_LEAST = 16, 0.5, 4
@@ -66,34 +68,6 @@ def clean_path(path: Column) -> Column:
 # -- attribute files ----------------------------------------------------------------------------------------------------
 
 
-def glob_regex(pattern: str) -> str:
-    """A pattern of an attribute file as a regular expression over the path below the file's directory."""
-    anchored = "/" in pattern.rstrip("/")[0:] and not pattern.startswith("**/")
-    p, out, i = pattern.lstrip("/").rstrip("/"), [], 0
-    while i < len(p):
-        c = p[i]
-        if p.startswith("**/", i):
-            out.append("(?:[^/]+/)*")
-            i += 3
-        elif p.startswith("**", i):
-            out.append(".*")
-            i += 2
-        elif c == "*":
-            out.append("[^/]*")
-            i += 1
-        elif c == "?":
-            out.append("[^/]")
-            i += 1
-        elif c == "[" and "]" in p[i + 2 :]:
-            j = p.index("]", i + 2)
-            out.append("[" + ("^" if p[i + 1] in "!^" else "") + p[i + 1 + (p[i + 1] in "!^") : j].replace("\\", "\\\\") + "]")
-            i = j + 1
-        else:
-            out.append(re.escape(c))
-            i += 1
-    return ("^" if anchored else "^(?:.*/)?") + "".join(out) + "$"
-
-
 def parse_attributes(text: str) -> list[tuple[int, str, str, bool]]:
     """``(line, regex, attribute, set)`` of the generated and vendored attributes of an attribute file."""
     rows = []
@@ -224,7 +198,7 @@ def find_unwritten(files: DataFrame) -> DataFrame:
     f = files.select(F.col("file_id").cast("long"), F.col("project"), clean_path(F.col("rel_path")).alias("path"), "content", F.col("received_at"), F.col("deleted_at"))
     verdicts = declared(f)
     per_file = verdicts.groupBy("file_id").agg(F.max("on").alias("on"))
-    feats = cut_lineage(f.where(F.trim(F.regexp_replace("content", r"\s", " ")) != "").mapInPandas(_features, "file_id long, project string, path string, kind string, sketch array<long>"))
+    feats = cut_lineage(spread(f.where(F.trim(F.regexp_replace("content", r"\s", " ")) != "")).mapInPandas(_features, "file_id long, project string, path string, kind string, sketch array<long>"))
     has_attrs = not verdicts.isEmpty()
     folders = F.slice(F.split(F.lower("path"), "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     usual = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in VENDOR_DIRS]))

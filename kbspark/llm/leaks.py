@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.plans.spread import spread
+
 K, WINDOW = 4, 3
 #: Share of an item's own words that must stand in a text as one stretch.
 SHARE = 0.5
@@ -212,7 +214,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     shared = it.where(F.instr(F.trim("text"), "\n") > 0).groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.size(F.split("head", r"\s+")) <= INSTRUCTION_WORDS))
     # an instruction serves several items, so there are fewer than half as many as items; the longest are of one line
     shared_first = {r["head"].strip() for r in shared.toLocalIterator()}
-    d = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null and _text <> ''")
+    d = spread(documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null and _text <> ''"))
     schema = "_id long, item_id long, stretch int, matched int, item_words int"
     out = spark.createDataFrame([], schema)
     ids, texts, size = [], [], 0

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.plans.spread import spread
+
 BYTES_PER_TOKEN = 4
 #: Configurations are read to the driver; more than so many are an error.
 MOST_CONFIGS = 1000
@@ -142,7 +144,7 @@ def split(items: DataFrame, configs: DataFrame, id_col: str = "file_id", text_co
     """
     known = read_configs(configs)
     least = min((limit for _, limit, _ in known), default=0) * BYTES_PER_TOKEN
-    rows = items.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
+    rows = spread(items.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null"))
     if not known:
         rows = rows.limit(0)
     if oversized:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kbspark.plans.lineage import cut_lineage
+from kbspark.plans.spread import spread
 
 #: A limit: at least so many texts, so many times the mean count of the lengths within NEAR, this share with open ends.
 LIMIT_LEAST, LIMIT_TIMES, LIMIT_OPEN, LIMIT_OF_SOURCE, NEAR = 6, 8.0, 0.5, 0.005, 60
@@ -192,7 +193,7 @@ def find_limits(feats: DataFrame) -> DataFrame:
 def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", kind_col: str = "doc_kind") -> DataFrame:
     """``(doc_id, source, reason)`` of the texts that were cut: at a limit, or by their ending."""
     d = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), F.col(kind_col).alias("_kind"), F.col(text_col).alias("_text"))
-    d = d.where(F.length(F.trim(F.regexp_replace("_text", r"\s+", " "))) > 0)
+    d = spread(d.where(F.length(F.trim(F.regexp_replace("_text", r"\s+", " "))) > 0))
     feats = cut_lineage(d.mapInPandas(_features, "_id long, _source string, sizes array<long>, hash long, state string, start string, w1 string, w2 string"))
     seen = d.select("_source", "_text").mapInPandas(_counts, "_source string, what string, w1 string, w2 string, stop boolean, n long")
     seen = cut_lineage(seen.groupBy("_source", "what", "w1", "w2").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("stops")))
