@@ -21,13 +21,18 @@ def sanitize(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without marks on Latin letters."""
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    low = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))  # ASCII has no marks
 
 
 def tokens(text: Column) -> Column:
     """Words of a text: runs of letters and digits, folded. Null and blank texts have none."""
-    words = F.split(F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w != "")
+    return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), 0), F.array().cast("array<string>"))
+
+
+def token_count(text: Column) -> Column:
+    """How many words ``tokens`` gives, without making them."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
 
 
 def content_hash(text: Column) -> Column:

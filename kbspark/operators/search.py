@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 from kbspark.config import Chunking, Search
 from kbspark.functions import scores, vectors
 from kbspark.functions import text as T
+from kbspark.plans.spread import spread
 
 BROADCAST_QUERIES = 10_000
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -25,9 +26,14 @@ IMPORTED = r"(?i)\b(?:use|from|import)\s+([a-zA-Z_][a-zA-Z0-9_:./]*)"
 IDENTIFIER = r"\b([A-Z][a-zA-Z0-9]+|[a-z]+(?:_[a-z]+)+)\b"
 
 
+def few(queries: DataFrame) -> bool:
+    """Whether a query set is small enough to broadcast; it is counted up to the bound only."""
+    return queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+
+
 def small(queries: DataFrame) -> DataFrame:
-    """The queries, marked for broadcast if they are few; they are counted up to the bound only."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+    """The queries, marked for broadcast if they are few."""
+    return F.broadcast(queries) if few(queries) else queries
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -36,18 +42,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    """``(id, buffer, terms, dl)`` of ``(id, buffer, text)``."""
-    return docs.select("id", "buffer", T.tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+    """``(id, buffer, terms, dl)`` of ``(id, buffer, text)``.
+
+    To be exploded with ``explode_outer``: for ``explode`` a filter on the words is pushed into the scan and splits every text twice.
+    """
+    return spread(docs.select("id", "buffer", "text")).select("id", "buffer", T.tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """``(id, buffer, dl, term, tf)``: the inverted index of ``(id, buffer, text)``."""
-    return tokenized(docs).select("id", "buffer", "dl", F.explode("terms").alias("term")).groupBy("id", "buffer", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tokenized(docs).select("id", "buffer", "dl", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("id", "buffer", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """``(n_docs, avg_dl)`` in one row."""
-    return tokenized(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return spread(docs.select("text")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(T.token_count(F.col("text"))).alias("avg_dl"))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -62,16 +71,18 @@ def bm25(queries: DataFrame, docs: DataFrame, mode: str = "or") -> DataFrame:
     several terms has none with all. Only the postings of query terms leave the scan; statistics cover all documents.
     """
     q = query_terms(queries)
-    wanted = small(q.select("term").distinct())
-    hits = tokenized(docs).select("id", "buffer", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("id", "buffer", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    bounded = few(q)  # and so is all that has one row per query term at most
+    mark = F.broadcast if bounded else (lambda x: x)
+    wanted = mark(q.select("term").distinct())
+    hits = tokenized(docs).select("id", "buffer", "dl", F.explode_outer("terms").alias("term")).join(wanted, "term").groupBy("id", "buffer", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(docs)
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weights = small(q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg_dl"))
+    weights = mark(q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg_dl"))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     scored = hits.join(weights, "term").groupBy("query_id", "id", "buffer").agg(F.sum(F.col("idf") * tf).alias("score"), F.count(F.lit(1)).alias("n_hit"))
     n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    out = scored.join(small(n), "query_id")
+    out = scored.join(mark(n), "query_id")
     if mode == "or":
         return out
     full = F.col("n_hit") == F.col("n_terms")
