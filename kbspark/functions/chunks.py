@@ -41,7 +41,7 @@ def chunk_lines(df: DataFrame, content: str, max_lines: int = 51, overlap: int =
     d = df.withColumn("_lines", text_lines(F.col(content)))
     n = F.size("_lines")
     starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(max_lines - overlap)), lambda i: (i == 0) | (i + overlap < n))
-    d = d.where(n > 0).select("*", F.posexplode(starts).alias("_no", "_start"))
+    d = d.where(n > 0).select("*", F.posexplode_outer(starts).alias("_no", "_start"))
     return d.withColumns(
         {"chunk_no": F.col("_no"), "line_start": F.col("_start") + 1, "line_end": F.least(F.col("_start") + max_lines, n), "text": F.array_join(F.slice("_lines", F.col("_start") + 1, max_lines), "\n")}
     ).drop("_lines", "_no", "_start")

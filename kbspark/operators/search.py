@@ -120,7 +120,7 @@ def entities(text: Column, path: Column, most: int = Chunking.max_entities) -> C
 
 def entity_index(chunks: DataFrame) -> DataFrame:
     """``(id, buffer, entity)`` of ``(id, buffer, path, text)``."""
-    return chunks.select("id", "buffer", F.explode(entities(F.col("text"), F.col("path"))).alias("entity"))
+    return chunks.select("id", "buffer", F.explode_outer(entities(F.col("text"), F.col("path"))).alias("entity")).where("entity is not null")
 
 
 def entity_search(queries: DataFrame, index: DataFrame) -> DataFrame:
