@@ -40,7 +40,7 @@ def _payload_ids(payload: Column, field: str) -> Column:
 def _flat(df: DataFrame, source: str, record: str, field: str, kind: str, at: str, values: Column, scope: Column, key) -> DataFrame:
     one = df.select(
         F.lit(source).alias("source_table"), F.col(record).cast("long").alias("record_id"), F.lit(field).alias("ref_field"),
-        F.explode(F.array_distinct(values)).alias("ref_value"), scope.alias("scope"), F.col(at).alias("at"),
+        F.explode_outer(F.array_distinct(values)).alias("ref_value"), scope.alias("scope"), F.col(at).alias("at"),
     ).where(F.trim(F.regexp_replace("ref_value", r"\s+", " ")) != "")
     return one.withColumns({"kind": F.lit(kind), "key": key(F.col("ref_value"))})
 
