@@ -160,7 +160,7 @@ def contract_fields(text: Column) -> Column:
     def field(name: str) -> Column:
         return F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1)), F.lit(""))
 
-    files = F.filter(F.transform(F.split(F.coalesce(field("files"), F.lit("")), ","), F.trim), lambda x: x != "")
+    files = F.filter(F.transform(F.split(F.coalesce(field("files"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     sections = F.regexp_extract_all(text, F.lit(r"(?m)^## +(.+?)\s*$"), 1)
     return F.struct(field("goal").alias("goal"), field("summary").alias("summary"), files.alias("files"), field("model").alias("model"), sections.alias("sections"))
 
