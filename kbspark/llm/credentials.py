@@ -49,7 +49,8 @@ _STRING = re.compile(r"""[bBrRuUf]{0,2}(?:\"\"\"(?P<t>.*?)\"\"\"|"(?P<d>(?:[^"\\
 _GLUE = re.compile(r"[ \t]*(?:\+|,|\.|&|<>|\\)?[ \t]*(?:\\?\r?\n[ \t]*(?:[/#*-]+[ \t]+)?)?(?:\+|\.)?[ \t]*(?=[bBrRuU]?[\"'`])")
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 _URL = re.compile(r"[A-Za-z][\w+.-]*://(?P<u>[^\s:/@\"'`<>]*):(?P<p>[^\s\"'`/<>]+)@(?=[\w.\[-])")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<b>.{0,400}?)(?:-----END|\Z)|-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<c>.{0,400})", re.S)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\\"'`,.:;#*_-]*")
 _HEADER = re.compile(r"""(?:authorization|x-[\w-]*(?:key|auth|token|secret)[\w-]*|api-key|cookie)["'`]?[ \t]*[:,=\]]+[ \t]*(?:=[ \t]*)?["'`]?(?:(?:bearer|basic|token|apikey)[ \t]+)?(?P<v>[^\s"'`,;)}]+)""", re.I)
 _SCHEME = re.compile(r"\b(?:Basic|Bearer)[ \t]+(?P<v>[A-Za-z0-9+/=_.~-]{8,})")
 _BASIC_ARG = re.compile(r"(?:^|\s)(?:-u|--user)[ =]?[\"']?(?P<u>[\w.@-]+):(?P<v>[^\s\"'`]+)")
@@ -57,7 +58,8 @@ _FLAG = re.compile(r"--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth-t
 _LOGIN = re.compile(r"\b(?:\w*login|connect|authenticate|auth|sign_?in|basic_?auth|set_?basic_?auth|credentials)\((?P<a>[^()\n]*)\)", re.I)
 _SQL = re.compile(r"(?:password|identified[ \t]+by)[ \t]+(?:by[ \t]+)?'(?P<v>[^'\n]+)'", re.I)
 _NETRC = re.compile(r"\blogin[ \t]+\S+[ \t]+password[ \t]+(?P<v>[^\s\"'`]+)", re.I)
-_PROSE = re.compile(r"[\w-]*(?:pass|pwd|secret|api_?key|credential|bearer|token|senha|_key|log in as|login as)\w*(?:[ \t]+`?[\w.-]+`?){0,6}?[ \t]+(?:is[ \t]+(?P<v>[^\s\"'`]+)|`(?P<w>[^`\s]+)`)", re.I)
+_PROSE = re.compile(r"[\w-]*(?:pass|pwd|secret|api_?key|credential|bearer|token|senha|_key)\w*(?:[ \t]+`?[\w.-]+`?){0,6}?[ \t]+(?:is[ \t]+(?P<v>[^\s\"'`]+)|`(?P<w>[^`\s]+)`)", re.I)
+_LOGIN_AS = re.compile(r"\blog ?in as `?[\w.@-]+`? with `?(?P<v>[^`\s]+)`?", re.I)
 _CONFIG = re.compile(r"(?:\.(?:ya?ml|env|sh|bash|toml|ini|cfg|conf|properties|md|txt|rst|sql|netrc|tf|dockerfile)|(?:^|/)\.env[^/]*|(?:^|/)dockerfile)$", re.I)
 _COMMENT = re.compile(r"^[ \t]*(?:#|//|--|/\*|\*|;|>|<!--)")
 _WORDY = re.compile(r"^[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]\d{2,4}$")
@@ -193,12 +195,12 @@ class _Reader:
         line = text[a:b]
         low = line.lower()
         if "-----begin" in low:
-            for m in _PEM.finditer(text, a, min(len(text), b + 500)):
-                if m.start() >= b:
-                    break
-                body = m["b"] if m["b"] is not None else m["c"]
-                if re.search(r"[A-Za-z0-9+/=]{24,}", body or ""):
-                    self.add([m.span()] if m["b"] is None else [(m.start(), m.end())])
+            for m in _PEM.finditer(text, a, b):
+                end, again = text.find("-----END", m.end()), text.find("-----BEGIN", m.end())
+                if end < 0 or 0 <= again < end:  # no end of its own
+                    end = _PEM_BODY.match(text, m.end(), again if again >= 0 else len(text)).end()
+                if re.search(r"[A-Za-z0-9+/=]{24,}", text[m.end() : end]):
+                    self.add([(m.start(), end)])
             return
         if "://" in line:
             for m in _URL.finditer(text, a, b):
@@ -212,7 +214,7 @@ class _Reader:
                 plain = _decoded(v)
                 if could_work(v, False) or _FORMAT.fullmatch(v) or plain and ":" in plain and could_work(plain.rpartition(":")[2], True):
                     self.add([(m.start("v"), m.start("v") + len(v))])
-        for rx in (_BASIC_ARG, _FLAG, _SQL, _NETRC):
+        for rx in (_BASIC_ARG, _FLAG, _SQL, _NETRC, _LOGIN_AS):
             for m in rx.finditer(text, a, b):
                 if could_work(m["v"], True):
                     self.add([m.span("v")])

@@ -41,8 +41,9 @@ MINE_SHARE, MINE_LEAST = 0.9, 20
 VENDOR_DIRS = ["node_modules", "bower_components", "vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "deps", "godeps", "contrib", "jspm_packages", "carthage", "pods", "site-packages"]
 GENERATED_PATH = r"(?:\.min\.(?:js|css|mjs)|\.bundle\.(?:js|css)|\.(?:pb|g|gen|generated|designer|freezed)\.\w+|_pb2(?:_grpc)?\.pyi?|_generated\.\w+|\.pb\.(?:go|cc|h)|\.(?:js|css|ts|mjs)\.map|(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|poetry\.lock|cargo\.lock|pnpm-lock\.yaml|composer\.lock|gemfile\.lock|pipfile\.lock|uv\.lock|go\.sum|flake\.lock|mix\.lock|podfile\.lock))$"
 _MARKER = re.compile(
-    r"@generated\b|<auto-?generated|auto-?generated (?:on|by|from|file|code|using|via)|\bgenerated (?:automatically )?(?:by|with|from|using|code|file)\b.*(?:edit|modify|change|overwrit|lost|\d+\.\d+)|(?:code|file|source|output|module|header|binding)s? (?:was |is |were |are |has been )?(?:auto(?:matically |-)?)?(?:generated|produced|created|emitted) (?:automatically )?(?:by|with|from|using)\b"
-    r"|machine[- ](?:made|generated|written) by|do not (?:edit|modify|change).{0,20}(?:by hand|manually|directly|this file)|produced by \S+.*(?:regenerate|from)|edit that file instead|regenerate with"
+    r"(?:^|\s)@generated\b|<auto-?generated|^auto-?generated\b|^(?:code |file |source )?(?:automatically |auto-?)?generated (?:automatically )?(?:by|with|from|using|on)\b"
+    r"|^(?:this|the) (?:\w+ ){0,2}(?:file|code|module|source|output|header|document|class|binding)s? (?:was|is|were|are|has been|have been) (?:automatically |auto-?)?(?:generated|produced|created|emitted) (?:automatically )?(?:by|with|from|using)\b"
+    r"|^machine[- ](?:made|generated|written) by|^produced by \S+.*(?:regenerate|from)|edit that file instead|regenerate with|changes? (?:will be|are) (?:lost|overwritten)|change is overwritten|(?-i:DO NOT (?:EDIT|MODIFY))"
     r"|\bgerad[oa] (?:automaticamente )?por\b.*n[ãa]o edite|wurde von \S+ (?:erzeugt|generiert)|automatisch (?:erzeugt|generiert)|generad[oa] (?:autom[áa]ticamente )?por\b.*no (?:lo )?edit|g[ée]n[ée]r[ée]e? (?:automatiquement )?par\b.*ne pas",
     re.I,
 )

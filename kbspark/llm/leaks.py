@@ -118,8 +118,8 @@ def stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
         best = v[i - 1, :-1] + np.where(hit, 2 * one + 1, -one)
         row = v[i]
         np.maximum(best, v[i - 1, 1:] - one, out=row[1:])
-        np.maximum(row, 0, out=row)
-        np.maximum(np.maximum.accumulate(row + steps) - steps, 0, out=row)
+        row[:] = np.maximum.accumulate(row + steps) - steps
+        row[row < one] = 0  # a path without a score is none
     i, j = np.unravel_index(int(v.argmax()), v.shape)
     last, first, matched = i, i, int(v[i, j]) & (one - 1)
     while i and j and v[i, j] >= one:
