@@ -55,6 +55,7 @@ _HEADER = re.compile(r"""(?:authorization|x-[\w-]*(?:key|auth|token|secret)[\w-]
 _SCHEME = re.compile(r"\b(?:Basic|Bearer)[ \t]+(?P<v>[A-Za-z0-9+/=_.~-]{8,})")
 _BASIC_ARG = re.compile(r"(?:^|\s)(?:-u|--user)[ =]?[\"']?(?P<u>[\w.@-]+):(?P<v>[^\s\"'`]+)")
 _FLAG = re.compile(r"--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth-token|access-token|client-secret)[ =][\"']?(?P<v>[^\s\"'`]+)", re.I)
+_P_ARG = re.compile(r"(?:^|\s)-u[ =]?\S+\s+(?:-[a-z]\s+\S+\s+)*-p(?P<v>[^\s\"'`]+)")
 _LOGIN = re.compile(r"\b(?:\w*login|connect|authenticate|auth|sign_?in|basic_?auth|set_?basic_?auth|credentials)\((?P<a>[^()\n]*)\)", re.I)
 _SQL = re.compile(r"(?:password|identified[ \t]+by)[ \t]+(?:by[ \t]+)?'(?P<v>[^'\n]+)'", re.I)
 _NETRC = re.compile(r"\blogin[ \t]+\S+[ \t]+password[ \t]+(?P<v>[^\s\"'`]+)", re.I)
@@ -107,7 +108,7 @@ def could_work(v: str, certain: bool) -> bool:
         return any(c.isdigit() for c in v) or _mixed(v) >= (2 if v.isalpha() else 3)
     if re.fullmatch(r"[0-9a-fA-F]{16,}", v):
         return len(v) in (32, 48, 64) or len(v) >= 24
-    return len(v) >= 10 and any(c.isdigit() for c in v) and _mixed(v) >= 3 and not re.fullmatch(r"[A-Za-z_]+\d{1,3}", v)
+    return len(v) >= 10 and any(c.isdigit() for c in v) and _mixed(v) >= 3 and not (len(v) < 20 and re.fullmatch(r"[A-Za-z_]+\d{1,3}", v))
 
 
 def _decoded(v: str) -> str | None:
@@ -145,13 +146,13 @@ class _Reader:
         return value, spans
 
     def assigned(self, pos: int, op: str, rank: int, comment: bool) -> None:
-        text, wrapped, here = self.text, False, pos
+        text, wrapped, crossed, here = self.text, False, False, pos
         for _ in range(4):
             c = _CONTINUE.match(text, here)
             if c and (op != ","):
                 wrapped |= c[0].lstrip()[:1] in ("(",)
                 block = c[0].lstrip()[:1] in (">", "|") or c[0].lstrip()[:1] == "\\"
-                here = c.end()
+                here, crossed = c.end(), True
                 if block:
                     b = _BARE.match(text, here)
                     if b and could_work(b[0], rank == 2):
@@ -175,7 +176,7 @@ class _Reader:
                     spans = [(spans[0][1] - len(v), spans[0][1])]
                 self.add(spans)
             return
-        if op == "," or wrapped and not comment:
+        if op == "," or crossed or wrapped and not comment:
             return
         if self.config or comment or op == "=" and text[max(0, pos - 2) : pos] == "==":
             m = re.compile(r"(?:(?:Basic|Bearer|Token)[ \t]+)?", re.I).match(text, here)
@@ -214,7 +215,7 @@ class _Reader:
                 plain = _decoded(v)
                 if could_work(v, False) or _FORMAT.fullmatch(v) or plain and ":" in plain and could_work(plain.rpartition(":")[2], True):
                     self.add([(m.start("v"), m.start("v") + len(v))])
-        for rx in (_BASIC_ARG, _FLAG, _SQL, _NETRC, _LOGIN_AS):
+        for rx in (_BASIC_ARG, _P_ARG, _FLAG, _SQL, _NETRC, _LOGIN_AS):
             for m in rx.finditer(text, a, b):
                 if could_work(m["v"], True):
                     self.add([m.span("v")])
@@ -241,7 +242,7 @@ class _Reader:
             for m in _PROSE.finditer(text, a, b):
                 k = "v" if m["v"] else "w"
                 v = m[k].rstrip(".,;:")
-                if could_work(v, True) and (_mixed(v) >= 3 or _WORDY.match(v)) and not re.fullmatch(r"[a-z_]+\(?\)?", v):
+                if could_work(v, True) and (_mixed(v) >= 3 or _WORDY.match(v) or re.fullmatch(r"[0-9a-f]{24,}", v)) and not re.fullmatch(r"[a-z_]+\(?\)?", v):
                     self.add([(m.start(k), m.start(k) + len(v))])
         for m in _FORMAT.finditer(text, a, b):
             if not _PLACEHOLDER.match(m[0]):

@@ -25,13 +25,15 @@ HIT = [
     ('os.Setenv("WEBHOOK_SECRET", "ttlHsgECshFVfYT3qePkNR")', "a.go"),
     ("> quin: the senha for the box is gauge-cached-91", "a.md"),
     ("Log in as `pell` with `RemoteGlossary3429?` on db.", "a.md"),
+    ("dbshell -h db.example -u nesh -proot-fresh-72 main", "a.sh"),
+    ('.header("authorization", "jKjiUorNvoDboFNjTSMKpNIaAhl0")', "a.rs"),
     ('#define DB_PASS "7PvKfGd3m3zAhXx7uX!"', "a.h"),
 ]
 MISS = [
     ('let password_count: usize = 941;', "a.rs"), ('passphrase = "<your-key-here>"', "a.py"), ("api_key: ${API_KEY}", "a.yaml"), ('secret = os.environ["SECRET"]', "a.py"), ('pwd = getpass("pwd: ")', "a.py"),
     ("apiKeyLabel: 'Enter your api_key',", "a.ts"), ('"passphraseEnv": "PASSPHRASE",', "a.json"), ("UPDATE users SET token_hash = :hash;", "a.sql"), ('checksum = "387bc4fd0b9ca4307490834d82b5b5ed"', "a.toml"),
     ("secret: !vault memory/glossary", "a.yaml"), ("bearer: xxxxxxxxxxxxxxxx", "a.yaml"), ("DATABASE_URL=postgres://app:${DB_PASS}@x.test/m", ".env"), ("API_KEY_FILE=/run/secrets/api_key", ".env"), ("-----BEGIN PUBLIC KEY-----", "a.pem"),
-    ("Set `BEARER` to YOUR_BEARER before the first run.", "a.md"), ("const password = process.env.PASSWORD;", "a.ts"), ('const credential = "";', "a.ts"), ("max_tokens = 364", "a.toml"), ("password", None), ("", None),
+    ("Set `BEARER` to YOUR_BEARER before the first run.", "a.md"), ("const password = process.env.PASSWORD;", "a.ts"), ('const credential = "";', "a.ts"), ("max_tokens = 364", "a.toml"), ("CREDENTIAL=\nPASSWORD=<insert token>", ".env"), ("password", None), ("", None),
 ]
 
 
