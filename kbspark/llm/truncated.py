@@ -74,6 +74,10 @@ def _norm(w: str) -> str:
     return "<n>" if w.isdigit() else w.lower()
 
 
+#: Characters that a closing line has at most; nor is the only line of a text one.
+CLOSING_CHARS = 80
+
+
 def line_start(line: str) -> str:
     """How a line begins: its first two words or signs, names reduced."""
     t = re.findall(r"\w+|[^\w\s]+", line.strip()[:120])[:2]
@@ -87,9 +91,9 @@ def _listed(line: str) -> bool:
 
 
 def ending(text: str, code: bool) -> tuple[str, str, str, str]:
-    """``(state, start of the last line, word before the last, last word)``: state is open, ask, word, or closed.
+    """``(state, start of the last line, word before the last, last word)``: state is cut, open, ask, word, or closed.
 
-    open: cut unless the line is a closing one; ask: the last words decide; word: the last word must be a known one;
+    cut: within a block, row or bracket; open: cut unless the line is a closing one; ask: the last words decide; word: the last word must be a known one;
     closed: an end sign, cut only at a limit.
     """
     tail = text.rstrip()
@@ -99,7 +103,7 @@ def ending(text: str, code: bool) -> tuple[str, str, str, str]:
     if not tail:
         return "closed", "", "", ""
     line = tail[tail.rfind("\n") + 1 :]
-    start = line_start(line)
+    start = line_start(line) if "\n" in tail and len(line) <= CLOSING_CHARS else ""
     words = _WORD.findall(line)[-2:]
     last = _norm(words[-1]) if words else ""
     before = _norm(words[-2]) if len(words) > 1 else "^"
@@ -107,27 +111,27 @@ def ending(text: str, code: bool) -> tuple[str, str, str, str]:
         return "open", start, before, last
     fences = len(re.findall(r"^\s*(?:```|~~~)", tail, re.M))
     if fences % 2:
-        return "open", start, before, last
+        return "cut", start, before, last
     s = line.strip()
     if s.startswith(("```", "~~~")):
         return "closed", start, before, last
     if s.startswith("|"):
         rows = tail[: tail.rfind("\n") + 1].rstrip("\n").rsplit("\n", 1)[-1].strip() if "\n" in tail else ""
         whole = s.endswith("|") and len(s) > 1 and (not rows.startswith("|") or rows.count("|") == s.count("|"))
-        return ("closed" if whole else "open"), start, before, last
+        return ("closed" if whole else "cut"), start, before, last
     if code:
         bare = _STRINGS.sub("", tail)
         if any(bare.count(a) > bare.count(b) for a, b in zip(_OPEN, _CLOSE, strict=True)):
-            return "open", start, before, last
+            return "cut", start, before, last
         return ("word" if s[-1].isalnum() or s[-1] == "_" else "closed"), start, before, last
     if re.match(r"#{1,6}\s", s):
-        return "open", start, before, last
+        return "cut", start, before, last
     if _STOP.search(s):
         if s[-1] == "." and len(s) > 1 and s[-2].isdigit() and not _LIST.match(line):
             return "ask", start, before, last
         return "closed", start, before, last
     if s.count("(") > s.count(")") or s.count("`") % 2:
-        return "open", start, before, last
+        return "cut", start, before, last
     key, listed = bool(_KEY.match(line)), _listed(line)
     if s[-1] in ")]}>" and (key or listed or s[0] in "([{<"):
         return "closed", start, before, last
@@ -159,7 +163,7 @@ def _counts(batches):
             for line in text[:end].split("\n"):
                 stop_at = at + len(line)
                 at = stop_at + 1
-                pairs[source, "line", line_start(line), "", stop_at >= end] += 1
+                pairs[source, "line", line_start(line), "", stop_at >= end and stop_at > len(line) and len(line) <= CLOSING_CHARS] += 1
                 prev, what = "^", "listed" if _listed(line) else "running"
                 ms = list(_WORD.finditer(line))
                 for i, m in enumerate(ms):
@@ -215,7 +219,7 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     known = F.coalesce("pn", F.lit(0)) >= PAIR_LEAST
     proper = F.when(F.col("state") == "word", F.coalesce("un", F.lit(0)) >= 2).when(known, F.col("ps") >= STOP_SHARE * F.col("pn")).otherwise(F.coalesce(F.col("us") >= STOP_SHARE * F.col("un"), F.lit(False)))
     closed = F.coalesce("closing", "anywhere", F.lit(False))
-    reason = F.when(closed | (F.col("state") == "closed"), None).when(F.col("state") == "open", "open").when(~proper, "words")
+    reason = F.when(F.col("state") == "cut", "block").when(closed | (F.col("state") == "closed"), None).when(F.col("state") == "open", "open").when(~proper, "words")
     ends = cut_lineage(ends.select("_id", "_source", "sizes", "hash", reason.alias("reason")).withColumn("cut", F.col("reason").isNotNull()))
     out = _with_limits(ends, find_limits(ends)).withColumn("reason", F.when(F.col("at_limit"), "limit").otherwise(F.col("reason")))
     return out.where("reason is not null").select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "reason")

@@ -19,9 +19,9 @@ def test_lengths(t):
 @pytest.mark.parametrize(
     "text,code,state",
     [
-        ("All is well.", False, "closed"), ("All is we", False, "open"), ("Is it?\n", False, "closed"), ("It was cut…", False, "open"), ("It was cut [truncated]", False, "open"), ("a\n```\ncode\n```", False, "closed"), ("a\n```\ncode.", False, "open"),
-        ("| a | b |\n| c | d |", False, "closed"), ("| a | b |\n| c |", False, "open"), ("| a | b |\n| c", False, "open"), ("- one\n- two", False, "ask"), ("2024-01-01T00:00:00Z INFO x done", False, "ask"), ("# Title\n\n## Next", False, "open"),
-        ("fn a() {\n}\n", True, "closed"), ("fn a() {\n  b(", True, "open"), ("def f():\n    return x", True, "word"), ("Status: open", False, "word"), ("it took 7.", False, "ask"), ("see (note", False, "open"), ("", False, "closed"), ("…", False, "closed"),
+        ("All is well.", False, "closed"), ("All is we", False, "open"), ("Is it?\n", False, "closed"), ("It was cut…", False, "open"), ("It was cut [truncated]", False, "open"), ("a\n```\ncode\n```", False, "closed"), ("a\n```\ncode.", False, "cut"),
+        ("| a | b |\n| c | d |", False, "closed"), ("| a | b |\n| c |", False, "cut"), ("| a | b |\n| c", False, "cut"), ("- one\n- two", False, "ask"), ("2024-01-01T00:00:00Z INFO x done", False, "ask"), ("# Title\n\n## Next", False, "cut"),
+        ("fn a() {\n}\n", True, "closed"), ("fn a() {\n  b(", True, "cut"), ("def f():\n    return x", True, "word"), ("Status: open", False, "word"), ("it took 7.", False, "ask"), ("see (note", False, "cut"), ("", False, "closed"), ("…", False, "closed"),
     ],
 )
 def test_endings(text, code, state):
