@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from kbspark.functions import scores
 from kbspark.functions import text as T
+from kbspark.operators.search import small
 
 
 def exact_hits(questions: DataFrame, entries: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def nearest(questions: DataFrame, entries: DataFrame) -> DataFrame:
     """``(query_id, id, similarity, jaccard)``: the most similar live entry of the same project for a stated set of questions."""
     q = questions.select("query_id", "project", F.array_distinct(T.tokens(F.col("question"))).alias("_q"))
     e = entries.where("not stale").select("id", "project", F.array_distinct(T.tokens(F.col("question"))).alias("_e"))
-    s = e.join(q, "project").select("query_id", "id", F.round(overlap(F.col("_q"), F.col("_e")), 6).alias("similarity"), F.round(scores.jaccard(F.col("_q"), F.col("_e")), 6).alias("jaccard"))
+    s = e.join(small(q), "project").select("query_id", "id", F.round(overlap(F.col("_q"), F.col("_e")), 6).alias("similarity"), F.round(scores.jaccard(F.col("_q"), F.col("_e")), 6).alias("jaccard"))
     w = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return s.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
 

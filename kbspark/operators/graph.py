@@ -17,15 +17,21 @@ from kbspark.config import Cascade, Quorum
 from kbspark.plans.lineage import cut_lineage
 
 
-def parents(nodes: DataFrame) -> DataFrame:
+def parents(nodes: DataFrame, stretch: int = 100_000) -> DataFrame:
     """``(child, parent)``: the node one level up in the same project with the greatest id below, else none.
 
-    One ordered pass per project; nodes are ``(id, project, level)``.
+    Nodes are ``(id, project, level)``. The ordered pass runs over stretches of ids of a project, and the last node of each
+    level is carried over from the stretches before, so a project may hold any share of the nodes.
     """
-    w = W.partitionBy("project").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    up = {n: F.last(F.when(F.col("level") == n, F.col("id")), ignorenulls=True).over(w) for n in (2, 3)}
-    parent = F.when(F.col("level") == 1, up[2]).when(F.col("level") == 2, up[3])
-    return nodes.withColumn("parent", parent).where("parent is not null").select(F.col("id").alias("child"), "parent")
+    n = nodes.select("id", "project", "level").withColumn("s", F.floor(F.col("id") / stretch))
+    w = W.partitionBy("project", "s").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
+    tops = n.groupBy("project", "s").agg(*[F.max(F.when(F.col("level") == v, F.col("id"))).alias(f"top{v}") for v in (2, 3)])
+    before = W.partitionBy("project").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    carried = tops.select(F.col("project").alias("_p"), F.col("s").alias("_s"), *[F.max(f"top{v}").over(before).alias(f"c{v}") for v in (2, 3)])
+    n = n.withColumns({f"up{v}": F.max(F.when(F.col("level") == v, F.col("id"))).over(w) for v in (2, 3)})
+    n = n.join(carried, F.col("project").eqNullSafe(F.col("_p")) & (F.col("s") == F.col("_s")))
+    parent = F.when(F.col("level") == 1, F.coalesce("up2", "c2")).when(F.col("level") == 2, F.coalesce("up3", "c3"))
+    return n.withColumn("parent", parent).where("parent is not null").select(F.col("id").alias("child"), "parent")
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:

@@ -13,14 +13,11 @@ empty input gives an empty history. Further columns of the inputs are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kbspark.plans.lineage import cut_lineage
-from kbspark.plans.skew import anti_join_skewed, heavy_keys  # noqa: F401
 
 #: Version numbers per block; each block begins with a full copy.
 BLOCK = 16
@@ -82,8 +79,8 @@ def chain_members(links: DataFrame) -> DataFrame:
     A row that many others point to is a skewed join key, which adaptive execution splits. Rows with a null id are left
     out; if an id is repeated its smallest valid link counts.
     """
-    ids = links.select("id", "superseded_by").where("id is not null").groupBy("id").agg(F.collect_set("superseded_by").alias("to"))
-    pairs = ids.select("id", F.explode("to").alias("to")).where("to <> id")
+    rows = links.select("id", F.col("superseded_by").alias("to")).where("id is not null")
+    ids, pairs = rows.select("id").distinct(), rows.where("to <> id").distinct()
     real = pairs.join(ids.select(F.col("id").alias("to")), "to", "left_semi")
     real = cut_lineage(real.groupBy("id").agg(F.min("to").alias("to"), F.count(F.lit(1)).alias("n")).select("id", "to"))
     ends = real.select(F.col("to").alias("id")).distinct().join(real, "id", "left_anti")
@@ -105,15 +102,10 @@ def chain_members(links: DataFrame) -> DataFrame:
     named = state.where("done").select("id", "low", F.col("to").alias("root")).unionByName(at)
     low = named.groupBy("root").agg(F.min("low").alias("entity_key"))
     linked = named.join(low, "root").select("id", "entity_key")
-    alone = ids.select("id").join(linked, "id", "left_anti").select("id", F.col("id").alias("entity_key"))
+    alone = ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("entity_key"))
     return linked.unionByName(alone)
 
 
-def rounds_needed(longest: int) -> int:
-    """Doubling rounds for a chain of so many links."""
-    return max(1, math.ceil(math.log2(max(longest, 2))))
-
-
 CHUNK_ATTRIBUTES = ["text", "file_path", "start_line", "end_line", "created_by", "model"]
 EXPLORATION_ATTRIBUTES = ["goal", "summary", "status", "created_by", "model"]
 ATTRIBUTES = [*CHUNK_ATTRIBUTES, "goal", "summary", "status"]

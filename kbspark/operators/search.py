@@ -88,8 +88,8 @@ def bm25(queries: DataFrame, docs: DataFrame, mode: str = "or") -> DataFrame:
     full = F.col("n_hit") == F.col("n_terms")
     if mode == "and":
         return out.where(full)
-    any_full = F.max(full).over(W.partitionBy("query_id"))
-    return out.withColumn("_any", any_full).where(full | (~F.col("_any") & (F.col("n_terms") > 1))).drop("_any")
+    some = out.where(full).select("query_id").distinct().withColumn("_full", F.lit(True))
+    return out.join(mark(some), "query_id", "left").where(full | (F.col("_full").isNull() & (F.col("n_terms") > 1))).drop("_full")
 
 
 def top_k(ranked: DataFrame, k: int, by: list[str] = ("query_id",), score: str = "score", id_col: str = "id") -> DataFrame:

@@ -109,6 +109,17 @@ def test_graph(spark):
     assert {tuple(x) for x in G.claims(jobs, w, spark.createDataFrame([(1, 0)], "worker long, job_id long")).collect()} == {(2, 2)}
 
 
+def test_parents_over_stretches(spark):
+    rows = [(i, "p", 1 + (i * 7) % 3) for i in range(60)] + [(100 + i, None, 1 + i % 3) for i in range(5)]
+    want, last = set(), {}
+    for i, p, v in sorted(rows):
+        if v < 3 and (p, v + 1) in last:
+            want.add((i, last[p, v + 1]))
+        last[p, v] = i
+    for stretch in (3, 10, 1000):
+        assert {tuple(r) for r in G.parents(spark.createDataFrame(rows, "id long, project string, level int"), stretch).collect()} == want
+
+
 def test_cache(spark):
     e = spark.createDataFrame([(1, "p", "How to?", ["a"], 3, 0, False), (2, "p", "how TO?", ["b"], 1, 0, False), (3, "p", "old", ["c"], 0, 0, True), (4, "q", None, None, 0, 0, False)], "id long, project string, question string, hashes array<string>, access_count int, used_ms long, stale boolean")
     q = spark.createDataFrame([(1, "p", "howto?"), (2, "p", "old"), (3, "q", None)], "query_id long, project string, question string")
