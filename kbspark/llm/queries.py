@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kbspark.llm import credentials as C
 from kbspark.llm import encode as E
 from kbspark.llm import generated as G
+from kbspark.llm import graph_search as GS
 from kbspark.llm import leaks as L
 from kbspark.llm import neighbours as N
 from kbspark.llm import split as S
@@ -22,6 +23,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return N.similar_pairs(_table(spark, d, "embedding_cache"))
 
 
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar distinct vectors for every vector whose id is divisible by 50, by greedy search in the graph."""
+    vectors = N.live_vectors(_table(spark, d, "embedding_cache"))
+    graph, placed, trees = N.neighbour_graph(vectors)
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
+    return GS.graph_search(asked, graph, placed, trees)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = S.split(_table(spark, d, "index_file"), _table(spark, d, "recursive_chunker"), with_text=False, oversized=True)
     return pieces.where("piece = 1").select("file_id", "config_id").distinct()
@@ -67,7 +76,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return T.truncation_rates(documents, T.find_truncated(documents))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_masked": p4_masked, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_masked": p4_masked, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL = {
     "p2_found": """SELECT DISTINCT f.file_id, c.config_id FROM index_file f JOIN recursive_chunker c
 ON c.max_tokens > 0 AND (octet_length(encode(f.content)) + 3) // 4 > c.max_tokens""",
