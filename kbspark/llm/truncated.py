@@ -45,6 +45,7 @@ _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s")
 _LOG = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 _KEY = re.compile(r"^\s*[\w.-]{1,30}\s*[:=]\s*\S{0,40}$")
 _NEXT = re.compile(r"[`'\"”’»)\]*_]*(?:$|[.?!;|。！？\r])")
+_FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
 _CODE_LINE = re.compile(r"^\s*(?:def|class|import|from \w+ import|return|fn|pub|use \w+::|let|const|func|package|export|static|for \w+ in|if .*[:{]$|\})", re.M)
 _OPEN, _CLOSE = "([{", ")]}"
 _STRINGS = re.compile(r"\"{3}.*?\"{3}|'{3}.*?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|//[^\n]*|#(?!\[)[^\n]*|/\*.*?\*/|--[^\n]*", re.S)
@@ -109,7 +110,7 @@ def ending(text: str, code: bool) -> tuple[str, str, str, str]:
     before = _norm(words[-2]) if len(words) > 1 else "^"
     if m:
         return "open", start, before, last
-    fences = len(re.findall(r"^\s*(?:```|~~~)", tail, re.M))
+    fences = len(_FENCE.findall(tail)) if "```" in tail or "~~~" in tail else 0
     if fences % 2:
         return "cut", start, before, last
     s = line.strip()
@@ -139,8 +140,8 @@ def ending(text: str, code: bool) -> tuple[str, str, str, str]:
 
 
 def _looks_like_code(kind, text: str) -> bool:
-    if kind == "code":
-        return True
+    if kind is not None:
+        return kind == "code"
     return len(_CODE_LINE.findall(text)) >= 3 and "```" not in text
 
 
@@ -154,30 +155,47 @@ def _features(batches):
 
 
 def _counts(batches):
-    """Partial counts: of word pairs (all, ending a line or sentence) and of line beginnings (all, of last lines)."""
+    """Partial counts: of words, of word pairs in listed lines (all, ending the line or a sentence), of line beginnings (all, of last lines)."""
     for pdf in batches:
         pairs: Counter = Counter()
+        words: dict = {}
         for source, text in zip(pdf._source, pdf._text, strict=True):
-            end = len(text.rstrip())
+            whole = text.rstrip()
+            end = len(whole)
+            found = _WORD.findall(whole)
+            words.setdefault(source, Counter()).update(found)
+            if found:
+                words[source][found[-1]] -= 1  # the word in question is no evidence for itself
             at = 0
-            for line in text[:end].split("\n"):
+            for line in whole.split("\n"):
                 stop_at = at + len(line)
-                at = stop_at + 1
-                pairs[source, "line", line_start(line), "", stop_at >= end and stop_at > len(line) and len(line) <= CLOSING_CHARS] += 1
-                prev, what = "^", "listed" if _listed(line) else "running"
+                first, at = at == 0, stop_at + 1
+                last = stop_at >= end
+                if first and last:
+                    continue
+                pairs[source, "line", line_start(line), "", last and not first and len(line) <= CLOSING_CHARS] += 1
+                if not _listed(line):
+                    continue
+                prev = "^"
                 ms = list(_WORD.finditer(line))
                 for i, m in enumerate(ms):
                     w = _norm(m[0])
                     if i + 1 < len(ms):
                         gap = line[m.end() : ms[i + 1].start()]
                         stop = gap != " " and bool(_NEXT.match(gap.rstrip(" ") + ("\0" if not gap.strip() else "")))
-                    elif stop_at >= end:
+                    elif last:
                         break
                     else:
                         stop = True
-                    pairs[source, what, prev, w, stop] += 1
+                    pairs[source, "listed", prev, w, stop] += 1
                     prev = w
-        yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["_source", "what", "w1", "w2", "stop", "n"])
+        rows = [(*k, n) for k, n in pairs.items()]
+        for source, c in words.items():
+            known: Counter = Counter()
+            for w, n in c.items():
+                known[_norm(w)] += n
+            rows += [(source, "word", "", w, False, n) for w, n in known.items() if n]
+        yield pd.DataFrame(rows, columns=["_source", "what", "w1", "w2", "stop", "n"])
 
 
 def find_limits(feats: DataFrame) -> DataFrame:
@@ -205,9 +223,9 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     often = F.col("ls") >= CLOSING_SHARE * F.col("ln")
     closing = lines.where(often & (F.col("ls") >= CLOSING_LEAST)).select("_from", "start", F.lit(True).alias("closing"))
     anywhere = lines.groupBy("start").agg(F.sum("ln").alias("ln"), F.sum("ls").alias("ls")).where(often & (F.col("ls") >= CLOSING_LEAST_ALL)).select("start", F.lit(True).alias("anywhere"))
-    pairs = seen.where("what in ('listed', 'running')").select("_source", "what", "w1", "w2", F.col("n").alias("pn"), F.col("stops").alias("ps"))
+    pairs = seen.where("what in ('listed', 'word')").select("_source", "what", "w1", "w2", F.col("n").alias("pn"), F.col("stops").alias("ps"))
     single = pairs.groupBy("_source", "what", "w2").agg(F.sum("pn").alias("un"), F.sum("ps").alias("us"))
-    place = F.when(F.col("state") == "ask", "listed").otherwise("running")
+    place = F.when(F.col("state") == "ask", "listed").otherwise("word")
     ends = feats.withColumn("place", place)
     ends = ends.withColumn("_from", F.coalesce("_source", F.lit(""))).join(closing, ["_from", "start"], "left").join(anywhere, "start", "left").drop("_from")
     p = pairs.alias("p")
