@@ -45,6 +45,7 @@ _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s")
 _LOG = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 _KEY = re.compile(r"^\s*[\w.-]{1,30}\s*[:=]\s*\S{0,40}$")
 _NEXT = re.compile(r"[`'\"”’»)\]*_]*(?:$|[.?!;|。！？\r])")
+_START = re.compile(r"\s*(\w+|[^\w\s]+)\s*(\w+|[^\w\s]+)?")
 _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
 _CODE_LINE = re.compile(r"^\s*(?:def|class|import|from \w+ import|return|fn|pub|use \w+::|let|const|func|package|export|static|for \w+ in|if .*[:{]$|\})", re.M)
 _OPEN, _CLOSE = "([{", ")]}"
@@ -81,10 +82,13 @@ CLOSING_CHARS = 80
 
 def line_start(line: str) -> str:
     """How a line begins: its first two words or signs, names reduced."""
-    t = re.findall(r"\w+|[^\w\s]+", line.strip()[:120])[:2]
-    if t and t[0] in ("--", "—", "–", "~"):
-        return t[0]
-    return " ".join(_norm(x) for x in t)
+    m = _START.match(line)
+    if not m:
+        return ""
+    a, b = m[1], m[2]
+    if a in ("--", "—", "–", "~") or b is None:
+        return _norm(a)
+    return f"{_norm(a)} {_norm(b)}"
 
 
 def _listed(line: str) -> bool:
@@ -145,18 +149,18 @@ def _looks_like_code(kind, text: str) -> bool:
     return len(_CODE_LINE.findall(text)) >= 3 and "```" not in text
 
 
-def _features(batches):
-    for pdf in batches:
-        rows = []
-        for key, source, kind, text in zip(pdf._id, pdf._source, pdf._kind, pdf._text, strict=True):
-            state, start, before, last = ending(text, _looks_like_code(kind, text))
-            rows.append((key, source, lengths(text), xxhash.xxh64_intdigest(text) >> 1, state, start, before, last))
-        yield pd.DataFrame(rows, columns=["_id", "_source", "sizes", "hash", "state", "start", "w1", "w2"]).astype({"_id": "Int64"})
+_SEEN = "_id long, _source string, what string, w1 string, w2 string, stop boolean, n long, sizes array<long>, hash long, state string, start string"
 
 
-def _counts(batches):
-    """Partial counts: of words, of word pairs in listed lines (all, ending the line or a sentence), of line beginnings (all, of last lines)."""
+def _read(batches):
+    """Of every text its ending and lengths (what = text), and partial counts: of words, of word pairs in listed lines (all,
+    ending the line or a sentence), of line beginnings (all, of last lines)."""
+    columns = [c.split()[0] for c in _SEEN.split(", ")]
     for pdf in batches:
+        out = []
+        for key, source, kind, text in zip(pdf._id, pdf._source, pdf._kind, pdf._text, strict=True):
+            state, start, before, last = ending(text, _looks_like_code(kind, text))
+            out.append((key, source, "text", before, last, None, 1, lengths(text), xxhash.xxh64_intdigest(text) >> 1, state, start))
         pairs: Counter = Counter()
         words: dict = {}
         for source, text in zip(pdf._source, pdf._text, strict=True):
@@ -189,13 +193,14 @@ def _counts(batches):
                         stop = True
                     pairs[source, "listed", prev, w, stop] += 1
                     prev = w
-        rows = [(*k, n) for k, n in pairs.items()]
+        rest = (None,) * 4
+        out += [(None, source, what, w1, w2, stop, n, *rest) for (source, what, w1, w2, stop), n in pairs.items()]
         for source, c in words.items():
             known: Counter = Counter()
             for w, n in c.items():
                 known[_norm(w)] += n
-            rows += [(source, "word", "", w, False, n) for w, n in known.items() if n]
-        yield pd.DataFrame(rows, columns=["_source", "what", "w1", "w2", "stop", "n"])
+            out += [(None, source, "word", "", w, False, n, *rest) for w, n in known.items() if n]
+        yield pd.DataFrame(out, columns=columns).astype({"_id": "Int64", "hash": "Int64", "stop": "boolean"})
 
 
 def find_limits(feats: DataFrame) -> DataFrame:
@@ -216,8 +221,9 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """``(doc_id, source, reason)`` of the texts that were cut: at a limit, or by their ending."""
     d = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), F.col(kind_col).alias("_kind"), F.col(text_col).alias("_text"))
     d = spread(d.where(F.length(F.trim(F.regexp_replace("_text", r"\s+", " "))) > 0))
-    feats = cut_lineage(d.mapInPandas(_features, "_id long, _source string, sizes array<long>, hash long, state string, start string, w1 string, w2 string"))
-    seen = d.select("_source", "_text").mapInPandas(_counts, "_source string, what string, w1 string, w2 string, stop boolean, n long")
+    read = cut_lineage(d.mapInPandas(_read, _SEEN))
+    feats = read.where("what = 'text'").drop("what", "stop", "n")
+    seen = read.where("what <> 'text'")
     seen = cut_lineage(seen.groupBy("_source", "what", "w1", "w2").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("stops")))
     lines = seen.where("what = 'line'").groupBy(F.coalesce("_source", F.lit("")).alias("_from"), F.col("w1").alias("start")).agg(F.sum("n").alias("ln"), F.sum("stops").alias("ls"))
     often = F.col("ls") >= CLOSING_SHARE * F.col("ln")
