@@ -65,7 +65,7 @@ def tokens_sql(column: str) -> str:
 
 def values_sql(rows: list[tuple], names: str) -> str:
     """Rows as a SQL table expression."""
-    body = ", ".join("(" + ", ".join(str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    body = ", ".join("(" + ", ".join(f"{x}::BIGINT" if isinstance(x, int) else str(x) if isinstance(x, float) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
     return f"(VALUES {body}) AS v({names})"
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Seeds of the generator where the text's digest gives none.
+SEED_64, SEED_32 = 0x9E3779B97F4A7C15, 0x7F4A7C15
+
+
 def _double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -71,8 +75,8 @@ def unpack(v: Column) -> Column:
 
 def hash_embedding(text: str, dims: int) -> np.ndarray:
     """A unit vector drawn by a 32-bit xorshift generator that the text's SHA-256 seeds."""
-    seed = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little") or 0x9E3779B97F4A7C15
-    state = (seed ^ (seed >> 32)) & 0xFFFFFFFF or 0x7F4A7C15
+    seed = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little") or SEED_64
+    state = (seed ^ (seed >> 32)) & 0xFFFFFFFF or SEED_32
     bits = np.empty(dims, np.uint32)
     for i in range(dims):
         state ^= (state << 13) & 0xFFFFFFFF

@@ -80,7 +80,7 @@ seen AS (
 SQL = {
     "p5_found": _P5 + "SELECT source_table, record_id, ref_field, ref_value FROM orphans",
     "p5_report": _P5 + """
-SELECT r.source_table, r.ref_field, strftime(r.at, '%Y-%m') AS month, count(*) AS refs, count(o.record_id) AS orphans
+SELECT r.source_table, r.ref_field, strftime(r.at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS refs, count(o.record_id) AS orphans
 FROM refs r LEFT JOIN orphans o ON o.source_table = r.source_table AND o.record_id = r.record_id AND o.ref_field = r.ref_field AND o.ref_value = r.ref_value
 GROUP BY ALL""",
     "p6_found": _P6 + "SELECT source_table, entity_key, version, valid_from, CAST(coalesce(lead(valid_from) OVER (PARTITION BY source_table, entity_key ORDER BY version), -1) AS BIGINT) AS valid_to FROM seen",

@@ -222,7 +222,7 @@ def dag_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return G.ancestors(G.parents(n), n.where("level = 1").select("id"))
 
 
-@query("SELECT project, level, count(*) AS nodes, count_if(review_status = 'approved' AND deleted_at IS NULL) AS servable, count_if(review_status = 'pending') AS pending FROM rlm_nodes GROUP BY ALL")
+@query("SELECT project, level, count(*) AS nodes, CAST(count_if(review_status = 'approved' AND deleted_at IS NULL) AS BIGINT) AS servable, CAST(count_if(review_status = 'pending') AS BIGINT) AS pending FROM rlm_nodes GROUP BY ALL")
 def node_review(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "rlm_nodes")
     ok = (F.col("review_status") == "approved") & F.col("deleted_at").isNull()
@@ -271,7 +271,7 @@ def job_failures(spark: SparkSession, d: str) -> DataFrame:
     return G.failures(table(spark, d, "claim_rlm_job_response").where("not available"), 2)
 
 
-@query("SELECT project, count_if(status = 'fresh') AS fresh, count_if(status = 'stale') AS stale, count_if(status = 'retired') AS retired, count_if(status = 'pending_review') AS pending_review FROM explorations GROUP BY project")
+@query("SELECT project, CAST(count_if(status = 'fresh') AS BIGINT) AS fresh, CAST(count_if(status = 'stale') AS BIGINT) AS stale, CAST(count_if(status = 'retired') AS BIGINT) AS retired, CAST(count_if(status = 'pending_review') AS BIGINT) AS pending_review FROM explorations GROUP BY project")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "explorations")
     return e.groupBy("project").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fresh", "stale", "retired", "pending_review")])
@@ -352,7 +352,7 @@ def exploration_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id AS id, count_if(event_type = 'purchase') AS confirmed, count_if(event_type = 'error') AS contradicted, max(CASE WHEN event_type = 'error' AND rk = 3 THEN ts END) AS retired_at
+    """SELECT user_id AS id, CAST(count_if(event_type = 'purchase') AS BIGINT) AS confirmed, CAST(count_if(event_type = 'error') AS BIGINT) AS contradicted, max(CASE WHEN event_type = 'error' AND rk = 3 THEN ts END) AS retired_at
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rk FROM events WHERE event_type IN ('purchase', 'error')) GROUP BY user_id"""
 )
 def feedback_retire(spark: SparkSession, d: str) -> DataFrame:
@@ -428,7 +428,7 @@ def agent_cost_report(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("c_mktsegment").alias("agent")).agg(F.count_distinct("o_orderkey").alias("runs"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cost_cents"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.round(F.avg(days), 4).alias("avg_days"))
 
 
-@query("SELECT project, count(*) AS files, count_if(deleted_at IS NOT NULL) AS deleted, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM index_file GROUP BY project")
+@query("SELECT project, count(*) AS files, CAST(count_if(deleted_at IS NOT NULL) AS BIGINT) AS deleted, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM index_file GROUP BY project")
 def project_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "index_file").groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
 
@@ -440,7 +440,7 @@ def result_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert_counter(old, e.where("event_id % 2 = 1"), ["event_type", "user_id"], "hits")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT file_id) AS ids, count_if(file_id IS NULL) AS nulls FROM index_file")
+@query("SELECT count(*) AS rows, count(DISTINCT file_id) AS ids, CAST(count_if(file_id IS NULL) AS BIGINT) AS nulls FROM index_file")
 def integrity(spark: SparkSession, d: str) -> DataFrame:
     return M.integrity(table(spark, d, "index_file"), "file_id")
 

@@ -74,9 +74,9 @@ def sessions_valid(spark: SparkSession, d: str) -> DataFrame:
     return K.valid_sessions(s, t, F.lit("1998-01-01").cast("timestamp_ntz")).select("session")
 
 
-@query(f"SELECT model, coalesce(max_by(lim, length(name)), 128000) AS \"limit\" FROM (SELECT DISTINCT model FROM explorations) LEFT JOIN {D.values_sql(LIMITS, 'name, lim')} ON contains(lower(model), name) GROUP BY model")
+@query(f"SELECT model, coalesce(max_by(lim, length(name)), 128000::BIGINT) AS \"limit\" FROM (SELECT DISTINCT model FROM explorations) LEFT JOIN {D.values_sql(LIMITS, 'name, lim')} ON contains(lower(model), name) GROUP BY model")
 def context_limit(spark: SparkSession, d: str) -> DataFrame:
-    return K.context_limits(table(spark, d, "explorations"), spark.createDataFrame(LIMITS, "name string, limit int"))
+    return K.context_limits(table(spark, d, "explorations"), spark.createDataFrame(LIMITS, "name string, limit long"))
 
 
 @query(f"SELECT u.model, round(tokens / 1e6 * coalesce(price, 0.0::DOUBLE), 6) AS usd FROM (SELECT model, sum(length(summary)) AS tokens FROM explorations GROUP BY model) u LEFT JOIN {D.values_sql(PRICES, 'model, price')} ON u.model = v.model")
