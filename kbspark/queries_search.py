@@ -296,8 +296,9 @@ def decay_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
+    """The k best documents of each query with their texts; lists of k for a few stated queries are broadcast."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
-    return S.small(_bm_list(spark, d, k)).join(docs, "id").select("query_id", "rank", "id", "path", "text", "score")
+    return F.broadcast(_bm_list(spark, d, k)).join(docs, "id").select("query_id", "rank", "id", "path", "text", "score")
 
 
 _RES = f"res AS (SELECT t.query_id, t.rank, t.id, source || '/' || CAST(t.id AS VARCHAR) AS path, text, t.score FROM ({_FB}) t JOIN documents ON doc_id = t.id)"
