@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from kbspark.plans.spread import spread
 
+#: Characters of a value; longer literals are data.
+LONGEST = 4096
+
 # Names, placeholders and formats.
 _STRONG = {"password", "passwd", "pwd", "passphrase", "secret", "apikey", "credential", "credentials", "bearer", "passcode", "pass", "senha", "contrasena", "clave", "passwort", "kennwort", "mdp", "motdepasse", "pw", "userpass", "dbpass", "authtoken", "accesstoken", "secretkey", "privatekey"}
 _WEAK = {"token", "key", "auth", "pat", "authorization", "cred", "creds", "signature", "salt", "dsn"}
@@ -37,32 +40,33 @@ _FORMATS = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github
 _FORMAT = re.compile(rf"(?<![\w/+.-])(?:{_FORMATS})(?![\w/+=])")
 _SUFFIX_NOT = {"hash", "env", "file", "path", "ref", "label", "count", "len", "length", "max", "min", "limit", "age", "ttl", "name", "field", "column", "hint", "prompt", "policy", "type", "kind", "header", "prefix", "suffix", "url", "uri", "format", "regex", "pattern", "placeholder", "expiry", "expires", "id", "size", "bits", "digest", "checksum", "sum", "var", "param", "help", "title", "text", "message", "msg", "error", "public", "pub", "index", "idx", "dir", "store", "provider", "source", "manager", "rotation", "version", "status", "enabled", "required", "fingerprint", "from", "location", "arn", "reset", "strength", "rules", "rule", "example"}
 
+# White space is matched up to 200 characters, so that long runs of it cost no more than their length.
 ANCHOR = re.compile(r"pass|pwd|pw\b|senha|contrase|clave|kennwort|mdp|secret|key|token|credential|bearer|auth|://|-----begin|login|cred|akia|ghp_|xox|sk_|eyj| -u|\bpat\b|dsn|identified|log in")
 _NAME = re.compile(r"[A-Za-z_][\w.\-]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_AFTER_NAME = re.compile(r"""(?P<close>\\?["'`]?\]?)[ \t]*(?:\[\d*\])?[ \t]*(?::[ \t]*(?:&?(?:'static[ \t]+)?)?(?:str|String|string|any|char|bytes|Option<String>)[ \t]*(?==))?(?P<op>:=|=>|=(?!=)|:(?!:)|,)[ \t]*""")
-_DEFINE = re.compile(r"[ \t]+(?=[\"'])")
-_WRAP = re.compile(r"(?:[A-Za-z_][\w.:]*!?[ \t]*\(|\(|\[|&|\*)[ \t]*")
-_WRAP_OK = re.compile(r"^(?:.*(?:from|concat|b64|base64|atob|decode|unhex|hex|bytes|join|string|buffer|str|new|to_owned|secret|some|quote|strip)\w*!?[ \t]*\(|\(|\[|&|\*)[ \t]*$", re.I)
-_CONTINUE = re.compile(r"(?:[>|][+-]?[ \t]*(?:#[^\n]*)?|\\|\+|\()?[ \t]*\r?\n[ \t]*(?:[/#*-]+[ \t]*)?")
+_AFTER_NAME = re.compile(r"""(?P<close>\\?["'`]?\]?)[ \t]{0,200}(?:\[\d*\])?[ \t]{0,200}(?::[ \t]{0,200}(?:&?(?:'static[ \t]{1,200})?)?(?:str|String|string|any|char|bytes|Option<String>)[ \t]{0,200}(?==))?(?P<op>:=|=>|=(?!=)|:(?!:)|,)[ \t]{0,200}""")
+_DEFINE = re.compile(r"[ \t]{1,200}(?=[\"'])")
+_WRAP = re.compile(r"(?:[A-Za-z_][\w.:]*!?[ \t]{0,200}\(|\(|\[|&|\*)[ \t]{0,200}")
+_WRAP_OK = re.compile(r"^(?:.*(?:from|concat|b64|base64|atob|decode|unhex|hex|bytes|join|string|buffer|str|new|to_owned|secret|some|quote|strip)\w*!?[ \t]{0,200}\(|\(|\[|&|\*)[ \t]{0,200}$", re.I)
+_CONTINUE = re.compile(r"(?:[>|][+-]?[ \t]{0,200}(?:#[^\n]*)?|\\|\+|\()?[ \t]{0,200}\r?\n[ \t]{0,200}(?:[/#*-]+[ \t]{0,200})?")
 _STRING = re.compile(r"""[bBrRuUf]{0,2}(?:\"\"\"(?P<t>.*?)\"\"\"|"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<g>[^`]*)`)""", re.S)
-_GLUE = re.compile(r"[ \t]*(?:\+|,|\.|&|<>|\\)?[ \t]*(?:\\?\r?\n[ \t]*(?:[/#*-]+[ \t]+)?)?(?:\+|\.)?[ \t]*(?=[bBrRuU]?[\"'`])")
+_GLUE = re.compile(r"[ \t]{0,200}(?:\+|,|\.|&|<>|\\)?[ \t]{0,200}(?:\\?\r?\n[ \t]{0,200}(?:[/#*-]+[ \t]{1,200})?)?(?:\+|\.)?[ \t]{0,200}(?=[bBrRuU]?[\"'`])")
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
-_URL = re.compile(r"[A-Za-z][\w+.-]*://(?P<u>[^\s:/@\"'`<>]*):(?P<p>[^\s\"'`/<>]+)@(?=[\w.\[-])")
+_URL = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.-]*://(?P<u>[^\s:/@\"'`<>]*):(?P<p>[^\s\"'`/<>]+)@(?=[\w.\[-])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\\"'`,.:;#*_-]*")
-_HEADER = re.compile(r"""(?:authorization|x-[\w-]*(?:key|auth|token|secret)[\w-]*|api-key|cookie)["'`]?[ \t]*[:,=\]]+[ \t]*(?:=[ \t]*)?["'`]?(?:(?:bearer|basic|token|apikey)[ \t]+)?(?P<v>[^\s"'`,;)}]+)""", re.I)
-_SCHEME = re.compile(r"\b(?:Basic|Bearer)[ \t]+(?P<v>[A-Za-z0-9+/=_.~-]{8,})")
+_HEADER = re.compile(r"""(?:authorization|x-[\w-]*(?:key|auth|token|secret)[\w-]*|api-key|cookie)["'`]?[ \t]{0,200}[:,=\]]+[ \t]{0,200}(?:=[ \t]{0,200})?["'`]?(?:(?:bearer|basic|token|apikey)[ \t]{1,200})?(?P<v>[^\s"'`,;)}]+)""", re.I)
+_SCHEME = re.compile(r"\b(?:Basic|Bearer)[ \t]{1,200}(?P<v>[A-Za-z0-9+/=_.~-]{8,})")
 _BASIC_ARG = re.compile(r"(?:^|\s)(?:-u|--user)[ =]?[\"']?(?P<u>[\w.@-]+):(?P<v>[^\s\"'`]+)")
 _FLAG = re.compile(r"--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth-token|access-token|client-secret)[ =][\"']?(?P<v>[^\s\"'`]+)", re.I)
 _P_ARG = re.compile(r"(?:^|\s)-u[ =]?\S+\s+(?:-[a-z]\s+\S+\s+)*-p(?P<v>[^\s\"'`]+)")
 _LOGIN = re.compile(r"\b(?:\w*login|connect|authenticate|auth|sign_?in|basic_?auth|set_?basic_?auth|credentials)\((?P<a>[^()\n]*)\)", re.I)
-_SQL = re.compile(r"(?:password|identified[ \t]+by)[ \t]+(?:by[ \t]+)?'(?P<v>[^'\n]+)'", re.I)
-_NETRC = re.compile(r"\blogin[ \t]+\S+[ \t]+password[ \t]+(?P<v>[^\s\"'`]+)", re.I)
-_PROSE = re.compile(r"[\w-]*(?:pass|pwd|secret|api_?key|credential|bearer|token|senha|_key)\w*(?:[ \t]+`?[\w.-]+`?){0,6}?[ \t]+(?:is[ \t]+(?P<v>[^\s\"'`]+)|`(?P<w>[^`\s]+)`)", re.I)
+_SQL = re.compile(r"(?:password|identified[ \t]{1,200}by)[ \t]{1,200}(?:by[ \t]{1,200})?'(?P<v>[^'\n]+)'", re.I)
+_NETRC = re.compile(r"\blogin[ \t]{1,200}\S+[ \t]{1,200}password[ \t]{1,200}(?P<v>[^\s\"'`]+)", re.I)
+_PROSE = re.compile(r"(?<![\w-])[\w-]*(?:pass|pwd|secret|api_?key|credential|bearer|token|senha|_key)\w*(?:[ \t]{1,200}`?[\w.-]+`?){0,6}?[ \t]{1,200}(?:is[ \t]{1,200}(?P<v>[^\s\"'`]+)|`(?P<w>[^`\s]+)`)", re.I)
 _LOGIN_AS = re.compile(r"\blog ?in as `?[\w.@-]+`? with `?(?P<v>[^`\s]+)`?", re.I)
 _CONFIG = re.compile(r"(?:\.(?:ya?ml|env|sh|bash|toml|ini|cfg|conf|properties|md|txt|rst|sql|netrc|tf|dockerfile)|(?:^|/)\.env[^/]*|(?:^|/)dockerfile)$", re.I)
-_COMMENT = re.compile(r"^[ \t]*(?:#|//|--|/\*|\*|;|>|<!--)")
+_COMMENT = re.compile(r"^[ \t]{0,200}(?:#|//|--|/\*|\*|;|>|<!--)")
 _WORDY = re.compile(r"^[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]\d{2,4}$")
 
 
@@ -92,7 +96,7 @@ def _mixed(v: str) -> int:
 def could_work(v: str, certain: bool) -> bool:
     """Whether a literal could be a working credential: no placeholder, name, number, path, or sentence."""
     v = v.strip()
-    if len(v) < 6 or len(v) > 4096 or any(c.isspace() for c in v) or _PLACEHOLDER.match(v):
+    if len(v) < 6 or len(v) > LONGEST or any(c.isspace() for c in v) or _PLACEHOLDER.match(v):
         return False
     if _FORMAT.fullmatch(v) or _WORDY.match(v):
         return True
@@ -123,11 +127,15 @@ class _Reader:
         self.text = text
         self.config = bool(path and _CONFIG.search(path.strip().replace("\\", "/")))
         self.found: dict[int, list[tuple[int, int]]] = {}
+        self.taken: list[tuple[int, int]] = []  # sorted
 
     def add(self, spans: list[tuple[int, int]]) -> None:
         a = spans[0][0]
-        if not any(s <= a < e for parts in self.found.values() for s, e in parts):
+        i = bisect.bisect_right(self.taken, (a, 1 << 60)) - 1
+        if i < 0 or a >= self.taken[i][1]:
             self.found[a] = spans
+            for span in spans:
+                bisect.insort(self.taken, span)
 
     def literal(self, pos: int, joined: bool) -> tuple[str, list[tuple[int, int]]] | None:
         """The string literal at ``pos``, with the parts glued to it."""
@@ -182,7 +190,7 @@ class _Reader:
             m = re.compile(r"(?:(?:Basic|Bearer|Token)[ \t]+)?", re.I).match(text, here)
             here = m.end()
             e = text.find("\n", here)
-            raw = text[here : e if e >= 0 else len(text)].rstrip("\r")
+            raw = text[here : min(e if e >= 0 else len(text), here + 2 * LONGEST)].rstrip("\r")
             raw = raw.split(" ", 1)[0] if not comment or " " in raw else raw
             raw = re.sub(r"(?:\*/|-->)$", "", raw).rstrip(",;")
             if re.match(r"[A-Za-z_][\w.:]*[(\[]", raw):

@@ -4,8 +4,8 @@ Three sources of evidence, strongest first:
 
 * Attribute files of a repository (``.gitattributes``: linguist-generated, linguist-vendored), newest version of each.
   Of the patterns that match a path the one in the deepest directory, and there the last one, decides each attribute.
-  Directory names and file endings that declared repositories mark almost always are mined as patterns for the
-  repositories that declare nothing, besides the usual names given below.
+  Directory names that declared repositories mark almost always are mined as patterns for the repositories that
+  declare nothing, besides the usual names given below.
 * The content itself: markers of generators in comments at the top or the end, notices of other works, lock files,
   source maps, minified lines, and files that repeat one line pattern or hold little but digits or encoded bytes.
 * Copies without a notice: lines of a file (a sample of its line hashes, the smallest ones) that also stand in a file
@@ -48,10 +48,10 @@ _MARKER = re.compile(
     re.I,
 )
 _NOTICE = re.compile(
-    r"part of (?:the )?(?P<a>[\w.-]+)(?: library| project| package)?(?:, version [\d.]+|; redistribution)|(?:imported|vendored|copied|taken|adapted|ported|derived|borrowed) (?:verbatim )?from (?:the )?(?P<b>[\w.-]+)(?=.*(?:\d+\.\d+|upstream|commit|https?:))|^(?P<c>[\w.-]+) v?\d+\.\d+(?:\.\d+)? - https?://\S*licen[cs]e|@license (?P<d>[\w.-]+)|(?P<e>[\w.-]+) v\d+\.\d+\.\d+ \| \(?c\)? ",
+    r"part of (?:the )?(?P<a>[\w.-]+)(?: library| project| package)?(?:, version [\d.]+|; redistribution)|(?:imported|vendored|copied|taken|adapted|ported|derived|borrowed) (?:verbatim )?from (?:the )?(?P<b>[\w.-]+)(?=.*(?:\d+\.\d+|upstream|commit|https?:))|^(?P<c>[\w.-]+) v?\d+\.\d+(?:\.\d+)? - https?://\S*licen[cs]e|@license (?P<d>[\w.-]+)|(?<![\w.-])(?P<e>[\w.-]+) v\d+\.\d+\.\d+ \| \(?c\)? ",
     re.I,
 )
-_COMMENT = re.compile(r"""^(?:﻿)?\s*(?:#(?!define\b|include\b|!\[)|//+!?|/\*+!?|\*+|--|<!--|;+|%|"{3}|'{3})\s?(?P<t>.*?)\s*(?:\*/|-->|"{3}|'{3})?\s*$""")
+_COMMENT = re.compile(r"""(?:\ufeff)?\s*(?:#(?!define\b|include\b|!\[)|//+!?|/\*+!?|\*+|--|<!--|;+|%|"{3}|'{3})""")
 _BLOB = re.compile(rb"""\W{0,4}[A-Za-z0-9+/=]{40,}\W{0,5}""")
 _CODE = re.compile(r"\.(?:rs|py|pyi|tsx?|jsx?|mjs|go|c|h|cc|cpp|hpp|java|kt|cs|rb|php|swift|scala|sql|css|scss|lua|m|dart|pl|r)(?:\.\w{2,4})?$", re.I)
 _TEXT = re.compile(r"\.(?:md|txt|rst|adoc|ya?ml|toml|ini|cfg|conf|env|sh|bash|properties)(?:\.\w{2,4})?$|(?:^|/)\.env", re.I)
@@ -124,7 +124,10 @@ def _comment_texts(lines: list[str]) -> list[str]:
     for line in lines:
         m = _COMMENT.match(line)
         if m:
-            out.append(m["t"])
+            t = line[m.end() :].strip()
+            for end in ("*/", "-->", '"""', "'''"):
+                t = t.removesuffix(end).rstrip()
+            out.append(t)
     return out
 
 

@@ -49,7 +49,7 @@ _START = re.compile(r"\s*(\w+|[^\w\s]+)\s*(\w+|[^\w\s]+)?")
 _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
 _CODE_LINE = re.compile(r"^\s*(?:def|class|import|from \w+ import|return|fn|pub|use \w+::|let|const|func|package|export|static|for \w+ in|if .*[:{]$|\})", re.M)
 _OPEN, _CLOSE = "([{", ")]}"
-_STRINGS = re.compile(r"\"{3}.*?\"{3}|'{3}.*?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|//[^\n]*|#(?!\[)[^\n]*|/\*.*?\*/|--[^\n]*", re.S)
+_STRINGS = re.compile(r"\"{3}(?:.*?\"{3}|.*\Z)|'{3}(?:.*?'{3}|.*\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|//[^\n]*|#(?!\[)[^\n]*|/\*(?:.*?\*/|.*\Z)|--[^\n]*", re.S)
 MEASURES = ["chars", "bytes", "utf16", "entities", "json", "json_ascii", "crlf"]
 _WIDE = {"bytes": 3, "utf16": 1, "entities": 5, "json": 1, "json_ascii": 11, "crlf": 1}
 
@@ -78,6 +78,8 @@ def _norm(w: str) -> str:
 
 #: Characters that a closing line has at most; nor is the only line of a text one.
 CLOSING_CHARS = 80
+#: Characters at the end of a text in which a mark of the cutting system is looked for.
+MARK_CHARS = 80
 
 
 def line_start(line: str) -> str:
@@ -102,9 +104,9 @@ def ending(text: str, code: bool) -> tuple[str, str, str, str]:
     closed: an end sign, cut only at a limit.
     """
     tail = text.rstrip()
-    m = _MARK.search(tail)
+    m = _MARK.search(tail[-MARK_CHARS:])
     if m:
-        tail = tail[: m.start()].rstrip()
+        tail = tail[: max(len(tail) - MARK_CHARS, 0) + m.start()].rstrip()
     if not tail:
         return "closed", "", "", ""
     line = tail[tail.rfind("\n") + 1 :]
