@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import heapq
 import re
 
 import pandas as pd
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from kbspark.plans.spread import spread
 
-#: Characters of a value; longer literals are data.
-LONGEST = 4096
+#: Characters from which a literal is judged as a whole first: a value of that length is encoded, all else is data.
+LONG = 4096
 
 # Names, placeholders and formats.
 _STRONG = {"password", "passwd", "pwd", "passphrase", "secret", "apikey", "credential", "credentials", "bearer", "passcode", "pass", "senha", "contrasena", "clave", "passwort", "kennwort", "mdp", "motdepasse", "pw", "userpass", "dbpass", "authtoken", "accesstoken", "secretkey", "privatekey"}
@@ -41,7 +42,10 @@ _FORMAT = re.compile(rf"(?<![\w/+.-])(?:{_FORMATS})(?![\w/+=])")
 _SUFFIX_NOT = {"hash", "env", "file", "path", "ref", "label", "count", "len", "length", "max", "min", "limit", "age", "ttl", "name", "field", "column", "hint", "prompt", "policy", "type", "kind", "header", "prefix", "suffix", "url", "uri", "format", "regex", "pattern", "placeholder", "expiry", "expires", "id", "size", "bits", "digest", "checksum", "sum", "var", "param", "help", "title", "text", "message", "msg", "error", "public", "pub", "index", "idx", "dir", "store", "provider", "source", "manager", "rotation", "version", "status", "enabled", "required", "fingerprint", "from", "location", "arn", "reset", "strength", "rules", "rule", "example"}
 
 # White space is matched up to 200 characters, so that long runs of it cost no more than their length.
-ANCHOR = re.compile(r"pass|pwd|pw\b|senha|contrase|clave|kennwort|mdp|secret|key|token|credential|bearer|auth|://|-----begin|login|cred|akia|ghp_|xox|sk_|eyj| -u|\bpat\b|dsn|identified|log in")
+# What the readers need in a line, in lower case: words of names, and what forms without a name start with. Every reader and
+# every word of _STRONG and _WEAK has its part here; the token formats are looked for as they are.
+_PAT = r"pat(?![a-z])|pat(?:value|plain)"
+ANCHOR = re.compile(rf"pass|pwd|pw|senha|contrase|clave|kennwort|mdp|secret|key|token|credential|bearer|basic|auth|cookie|signature|salt|://|-----begin|login|cred|connect\(|sign_?in\(|(?<!\S)--?u|{_PAT}|dsn|identified|log in")
 _NAME = re.compile(r"[A-Za-z_][\w.\-]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _AFTER_NAME = re.compile(r"""(?P<close>\\?["'`]?\]?)[ \t]{0,200}(?:\[\d*\])?[ \t]{0,200}(?::[ \t]{0,200}(?:&?(?:'static[ \t]{1,200})?)?(?:str|String|string|any|char|bytes|Option<String>)[ \t]{0,200}(?==))?(?P<op>:=|=>|=(?!=)|:(?!:)|,)[ \t]{0,200}""")
@@ -66,7 +70,9 @@ _NETRC = re.compile(r"\blogin[ \t]{1,200}\S+[ \t]{1,200}password[ \t]{1,200}(?P<
 _PROSE = re.compile(r"(?<![\w-])[\w-]*(?:pass|pwd|secret|api_?key|credential|bearer|token|senha|_key)\w*(?:[ \t]{1,200}`?[\w.-]+`?){0,6}?[ \t]{1,200}(?:is[ \t]{1,200}(?P<v>[^\s\"'`]+)|`(?P<w>[^`\s]+)`)", re.I)
 _LOGIN_AS = re.compile(r"\blog ?in as `?[\w.@-]+`? with `?(?P<v>[^`\s]+)`?", re.I)
 _CONFIG = re.compile(r"(?:\.(?:ya?ml|env|sh|bash|toml|ini|cfg|conf|properties|md|txt|rst|sql|netrc|tf|dockerfile)|(?:^|/)\.env[^/]*|(?:^|/)dockerfile)$", re.I)
+_UNSPACED = re.compile(r"[^ \n]*")
 _COMMENT = re.compile(r"^[ \t]{0,200}(?:#|//|--|/\*|\*|;|>|<!--)")
+_ENCODED = re.compile(r"[A-Za-z0-9+/_.~%-]++=*+")
 _WORDY = re.compile(r"^[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]\d{2,4}$")
 
 
@@ -96,7 +102,11 @@ def _mixed(v: str) -> int:
 def could_work(v: str, certain: bool) -> bool:
     """Whether a literal could be a working credential: no placeholder, name, number, path, or sentence."""
     v = v.strip()
-    if len(v) < 6 or len(v) > LONGEST or any(c.isspace() for c in v) or _PLACEHOLDER.match(v):
+    if len(v) > LONG:  # one run of an encoding, of many signs
+        if not _ENCODED.fullmatch(v) or len(set(v)) < 12:
+            return False
+        return any(c.isdigit() for c in v) and (certain or _mixed(v) >= 3 or bool(re.fullmatch(r"[0-9a-fA-F]+", v)))
+    if len(v) < 6 or any(c.isspace() for c in v) or _PLACEHOLDER.match(v):
         return False
     if _FORMAT.fullmatch(v) or _WORDY.match(v):
         return True
@@ -128,6 +138,7 @@ class _Reader:
         self.config = bool(path and _CONFIG.search(path.strip().replace("\\", "/")))
         self.found: dict[int, list[tuple[int, int]]] = {}
         self.taken: list[tuple[int, int]] = []  # sorted
+        self.bare = (0, -1)
 
     def add(self, spans: list[tuple[int, int]]) -> None:
         a = spans[0][0]
@@ -137,6 +148,13 @@ class _Reader:
             for span in spans:
                 bisect.insort(self.taken, span)
 
+    def bare_end(self, pos: int) -> int:
+        """The next blank or line end from ``pos``; found once for all places before it."""
+        if not self.bare[0] <= pos <= self.bare[1]:
+            m = _UNSPACED.match(self.text, pos)
+            self.bare = pos, m.end()
+        return self.bare[1]
+
     def literal(self, pos: int, joined: bool) -> tuple[str, list[tuple[int, int]]] | None:
         """The string literal at ``pos``, with the parts glued to it."""
         m = _STRING.match(self.text, pos)
@@ -189,9 +207,12 @@ class _Reader:
         if self.config or comment or op == "=" and text[max(0, pos - 2) : pos] == "==":
             m = re.compile(r"(?:(?:Basic|Bearer|Token)[ \t]+)?", re.I).match(text, here)
             here = m.end()
-            e = text.find("\n", here)
-            raw = text[here : min(e if e >= 0 else len(text), here + 2 * LONGEST)].rstrip("\r")
-            raw = raw.split(" ", 1)[0] if not comment or " " in raw else raw
+            e = self.bare_end(here)
+            if e - here > 2 * LONG:
+                run = _ENCODED.match(text, here)
+                if not run or run.end() < e - 4:  # beyond a closing sign, no value
+                    return
+            raw = text[here:e].rstrip("\r")
             raw = re.sub(r"(?:\*/|-->)$", "", raw).rstrip(",;")
             if re.match(r"[A-Za-z_][\w.:]*[(\[]", raw):
                 return
@@ -217,7 +238,7 @@ class _Reader:
                 if not _PLACEHOLDER.match(p) and len(p) >= 6 and could_work(p, True):
                     self.add([m.span("p")])
         comment = bool(_COMMENT.match(line)) or "//" in line or " # " in line
-        for rx in (_HEADER, _SCHEME) if ("auth" in low or "x-" in low or "key" in low or "basic " in low or "bearer " in low) else ():
+        for rx in (_HEADER, _SCHEME) if ("auth" in low or "x-" in low or "key" in low or "basic" in low or "bearer" in low or "cookie" in low) else ():
             for m in rx.finditer(text, a, b):
                 v = m["v"].rstrip("\\")
                 plain = _decoded(v)
@@ -264,10 +285,12 @@ def find(text: str, path: str | None = None) -> list[list[tuple[int, int]]]:
         low = text.translate(_ASCII_LOWER)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     r, seen = _Reader(text, path), -1
-    for m in ANCHOR.finditer(low):
-        if m.start() < seen:
+    formats = [m.start() for m in _FORMAT.finditer(text)]
+    places = (m.start() for m in ANCHOR.finditer(low))
+    for at in heapq.merge(places, formats) if formats else places:
+        if at < seen:
             continue
-        i = bisect.bisect_right(starts, m.start()) - 1
+        i = bisect.bisect_right(starts, at) - 1
         a, seen = starts[i], starts[i + 1] if i + 1 < len(starts) else len(text) + 1
         r.read_line(a, min(seen - 1, len(text)))
     return [r.found[k] for k in sorted(r.found)]
