@@ -8,9 +8,9 @@ Three sources of evidence, strongest first:
   declare nothing, besides the usual names given below.
 * The content itself: markers of generators in comments at the top or the end, notices of other works, lock files,
   source maps, minified lines, and files that repeat one line pattern or hold little but digits or encoded bytes.
-* Copies without a notice: lines of a file (a sample of its line hashes, the smallest ones) that also stand in a file
-  known to be vendored are foreign; a file half made of foreign lines is a copy, patched or not. Files meet by line
-  hash against the distinct foreign hashes and are counted, never paired.
+* Copies without a notice: lines of a file that also stand in a file known to be vendored are foreign; a file half made
+  of foreign lines is a copy, patched, excerpted or not. All lines that say something count. Files meet by line hash
+  against the distinct foreign hashes and are counted, never paired.
 
 Defined results: null and blank contents are none; a null path is matched by content only; a null project is one
 project; every row is judged, repeated ones under a new id too; files an attribute declares hand-written are none;
@@ -19,7 +19,6 @@ empty tables give no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 
@@ -33,8 +32,8 @@ from kbspark.functions.globs import glob_regex
 from kbspark.plans.lineage import cut_lineage
 from kbspark.plans.spread import spread
 
-#: Line hashes kept per file, and the share of foreign ones (of at least so many) that makes a copy.
-SKETCH, FOREIGN_SHARE, FOREIGN_LEAST = 16, 0.5, 4
+#: The share of foreign lines (of at least so many) that makes a copy.
+FOREIGN_SHARE, FOREIGN_LEAST = 0.5, 4
 MINE_SHARE, MINE_LEAST = 0.9, 20
 
 # Names that mark vendored and generated paths, generator markers, notices, lock files.
@@ -185,16 +184,16 @@ def content_class(text: str, path: str | None, project: str | None) -> str | Non
     return None
 
 
-def line_sketch(text: str, k: int = SKETCH) -> list[int]:
-    """The smallest hashes of the lines that say something."""
+def line_hashes(text: str) -> list[int]:
+    """The distinct hashes of the lines that say something."""
     lines = {x.strip() for x in text.split("\n")}
-    return heapq.nsmallest(k, (xxhash.xxh64_intdigest(x) >> 1 for x in lines if len(x) >= 32 and not _BOILERPLATE.search(x)))
+    return [xxhash.xxh64_intdigest(x) >> 1 for x in lines if len(x) >= 32 and not _BOILERPLATE.search(x)]
 
 
 def _features(batches):
     for pdf in batches:
-        rows = [(i, p, q, content_class(t, q, p), line_sketch(t)) for i, p, q, t in zip(pdf.file_id, pdf.project, pdf.path, pdf.content, strict=True)]
-        yield pd.DataFrame(rows, columns=["file_id", "project", "path", "kind", "sketch"]).astype({"file_id": "Int64"})
+        rows = [(i, p, q, content_class(t, q, p), line_hashes(t)) for i, p, q, t in zip(pdf.file_id, pdf.project, pdf.path, pdf.content, strict=True)]
+        yield pd.DataFrame(rows, columns=["file_id", "project", "path", "kind", "lines"]).astype({"file_id": "Int64"})
 
 
 def find_unwritten(files: DataFrame) -> DataFrame:
@@ -202,7 +201,7 @@ def find_unwritten(files: DataFrame) -> DataFrame:
     f = files.select(F.col("file_id").cast("long"), F.col("project"), clean_path(F.col("rel_path")).alias("path"), "content", F.col("received_at"), F.col("deleted_at"))
     verdicts = declared(f)
     per_file = verdicts.groupBy("file_id").agg(F.max("on").alias("on"))
-    feats = cut_lineage(spread(f.where(F.trim(F.regexp_replace("content", r"\s", " ")) != "")).mapInPandas(_features, "file_id long, project string, path string, kind string, sketch array<long>"))
+    feats = cut_lineage(spread(f.where(F.trim(F.regexp_replace("content", r"\s", " ")) != "")).mapInPandas(_features, "file_id long, project string, path string, kind string, lines array<long>"))
     has_attrs = not verdicts.isEmpty()
     folders = F.slice(F.split(F.lower("path"), "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     usual = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in VENDOR_DIRS]))
@@ -215,9 +214,9 @@ def find_unwritten(files: DataFrame) -> DataFrame:
         known = known.join(per_file, "file_id", "left").withColumn("kind", F.when(F.col("on"), F.coalesce("kind", F.lit("declared"))).when(F.col("on") == F.lit(False), None).otherwise(F.col("kind")))
     else:
         known = known.withColumn("on", F.lit(None).cast("boolean"))
-    known = known.select("file_id", "kind", "on", "sketch")
-    lines = known.select("file_id", (F.col("kind") == "third_party").alias("vendored"), F.explode("sketch").alias("h"))
-    foreign = lines.where("vendored").select("h").distinct()
-    counted = lines.where("vendored is null").join(foreign, "h", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    copies = known.where("kind is null and on is null").join(counted, "file_id").where((F.col("n") >= FOREIGN_LEAST) & (F.col("n") >= FOREIGN_SHARE * F.size("sketch"))).select("file_id", F.lit("copy").alias("kind"))
+    known = known.select("file_id", "kind", "on", "lines")
+    foreign = known.where("kind = 'third_party'").select(F.explode("lines").alias("h")).distinct()
+    asked = known.where("kind is null and on is null")
+    counted = asked.select("file_id", F.explode("lines").alias("h")).join(foreign, "h", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    copies = asked.join(counted, "file_id").where((F.col("n") >= FOREIGN_LEAST) & (F.col("n") >= FOREIGN_SHARE * F.size("lines"))).select("file_id", F.lit("copy").alias("kind"))
     return known.where("kind is not null").select("file_id", "kind").unionByName(copies)

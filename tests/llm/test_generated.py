@@ -82,3 +82,10 @@ def test_globs():
 
     cases = [("*.go", "a/b.go", True), ("*.go", "b.gox", False), ("a/*.go", "a/b.go", True), ("a/*.go", "x/a/b.go", False), ("a/**", "a/b/c", True), ("**/x", "a/b/x", True), ("/x", "x", True), ("f?.c", "fo.c", True), ("[!a].c", "b.c", True), ("[!a].c", "a.c", False), ("a.b", "axb", False)]
     assert [bool(re.search(glob_regex(p), x)) for p, x, _ in cases] == [w for *_, w in cases]
+
+
+def test_an_excerpt_of_a_large_vendored_file(spark):
+    big = [f"let step_{i} = queue.push(Job::new(\"{i * 7919 % 1009}\", worker));" for i in range(1000)]
+    own = [f"let mine_{i} = table.read(Row::at({i * 31 % 997}, \"owner\"));" for i in range(300)]
+    got = found(spark, ("p", "vendor/lib/q.txt", "\n".join(big)), ("q", "doc/part.txt", "\n".join(big[400:600])), ("q", "doc/mixed.txt", "\n".join(own + big[:200])), ("q", "doc/own.txt", "\n".join(own)))
+    assert got == {0: "third_party", 1: "copy"}
