@@ -6,7 +6,7 @@ Three sources of evidence, strongest first:
   Of the patterns that match a path the one in the deepest directory, and there the last one, decides each attribute.
   Directory names that declared repositories mark almost always are mined as patterns for the repositories that
   declare nothing, besides the usual names given below.
-* The content itself: markers of generators in comments at the top or the end, notices of other works, lock files,
+* The content itself: markers of generators and notices of other works in comments, lock files,
   source maps, minified lines, and files that repeat one line pattern or hold little but digits or encoded bytes.
 * Copies without a notice: lines of a file that also stand in a file known to be vendored are foreign; a file half made
   of foreign lines is a copy, patched, excerpted or not. All lines that say something count. Files meet by line hash
@@ -57,7 +57,7 @@ _TEXT = re.compile(r"\.(?:md|txt|rst|adoc|ya?ml|toml|ini|cfg|conf|env|sh|bash|pr
 _DIGIT = bytes(48 if 48 <= i <= 57 else i for i in range(256))
 _SHAPE = bytes(48 if 48 <= i <= 57 else 97 if 65 <= i <= 90 or 97 <= i <= 122 or i >= 128 else i for i in range(256))
 _BOILERPLATE = re.compile(r"SPDX-|copyright|licen[cs]e", re.I)
-_LOCK = re.compile(r'^\s*(?:"lockfileVersion"|# yarn lockfile|lockfileVersion:)|^# This file is (?:automatically )?@generated by (?:Poetry|Cargo)|^content-hash = "', re.M)
+_LOCK = re.compile(r'^[ \t]*(?:"lockfileVersion"|# yarn lockfile|lockfileVersion:)|^# This file is (?:automatically )?@generated by (?:Poetry|Cargo)|^content-hash = "', re.M)
 
 
 def clean_path(path: Column) -> Column:
@@ -118,16 +118,41 @@ def mined_names(files: DataFrame, verdicts: DataFrame) -> DataFrame:
 # -- content ------------------------------------------------------------------------------------------------------------
 
 
-def _comment_texts(lines: list[str]) -> list[str]:
-    out = []
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"' * 3: '"' * 3, "'" * 3: "'" * 3}
+_BLOCK = re.compile(r"""(?:\ufeff)?\s*(/\*|<!--|"{3}|'{3})""")
+
+
+#: A notice stands for the whole file only before or after its code: up to so many lines of code before or after it.
+TOP, BOTTOM = 14, 4
+
+
+def _comment_texts(lines: list[str]) -> list[tuple[str, bool]]:
+    """The texts of all comment lines, those inside of block comments too, and whether each stands at the top or the bottom.
+
+    Quotes open a comment only before the first code.
+    """
+    out, end, code = [], None, 0
     for line in lines:
-        m = _COMMENT.match(line)
-        if m:
+        if end:
+            m = _COMMENT.match(line)
+            t = line[m.end() if m else 0 :].strip()
+            if end in line:
+                end = None
+        else:
+            m = _COMMENT.match(line)
+            if not m:
+                code += 1
+                continue
             t = line[m.end() :].strip()
-            for end in ("*/", "-->", '"""', "'''"):
-                t = t.removesuffix(end).rstrip()
-            out.append(t)
-    return out
+            b = _BLOCK.match(line)
+            if b and (not code or b[1] in ("/*", "<!--")):
+                end = _BLOCKS[b[1]]
+                if line.find(end, b.end()) >= 0:
+                    end = None
+        for close in ("*/", "-->", '"' * 3, "'" * 3):
+            t = t.removesuffix(close).rstrip()
+        out.append((t, code))
+    return [(t, n < TOP or code - n < BOTTOM) for t, n in out]
 
 
 def _squeezed(b: bytes) -> bytes:
@@ -153,18 +178,17 @@ def content_class(text: str, path: str | None, project: str | None) -> str | Non
         return "map"
     lines = [x for x in text.split("\n") if x.strip()]
     n = len(lines)
-    edge = lines[:14] + lines[max(14, n - 4) :]
-    for t in _comment_texts(edge) + ([lines[1].strip()] if n > 1 and lines[0].strip() in ('"""', "'''", "/*", "<!--") else []):
+    for t, outer in _comment_texts(lines):
         if _MARKER.search(t):
             return "generated"
-        m = _NOTICE.search(t)
+        m = _NOTICE.search(t) if outer else None
         if m and m[m.lastgroup].lower().strip(".") not in (project or "").lower().split("/"):
             return "third_party"
-    if _LOCK.search(text[:2000]) or text.count("\n[[package]]") >= 3:
+    code = bool(path and _CODE.search(path))
+    if _LOCK.search(text[:2000] if code else text) or text.count("\n[[package]]") >= 3:  # the text of a lock file may stand in code
         return "lock"
     b = text.encode().translate(_DIGIT)
     size, digits, white = len(b), b.count(b"0"), b.count(b" ") + b.count(b"\n") + b.count(b"\t") + b.count(b"\r")
-    code = bool(path and _CODE.search(path))
     prose = bool(path and _TEXT.search(path))
     if not prose and size >= 500 and white < 0.07 * size and (size / n > 180 or max(map(len, lines)) > 2000):
         return "minified"

@@ -89,3 +89,48 @@ def test_an_excerpt_of_a_large_vendored_file(spark):
     own = [f"let mine_{i} = table.read(Row::at({i * 31 % 997}, \"owner\"));" for i in range(300)]
     got = found(spark, ("p", "vendor/lib/q.txt", "\n".join(big)), ("q", "doc/part.txt", "\n".join(big[400:600])), ("q", "doc/mixed.txt", "\n".join(own + big[:200])), ("q", "doc/own.txt", "\n".join(own)))
     assert got == {0: "third_party", 1: "copy"}
+
+
+PERMISSION = """MIT License
+
+Copyright (c) 2023 the proj contributors
+
+Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to
+the following conditions:
+
+The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+OF CONTRACT, TORT OR OTHERWISE, ARISING FROM THE SOFTWARE.""".splitlines()
+HEADERS = {"lines": "".join(f"// {x}\n" for x in PERMISSION), "stars": "/*\n" + "".join(f" * {x}\n" for x in PERMISSION) + " */\n", "block": "/*\n" + "\n".join(PERMISSION) + "\n{}*/\n"}
+
+
+@pytest.mark.parametrize("header", HEADERS)
+def test_marker_or_notice_after_a_long_header(header):
+    for text, kind in (("Code generated by mill from a.idl. DO NOT EDIT.", "generated"), ("This file is part of the libzip library, version 2.1.0.", "third_party")):
+        h = HEADERS[header]
+        t = h.replace("{}", text + "\n") if header == "block" else h + f"// {text}\n"
+        assert G.content_class(t + HAND, "src/a.rs", "proj") == kind
+        assert G.content_class(h.replace("{}", "") + HAND, "src/a.rs", "proj") is None
+
+
+def test_comments_between_code():
+    body = HAND * 4
+    assert G.content_class(body + "// Code generated by mill from a.idl. DO NOT EDIT.\n" + LONG, "src/a.rs", "proj") == "generated"
+    assert G.content_class(body + "// the loop below was adapted from libzip 2.1\n" + LONG, "src/a.rs", "proj") is None
+    assert G.content_class('x = 1\n"""\nCode generated by mill. DO NOT EDIT.\n"""\ny = 2\n', "a.py", "proj") is None
+
+
+def test_lock_marks_after_a_long_beginning():
+    head = "{\n" + "".join(f'  "field{i}": "{"x" * 40}",\n' for i in range(80))
+    assert G.content_class(head + '  "lockfileVersion": 3\n}\n', "deps.json", "proj") == "lock"
