@@ -33,8 +33,10 @@ from pyspark.sql.window import Window as W
 from kbspark.plans.lineage import cut_lineage
 
 DIM, K = 384, 10
-#: List length while the graph is built; the reserve settles ties and rounding.
+#: List length while the graph is built; the reserve helps the search, ties are cut by id.
 LIST = 14
+#: Single-precision cosines closer than this may be equal once rounded.
+CLOSE = np.float32(1e-5)
 TREES, LEAF, SAMPLE = 3, 500, 20_000
 #: A leaf above this is cut again; nodes of a block beyond its core come in chunks of this size.
 LEAF_MOST, CHUNK = 2_000, 2_500
@@ -178,38 +180,86 @@ def leaves(vectors: DataFrame, trees: Trees, dim: int = DIM, leaf: int = LEAF, m
 _NBR = "array<struct<neg:double,id:long,blk:long>>"
 
 
-def _best(u: np.ndarray, k: int):
-    """Row and column numbers of the k most similar others in a block."""
-    n = len(u)
+def _unit64(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True, initial=0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _first(a: np.ndarray, sim: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """The places, sorted by ``a``, of the k best of each a: most similar first, of equal ones the smaller ``other``."""
+    o = np.lexsort((other, -sim, a))
+    r = a[o]
+    start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.empty(0, int)
+    return o[np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r)))) < k]
+
+
+def _near_first(a: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """The places of all that may be among the k best of each a once their cosines are rounded."""
+    o = np.lexsort((-sim, a))
+    r, v = a[o], sim[o]
+    start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.empty(0, int)
+    n = np.diff(np.append(start, len(r)))
+    last = v[start + np.minimum(n, k) - 1]
+    return o[v >= np.repeat(last, n) - CLOSE]
+
+
+def _best(x: np.ndarray, ids: np.ndarray, k: int):
+    """Row numbers, column numbers and rounded cosines, by row, of the k most similar others in a block; ties by id."""
+    n, u, u64 = len(x), _unit(x), None
     k = min(k, n - 1)
     for i in range(0, n, _ROWS):
         g = u[i : i + _ROWS] @ u.T
-        g[np.arange(len(g)), np.arange(i, i + len(g))] = -3
-        c = np.argpartition(-g, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(-g, axis=1)[:, :k]
-        yield np.arange(i, i + len(g)), c
-
-
-def _better(u: np.ndarray, worst: np.ndarray, k: int, ids: np.ndarray, known: np.ndarray):
-    """Row and column numbers, by row, of the k most similar others of each row that beat its worst neighbour and are not known.
+        at = np.arange(len(g))
+        g[at, at + i] = -3
+        r, c = np.nonzero(g >= np.maximum(np.partition(g, n - k, axis=1)[:, n - k] - CLOSE, -2)[:, None])
+        if len(r) > 4 * k * len(g):  # many ties
+            u64 = _unit64(x) if u64 is None else u64
+            top = _first(r, np.round((u64[i : i + _ROWS] @ u64.T)[r, c], 6), ids[c], k)
+            r, c = r[top], c[top]
+        sim = _exact(x, r + i, c)
+        top = _first(r, sim, ids[c], k)
+        yield r[top] + i, c[top], sim[top]
+
+
+def _better(x: np.ndarray, worst: np.ndarray, worst_id: np.ndarray, k: int, ids: np.ndarray, known: np.ndarray):
+    """Row numbers, column numbers and rounded cosines, by row, of the k most similar others of each row that beat its worst
+    neighbour and are not known; ties by id.
 
     The product is symmetric, so each tile of it serves the rows of both sides.
     """
+    u, u64 = _unit(x), None
     n, least = len(u), (worst - 1e-5).astype(np.float32)
     rows, cols, sims = [], [], []
 
+    def beats(r, c, sim):
+        return (sim > worst[r]) | ((sim == worst[r]) & (ids[c] < worst_id[r]))
+
     def keep(r, c, v):
+        nonlocal u64
         new = (r != c) & ~(ids[c][:, None] == known[r]).any(1)
-        rows.append(r[new])
-        cols.append(c[new])
-        sims.append(v[new])
+        r, c, v = r[new], c[new], v[new]
+        if len(r) > 4 * k * _TILE:
+            near = _near_first(r, v, k)
+            r, c, v = r[near], c[near], v[near]
+        if len(r) > 4 * k * _TILE:  # many ties
+            u64 = _unit64(x) if u64 is None else u64
+            i, j = int(r.min()), int(c.min())
+            sim = np.round((u64[i : r.max() + 1] @ u64[j : c.max() + 1].T)[r - i, c - j], 6)
+            good = np.flatnonzero(beats(r, c, sim))
+            good = good[_first(r[good], sim[good], ids[c[good]], k)]
+            r, c, v = r[good], c[good], v[good]
+        rows.append(r)
+        cols.append(c)
+        sims.append(v)
 
     def floor(g, least):  # of rows whose list is not full yet, the best of the tile are enough
         short = least < -2
         if short.any():
             m = g[short]
-            at = max(m.shape[1] - 1 - k, 0)
+            at = max(m.shape[1] - 1 - k - known.shape[1], 0)
             least = least.copy()
-            least[short] = np.partition(m, at, axis=1)[:, at] - np.float32(1e-6)
+            least[short] = np.partition(m, at, axis=1)[:, at] - CLOSE
         return least[:, None]
 
     for i in range(0, n, _TILE):
@@ -222,11 +272,12 @@ def _better(u: np.ndarray, worst: np.ndarray, k: int, ids: np.ndarray, known: np
                 r, c = np.nonzero(g > floor(g, least[j : j + _TILE]))
                 keep(r + j, c + i, g[r, c])
     r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
-    o = np.lexsort((-v, r))
-    r, c = r[o], c[o]
-    start = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1)) if len(r) else np.empty(0, int)
-    place = np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))
-    return r[place < k], c[place < k]
+    near = _near_first(r, v, k)
+    r, c = r[near], c[near]
+    sim = _exact(x, r, c)
+    good = np.flatnonzero(beats(r, c, sim))
+    good = good[_first(r[good], sim[good], ids[c[good]], k)]
+    return r[good], c[good], sim[good]
 
 
 def _rows(ids, blk, a, b, sim) -> pd.DataFrame:
@@ -244,9 +295,8 @@ def _leaf_lists(dim: int, k: int):
         x, ids, blk = _matrix(pdf.vec, dim), pdf.id.to_numpy(), pdf.blk.to_numpy()
         if len(ids) < 2:
             return _rows(ids, blk, np.empty(0, int), np.empty(0, int), np.empty(0))
-        a, b = zip(*((np.repeat(r, c.shape[1]), c.ravel()) for r, c in _best(_unit(x), k)), strict=True)
-        a, b = np.concatenate(a), np.concatenate(b)
-        return _rows(ids, blk, a, b, _exact(x, a, b))
+        a, b, sim = (np.concatenate(v) for v in zip(*_best(x, ids, k), strict=True))
+        return _rows(ids, blk, a, b, sim)
 
     return run
 
@@ -260,10 +310,10 @@ def _block_lists(dim: int, k: int):
             known[i, : len(nbr)] = nbr
             if len(nbr) >= k:
                 worst[i], worst_id[i] = w, wid
-        a, b = _better(_unit(x), worst, k, ids, known) if n > 1 else (np.empty(0, int), np.empty(0, int))
-        sim = _exact(x, a, b) if len(a) else np.empty(0)
-        keep = (sim > worst[a]) | ((sim == worst[a]) & (ids[b] < worst_id[a]))
-        return _rows(ids, blk, a[keep], b[keep], sim[keep])
+        if n < 2:
+            return _rows(ids, blk, np.empty(0, int), np.empty(0, int), np.empty(0))
+        a, b, sim = _better(x, worst, worst_id, k, ids, known)
+        return _rows(ids, blk, a, b, sim)
 
     return run
 

@@ -83,3 +83,22 @@ def test_dirty_rows_ties_and_a_third_of_copies(spark):
 def test_few_rows(spark, n):
     rows = [(i, str(i), v, None) for i, v in enumerate(clustered(n, 3))]
     assert found(spark, rows) == brute(rows)
+
+
+def near_copies(n, seed=5):
+    """Copies of one direction with different factors; their cosines round to one value, their float32 directions differ."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=DIM)
+    return [np.float32(base * rng.uniform(0.5, 2) + 1e-6 * rng.normal(size=DIM)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("how", [{}, {"leaf": 60, "leaf_most": 90, "chunk": 80, "sample": 200}])
+def test_a_large_group_of_near_copies(spark, how):
+    vs = near_copies(400) + clustered(300, 6)
+    order = np.random.default_rng(8).permutation(len(vs))
+    rows = [(int(i) * 2 + 1, f"h{i}", v, None) for i, v in zip(order, vs, strict=True)]
+    got, want = found(spark, rows, **how), brute(rows)
+    tied = {r[0] for r in rows[:400]}
+    mine = lambda pairs: {p for p in pairs if p[0] in tied and p[1] in tied}
+    assert mine(got) == mine(want)
+    assert len(got & want) / len(want) > 0.95
