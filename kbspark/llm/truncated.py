@@ -206,17 +206,34 @@ def _read(batches):
 
 
 def find_limits(feats: DataFrame) -> DataFrame:
-    """``(_source, measure, size, n)`` of the hidden limits; of several measures that show one the clearest stays."""
+    """``(_source, measure, size, n)`` of the hidden limits; of several measures that show the same texts the clearest stays."""
     texts = feats.select("_source", "cut", "sizes", "hash").distinct()  # copies of one text are no peak
     total = texts.groupBy("_source").agg(F.count(F.lit(1)).alias("total"))
-    sizes = texts.select("_source", "cut", F.posexplode("sizes").alias("measure", "size"))
+    sizes = texts.select("_source", "cut", "hash", F.posexplode("sizes").alias("measure", "size"))
     hist = sizes.groupBy("_source", "measure", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("open"))
     near = W.partitionBy("_source", "measure").orderBy("size").rangeBetween(-NEAR, NEAR)
     peaks = hist.withColumn("around", (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)).where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= LIMIT_TIMES * (F.col("around") + 0.25)) & (F.col("open") >= LIMIT_OPEN * F.col("n")))
     p, t = peaks.alias("p"), total.alias("t")
     peaks = p.join(t, F.col("p._source").eqNullSafe(F.col("t._source"))).where(F.col("p.n") >= LIMIT_OF_SOURCE * F.col("t.total")).select("p.*")
-    best = W.partitionBy("_source").orderBy(F.col("n").desc(), "measure", "size")
-    return peaks.withColumn("rk", F.row_number().over(best)).where("rk = 1").select("_source", "measure", "size", "n")
+    peaks = cut_lineage(peaks.select("_source", "measure", "size", "n"))
+    s, p = sizes.select("_source", "hash", "measure", "size").alias("s"), peaks.alias("p")
+    same = F.col("s._source").eqNullSafe(F.col("p._source")) & (F.col("s.measure") == F.col("p.measure")) & (F.col("s.size") == F.col("p.size"))
+    # a text stands in one peak per measure at most, so only few pairs of peaks come from each
+    at = s.join(p, same).groupBy("s._source", "s.hash").agg(F.array_distinct(F.collect_list(F.struct("p.n", "p.measure", "p.size"))).alias("at"))
+    pairs = at.select("_source", "at", F.explode("at").alias("a")).select("_source", "a", F.explode("at").alias("b")).groupBy("_source", "a", "b").agg(F.count(F.lit(1)).alias("both"))
+    pairs = pairs.select("_source", F.col("a.n").alias("n"), F.col("a.measure").alias("measure"), F.col("a.size").alias("size"), F.col("b.measure").alias("measure_b"), F.col("b.size").alias("size_b"), "both")
+    return pairs.groupBy("_source").applyInPandas(_own_limits, "_source string, measure int, size long, n long")
+
+
+def _own_limits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the peaks of a source, the clearest first, those that do not share most of their texts with a clearer one."""
+    both = {(m, s, mb, sb): n for m, s, mb, sb, n in zip(pdf.measure, pdf["size"], pdf.measure_b, pdf.size_b, pdf.both, strict=True)}
+    peaks = pdf[["_source", "measure", "size", "n"]].drop_duplicates(["measure", "size"]).sort_values(["n", "measure", "size"], ascending=[False, True, True])
+    kept: list = []
+    for m, s, n in zip(peaks.measure, peaks["size"], peaks.n, strict=True):
+        if all(2 * both.get((m, s, *k), 0) < n for k in kept):
+            kept.append((m, s))
+    return peaks[[k in set(kept) for k in zip(peaks.measure, peaks["size"], strict=True)]]
 
 
 def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", kind_col: str = "doc_kind") -> DataFrame:
@@ -252,13 +269,18 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _with_limits(feats: DataFrame, limits: DataFrame) -> DataFrame:
-    f, m = feats.alias("f"), limits.alias("m")
+    of = limits.groupBy("_source").agg(F.collect_list(F.struct("measure", "size")).alias("limits"))
+    f, m = feats.alias("f"), of.alias("m")
     joined = f.join(m, F.col("f._source").eqNullSafe(F.col("m._source")), "left")
-    size = F.element_at("f.sizes", F.col("m.measure") + 1)
-    slack = F.element_at(F.array(*[F.lit(_WIDE.get(x, 0)) for x in MEASURES]), F.col("m.measure") + 1)
-    several = size > F.element_at("f.sizes", 1)  # some character takes more than one unit
-    short = several & (size < F.col("m.size")) & (size >= F.col("m.size") - slack) & F.col("f.cut")
-    return joined.select("f.*", F.coalesce((size == F.col("m.size")) | short, F.lit(False)).alias("at_limit"))
+    wide = F.array(*[F.lit(_WIDE.get(x, 0)) for x in MEASURES])
+
+    def met(limit):
+        size = F.element_at("f.sizes", limit["measure"] + 1)
+        several = size > F.element_at("f.sizes", 1)  # some character takes more than one unit
+        short = several & (size < limit["size"]) & (size >= limit["size"] - F.element_at(wide, limit["measure"] + 1)) & F.col("f.cut")
+        return (size == limit["size"]) | short
+
+    return joined.select("f.*", F.coalesce(F.exists("m.limits", met), F.lit(False)).alias("at_limit"))
 
 
 def truncation_rates(documents: DataFrame, found: DataFrame, source_col: str = "source") -> DataFrame:

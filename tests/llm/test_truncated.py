@@ -66,3 +66,23 @@ def test_corpus(spark):
     rates = {r.source: (r.texts, r.truncated) for r in T.truncation_rates(df, got).collect()}
     assert rates == {"limited": (302, 50), None: (201, 20), "other": (4, 2)}
     assert T.find_truncated(df.limit(0)).count() == 0
+
+
+def test_every_limit_of_a_source_counts(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        text = " ".join(r.choice(["alpha", "bravo", "charlie", "delta", "to", "it", "queue", "of", "then. The"]) for _ in range(r.randrange(60, 500))) + " ends."
+        if i < 40:
+            text = (text * 9)[:900]
+        elif i < 60:
+            text = (text * 9)[:1500]
+        if i in (0, 40):
+            text = text[:-1] + "."
+        rows.append((i, text, "s", "answer"))
+    got = T.find_truncated(spark.createDataFrame(rows, "doc_id long, text string, source string, doc_kind string"))
+    out = [(x.doc_id, x.reason) for x in got.collect()]
+    assert len(out) == len({i for i, _ in out})
+    assert {i for i, reason in out if reason == "limit"} >= set(range(60))
