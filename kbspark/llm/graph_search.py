@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kbspark.llm.neighbours import DIM, K, Trees, _matrix, _unit
+from kbspark.llm.neighbours import DIM, K, Trees, _matrix, _unit, live_groups, neighbour_graph, spread_groups
 from kbspark.plans.lineage import cut_lineage
 
 BEAM, WIDTH, STARTS, STEPS = 32, 6, 3, 24
@@ -71,3 +71,18 @@ def graph_search(queries: DataFrame, graph: DataFrame, placed: DataFrame, trees:
         seen = cut_lineage(seen.unionByName(new))
     out = state.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "id", F.col("sim").alias("similarity"))
+
+
+def search_rows(cache: DataFrame, asked: str, k: int = K, dim: int = DIM, **how) -> DataFrame:
+    """``(query_id, rank, id, similarity)`` for every live row for which ``asked`` holds, over all live rows.
+
+    Each direction is searched once; the rows of one direction are joined back into queries and answers.
+    """
+    live, groups, vectors = live_groups(cache, k, dim)
+    graph, placed, trees = neighbour_graph(vectors, dim, **how)
+    wanted = live.where(asked)
+    reps = groups.join(wanted.select("sig").distinct(), "sig", "left_semi").select(F.col("rep").alias("id"))
+    found = graph_search(vectors.join(reps, "id", "left_semi").select(F.col("id").alias("query_id"), "vec"), graph, placed, trees, k, dim)
+    near = found.select(F.col("query_id").alias("rep"), (-F.col("similarity")).alias("neg"), F.col("id").alias("other"))
+    out = spread_groups(near, wanted, groups, k)
+    return out.select(F.col("id").alias("query_id"), "rank", F.col("other").alias("id"), "similarity")

@@ -382,15 +382,8 @@ def neighbour_graph(vectors: DataFrame, dim: int = DIM, k: int = LIST, trees: in
     return graph, placed, planes
 
 
-def live_vectors(cache: DataFrame, dim: int = DIM) -> DataFrame:
-    """``(id, vec)`` of the live rows, of those with one direction the smallest id."""
-    usable = cut_lineage(usable_vectors(cache, dim))
-    reps = live_ids(usable).groupBy("sig").agg(F.min("id").alias("id")).select("id")
-    return cut_lineage(usable.groupBy("id").agg(F.min("vec").alias("vec")).join(reps, "id"))
-
-
-def most_similar(cache: DataFrame, k: int = K, dim: int = DIM, **how) -> DataFrame:
-    """``(id, rank, other, similarity)``: for every live row its k most similar other live rows."""
+def live_groups(cache: DataFrame, k: int = K, dim: int = DIM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Live rows ``(id, sig)``, groups of one direction ``(sig, rep, n, ids)`` and the vectors ``(id, vec)`` of their smallest ids."""
     usable = cut_lineage(usable_vectors(cache, dim))
     live = cut_lineage(live_ids(usable))
     groups = live.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -398,9 +391,12 @@ def most_similar(cache: DataFrame, k: int = K, dim: int = DIM, **how) -> DataFra
     first = first.groupBy("sig").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     groups = cut_lineage(groups.join(first, "sig"))
     vectors = cut_lineage(usable.groupBy("id").agg(F.min("vec").alias("vec")).join(groups.select(F.col("rep").alias("id")), "id"))
-    graph, _, _ = neighbour_graph(vectors, dim, max(LIST, k + 4), **how)
+    return live, groups, vectors
+
+
+def spread_groups(near: DataFrame, live: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """``(id, rank, other, similarity)`` of the live rows asked for, from lists ``(rep, neg, other)`` of one row per direction."""
     spread = groups.where("n > 1").select(F.col("rep").alias("other"), F.slice("ids", 1, k).alias("ids"))
-    near = graph.select(F.col("id").alias("rep"), F.explode("nbr").alias("n")).select("rep", F.col("n.neg").alias("neg"), F.col("n.id").alias("other"))
     near = near.join(spread, "other", "left").select("rep", "neg", F.explode(F.coalesce("ids", F.array("other"))).alias("id"))
     own = groups.where("n > 1").select("rep", F.lit(-1.0).alias("neg"), F.explode("ids").alias("id"))
     lists = near.unionByName(own).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("neg", "id"))), 1, k + 1).alias("nbr"))
@@ -410,6 +406,14 @@ def most_similar(cache: DataFrame, k: int = K, dim: int = DIM, **how) -> DataFra
     return kept.select("id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("other"), (-F.col("x.neg")).alias("similarity"))
 
 
+def most_similar(cache: DataFrame, k: int = K, dim: int = DIM, **how) -> DataFrame:
+    """``(id, rank, other, similarity)``: for every live row its k most similar other live rows."""
+    live, groups, vectors = live_groups(cache, k, dim)
+    graph, _, _ = neighbour_graph(vectors, dim, max(LIST, k + 4), **how)
+    near = graph.select(F.col("id").alias("rep"), F.explode("nbr").alias("n")).select("rep", F.col("n.neg").alias("neg"), F.col("n.id").alias("other"))
+    return spread_groups(near, live, groups, k)
+
+
 def similar_pairs(cache: DataFrame, k: int = K, dim: int = DIM, **how) -> DataFrame:
     """``(cache_id_a, cache_id_b)``, a < b, where one is among the k most similar of the other."""
     m = most_similar(cache, k, dim, **how)

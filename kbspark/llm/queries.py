@@ -24,11 +24,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most similar distinct vectors for every vector whose id is divisible by 50, by greedy search in the graph."""
-    vectors = N.live_vectors(_table(spark, d, "embedding_cache"))
-    graph, placed, trees = N.neighbour_graph(vectors)
-    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
-    return GS.graph_search(asked, graph, placed, trees)
+    """The ten most similar live rows for every live row whose id is divisible by 50, by greedy search in the graph."""
+    return GS.search_rows(_table(spark, d, "embedding_cache"), "id % 50 = 0")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

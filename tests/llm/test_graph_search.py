@@ -34,3 +34,18 @@ def test_nothing_asked(spark):
     assert G.graph_search(v.limit(0).withColumnRenamed("id", "query_id"), graph, placed, trees, dim=DIM).count() == 0
     one = v.where("id = 0").withColumnRenamed("id", "query_id")
     assert sorted(r.id for r in G.graph_search(one, graph, placed, trees, dim=DIM).collect()) == [1, 2, 3, 4]
+
+
+def test_every_row_of_a_direction_asks_and_answers(spark):
+    dim, rng = 16, np.random.default_rng(9)
+    vec = {i: rng.normal(size=dim).astype(np.float32) for i in range(1, 61)}
+    vec |= {100 + i: vec[7] * (1 + i % 2) for i in range(30)} | {150: vec[9]}
+    cache = spark.createDataFrame([(i, f"h{i}", v.tolist(), None) for i, v in vec.items()], "cache_id long, hash string, embedding array<float>, cached_at timestamp")
+    got = G.search_rows(cache, "id % 50 = 0", dim=dim).collect()
+    ids = sorted(vec)
+    u = np.array([vec[i] / np.linalg.norm(vec[i].astype(float)) for i in ids])
+    for q in (50, 100, 150):
+        s = np.round(u @ u[ids.index(q)], 6)
+        want = sorted((-s[n], i) for n, i in enumerate(ids) if i != q)[:10]
+        assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in want]
+    assert {r.query_id for r in got} == {50, 100, 150}
