@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent and no folder was set before
-    (a local session, as in tests) a temporary one is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting (as in tests) gets a
+    temporary one; on a cluster a folder of one machine would lose data, so there its absence is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kbspark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

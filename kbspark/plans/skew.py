@@ -56,3 +56,25 @@ def anti_join_skewed(left: DataFrame, right: DataFrame, keys: Sequence[str], con
     salted = hot.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int"))
     copies = right_hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return out.unionByName(anti(salted, copies, [*keys, "_salt"]).drop("_salt"))
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: Sequence[str], parts: int = HEAVY_PARTS) -> DataFrame:
+    """Inner join of ``left``, which may hold a third of its rows in one key, with ``right``.
+
+    Rows of the heavy keys meet the broadcast rows of ``right`` for them (fewer than BROADCAST_ROWS, counted first) or
+    are salted against copies of these; the rest is shuffled. ``left`` is read again for the counts, so it should be
+    cheap or cut from its lineage. Column names of both sides but the keys must differ.
+    """
+    keys = list(keys)
+    heavy = heavy_keys(left, keys, parts)
+    few = heavy.sparkSession.createDataFrame(heavy.collect(), heavy.schema)  # fewer than HEAVY_PARTS rows
+    if few.isEmpty():
+        return left.join(right, keys)
+    h = F.broadcast(few)
+    rest = left.join(h, keys, "left_anti").join(right, keys)
+    hot, right_hot = left.join(h, keys, "left_semi"), right.join(h, keys, "left_semi")
+    if right_hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rest.unionByName(hot.join(F.broadcast(right_hot), keys))
+    salted = hot.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int"))
+    copies = right_hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rest.unionByName(salted.join(copies, [*keys, "_salt"]).drop("_salt"))

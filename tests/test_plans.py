@@ -1,7 +1,8 @@
 import subprocess
 import sys
 
-from kbspark.plans.skew import heavy_keys
+from kbspark.plans import skew
+from kbspark.plans.skew import heavy_keys, join_skewed
 from kbspark.plans.spread import spread
 
 SCRIPT = """
@@ -35,3 +36,13 @@ def test_heavy_keys(spark):
 def test_spread(spark):
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() >= 8
     assert spread(spark.range(10).repartition(20)).rdd.getNumPartitions() == 20
+
+
+def test_join_skewed_is_a_join(spark, monkeypatch):
+    left = spark.createDataFrame([("hot" if i % 2 else f"k{i % 40}", i) for i in range(2000)] + [(None, 1)], "k string, v long")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k2", 3), ("k99", 4), (None, 5)], "k string, w long")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, join_skewed(left, right, ["k"]).collect())) == want
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, join_skewed(left, right, ["k"]).collect())) == want
+    assert join_skewed(left.limit(0), right, ["k"]).count() == 0
