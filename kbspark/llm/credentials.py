@@ -1,13 +1,14 @@
 """Problem 4: credentials embedded in source code and configuration.
 
-Around every place that may name a credential the code is read lexically: an identifier is split into words, its last
-words decide whether it names a credential, and the literals assigned or passed to it are taken apart from the way they
-are written (type annotations, decoding calls, joined parts, values on the next line, unquoted values of configuration
-formats). Forms without such a name (URLs, headers, command lines, key blocks, SQL, running text) have readers of their
-own. A literal is reported if it is no placeholder and no look-up and could be a working value; ``mask`` replaces just
-its characters, so that delimiters, escapes and line ends stay.
-
-Each content is read in one pass and only around such places, so the cost follows the text. Defined results: null and
+The code is read as tokens: one lexer per family of languages knows strings with their prefixes and escapes, comments,
+names and operators, and what stands in comments and strings is read as tokens again. A name is split into words, its
+last words decide whether it names a credential, and rules on the tokens behind it take apart the literals assigned or
+passed to it (type annotations, decoding calls, joined parts, values on the next line, unquoted values of configuration
+formats, settings within a string). Forms without such a name (URLs, headers, command lines, key blocks, SQL, running
+text, log-in calls) have readers of their own. A literal is reported if it is no placeholder and no look-up and could
+be a working value; ``mask`` replaces just its characters, so that delimiters, escapes and line ends stay.
+
+Each content is read as tokens once; rules run on lines that hold what they need. Defined results: null and
 empty contents give nothing; a missing path is treated as that of code; a value over several lines is one, reported by
 the line where it starts; repeated rows are treated each by itself; further columns are ignored.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
 import heapq
 import re
 
@@ -37,7 +39,7 @@ _PLACEHOLDER = re.compile(
     r"|[<\[{(].*[>\]})]|[$%@!&].*[{(].*|\$\w+|%\w+%|.*\{\{.*\}\}.*|.*\$\{.*\}.*|.*<[\w\s-]+>.*|(?:vault|env|ssm|arn|file|ref|secret|sops|op|gcp|aws|azure|kms|keychain)[:/].*|ENC\[.*|!\w+|.*(?:your|my)[-_](?:api|key|token|password|secret).*|.*example(?:key)?$|.*(?:placeholder|changeme|redacted|not[-_]?a[-_]?real|dummy).*)$",
     re.I | re.S,
 )
-_FORMATS = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{18,}|xox[abeoprs]-[\w-]{10,}|[sr]k_(?:live|test)_\w{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{10,}|npm_\w{30,}|args-\w{6,}-\w{10,}"
+_FORMATS = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{18,}|xox[abeoprs]-[\w-]{10,}|[sr]k_(?:live|test)_\w{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{10,}|npm_\w{30,}"
 _FORMAT = re.compile(rf"(?<![\w/+.-])(?:{_FORMATS})(?![\w/+=])")
 _SUFFIX_NOT = {"hash", "env", "file", "path", "ref", "label", "count", "len", "length", "max", "min", "limit", "age", "ttl", "name", "field", "column", "hint", "prompt", "policy", "type", "kind", "header", "prefix", "suffix", "url", "uri", "format", "regex", "pattern", "placeholder", "expiry", "expires", "id", "size", "bits", "digest", "checksum", "sum", "var", "param", "help", "title", "text", "message", "msg", "error", "public", "pub", "index", "idx", "dir", "store", "provider", "source", "manager", "rotation", "version", "status", "enabled", "required", "fingerprint", "from", "location", "arn", "reset", "strength", "rules", "rule", "example"}
 
@@ -46,15 +48,8 @@ _SUFFIX_NOT = {"hash", "env", "file", "path", "ref", "label", "count", "len", "l
 # every word of _STRONG and _WEAK has its part here; the token formats are looked for as they are.
 _PAT = r"pat(?![a-z])|pat(?:value|plain)"
 ANCHOR = re.compile(rf"pass|pwd|pw|senha|contrase|clave|kennwort|mdp|secret|key|token|credential|bearer|basic|auth|cookie|signature|salt|://|-----begin|login|cred|connect\(|sign_?in\(|(?<!\S)--?u|{_PAT}|dsn|identified|log in")
-_NAME = re.compile(r"[A-Za-z_][\w.\-]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_AFTER_NAME = re.compile(r"""(?P<close>\\?["'`]?\]?)[ \t]{0,200}(?:\[\d*\])?[ \t]{0,200}(?::[ \t]{0,200}(?:&?(?:'static[ \t]{1,200})?)?(?:str|String|string|any|char|bytes|Option<String>)[ \t]{0,200}(?==))?(?P<op>:=|=>|=(?!=)|:(?!:)|,)[ \t]{0,200}""")
-_DEFINE = re.compile(r"[ \t]{1,200}(?=[\"'])")
-_WRAP = re.compile(r"(?:[A-Za-z_][\w.:]*!?[ \t]{0,200}\(|\(|\[|&|\*)[ \t]{0,200}")
-_WRAP_OK = re.compile(r"^(?:.*(?:from|concat|b64|base64|atob|decode|unhex|hex|bytes|join|string|buffer|str|new|to_owned|secret|some|quote|strip)\w*!?[ \t]{0,200}\(|\(|\[|&|\*)[ \t]{0,200}$", re.I)
-_CONTINUE = re.compile(r"(?:[>|][+-]?[ \t]{0,200}(?:#[^\n]*)?|\\|\+|\()?[ \t]{0,200}\r?\n[ \t]{0,200}(?:[/#*-]+[ \t]{0,200})?")
-_STRING = re.compile(r"""[bBrRuUf]{0,2}(?:\"\"\"(?P<t>.*?)\"\"\"|"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<g>[^`]*)`)""", re.S)
-_GLUE = re.compile(r"[ \t]{0,200}(?:\+|,|\.|&|<>|\\)?[ \t]{0,200}(?:\\?\r?\n[ \t]{0,200}(?:[/#*-]+[ \t]{1,200})?)?(?:\+|\.)?[ \t]{0,200}(?=[bBrRuU]?[\"'`])")
+_WRAP_OK = re.compile(r"from|concat|b64|base64|atob|decode|unhex|hex|bytes|join|string|buffer|str|new|to_owned|secret|some|quote|strip", re.I)
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 _URL = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.-]*://(?P<u>[^\s:/@\"'`<>]*):(?P<p>[^\s\"'`/<>]+)@(?=[\w.\[-])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -64,18 +59,121 @@ _SCHEME = re.compile(r"\b(?:Basic|Bearer)[ \t]{1,200}(?P<v>[A-Za-z0-9+/=_.~-]{8,
 _BASIC_ARG = re.compile(r"(?:^|\s)(?:-u|--user)[ =]?[\"']?(?P<u>[\w.@-]+):(?P<v>[^\s\"'`]+)")
 _FLAG = re.compile(r"--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth-token|access-token|client-secret)[ =][\"']?(?P<v>[^\s\"'`]+)", re.I)
 _P_ARG = re.compile(r"(?:^|\s)-u[ =]?\S+\s+(?:-[a-z]\s+\S+\s+)*-p(?P<v>[^\s\"'`]+)")
-_LOGIN = re.compile(r"\b(?:\w*login|connect|authenticate|auth|sign_?in|basic_?auth|set_?basic_?auth|credentials)\((?P<a>[^()\n]*)\)", re.I)
 _SQL = re.compile(r"(?:password|identified[ \t]{1,200}by)[ \t]{1,200}(?:by[ \t]{1,200})?'(?P<v>[^'\n]+)'", re.I)
 _NETRC = re.compile(r"\blogin[ \t]{1,200}\S+[ \t]{1,200}password[ \t]{1,200}(?P<v>[^\s\"'`]+)", re.I)
 _PROSE = re.compile(r"(?<![\w-])[\w-]*(?:pass|pwd|secret|api_?key|credential|bearer|token|senha|_key)\w*(?:[ \t]{1,200}`?[\w.-]+`?){0,6}?[ \t]{1,200}(?:is[ \t]{1,200}(?P<v>[^\s\"'`]+)|`(?P<w>[^`\s]+)`)", re.I)
 _LOGIN_AS = re.compile(r"\blog ?in as `?[\w.@-]+`? with `?(?P<v>[^`\s]+)`?", re.I)
+_LOGIN = re.compile(r"\w*login|connect|authenticate|auth|sign_?in|basic_?auth|set_?basic_?auth|credentials", re.I)
+_GETTER = re.compile(r"(?:get|read|load|fetch|find|require|resolve|lookup|from|has|is|check|verify|hash|env|need|decode|decrypt|parse|validate|print|log|mask|redact)", re.I)
+_NAME_ONLY = re.compile(r"\s{0,20}[A-Za-z_][\w.\- ]{0,77}")
+_SETTING_VALUE = re.compile(r"""[^\s;&"'`,(){}<>\\]+""")
 _CONFIG = re.compile(r"(?:\.(?:ya?ml|env|sh|bash|toml|ini|cfg|conf|properties|md|txt|rst|sql|netrc|tf|dockerfile)|(?:^|/)\.env[^/]*|(?:^|/)dockerfile)$", re.I)
 _UNSPACED = re.compile(r"[^ \n]*")
-_COMMENT = re.compile(r"^[ \t]{0,200}(?:#|//|--|/\*|\*|;|>|<!--)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_.~%-]++=*+")
+# Words of sentences, and words that settings have where others have a value.
+_SENTENCE = set("the and for you your our their its this that these those with from into must should can may not are was were has have been will please enter choose type use used set when where which what how who too or to of in on at is be a an as by it if no new old invalid wrong missing required incorrect expired least characters".split())
+_SETTING = set("required optional disabled enabled username database postgres localhost internal external automatic rotating inherited protected encrypted plaintext anonymous interactive keychain keyring readonly supersecret".split())
 _WORDY = re.compile(r"^[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]\d{2,4}$")
 
 
+# -- tokens -------------------------------------------------------------------------------------------------------------
+
+_DQ, _BQ, _SLASHED, _BLOCK = r'"(?:[^"\\\n]|\\.)*"', r"`[^`]*`", r"//[^\n]*(?:\n[ \t]*//[^\n]*)*", r"/\*.*?(?:\*/|\Z)"
+_SQ = r"'(?:[^'\\\n]|\\.)*'"
+_HASHED = r"#[^\n]*(?:\n[ \t]*#[^\n]*)*"
+_WORD_NAME, _CODE_NAME = r"[A-Za-z_][\w.\-]*", r"[A-Za-z_$][\w$]*"
+
+
+def _lexer(comment: str, string: str, name: str = _CODE_NAME, prefix: str = "") -> tuple[re.Pattern, re.Pattern]:
+    """The pattern of all tokens and the one of comments and strings alone, which tells where these are."""
+    fine = rf"(?P<comment>{comment})|(?P<string>{prefix}(?:{string}))|(?P<name>{name})|(?P<number>\d[\w.]*)|(?P<line>\r?\n)|(?P<op>:=|=>|==|!=|<=|>=|->|::|[^\s\w])"
+    return re.compile(fine, re.S), re.compile(rf"{comment}|{string}", re.S)
+
+
+#: One lexer per family of languages; ``text`` is for what stands in comments and strings and for running text.
+_LEX = {
+    "c": _lexer(rf"{_SLASHED}|{_BLOCK}", rf"{_DQ}|{_SQ}|{_BQ}", prefix=r"(?:L|u8?|U|@|\$)?"),
+    "any": _lexer(rf"{_SLASHED}|{_BLOCK}|(?m:^[ \t]*#(?!define|include|\[|!)[^\n]*)", rf"{_DQ}|{_SQ}|{_BQ}", prefix="[A-Za-z]?"),
+    "rs": _lexer(rf"{_SLASHED}|{_BLOCK}", rf"r(?P<h>#*)\".*?\"(?P=h)|{_DQ}|'(?:[^'\\\n]|\\[^\n]{{1,10}}?)'", prefix="[bc]?"),
+    "py": _lexer(_HASHED, rf"\"{{3}}.*?\"{{3}}|'{{3}}.*?'{{3}}|{_DQ}|{_SQ}", prefix="[bBrRuUfF]{0,2}"),
+    "sql": _lexer(rf"--[^\n]*(?:\n[ \t]*--[^\n]*)*|{_BLOCK}", rf"'(?:[^']|'')*'|{_DQ}|`[^`\n]*`", prefix="[NEB]?"),
+    "conf": _lexer(r"(?<![^\s])[#;][^\n]*(?:\n[ \t]*[#;][^\n]*)*", rf"{_DQ}|(?<!\w){_SQ}|`[^`\n]*`", _WORD_NAME),
+    "text": _lexer(r"<!--.*?(?:-->|\Z)", rf"\\\"[^\"\\\n]*\\\"|{_DQ}|(?<!\w)'(?:[^'\\\n]|\\.)*'(?!\w)|`[^`\n]*`", _WORD_NAME),
+}
+_FAMILY = {"rs": "rs", "sql": "sql", "lua": "sql", "hs": "sql"} | dict.fromkeys(("py", "pyi", "rb", "pl", "r", "tf", "cmake"), "py")
+_FAMILY |= dict.fromkeys(("yaml", "yml", "env", "sh", "bash", "zsh", "toml", "ini", "cfg", "conf", "properties", "netrc", "dockerfile", "lock"), "conf") | dict.fromkeys(("md", "txt", "rst", "adoc", "html", "xml"), "text")
+_PREFIX = re.compile(r"[A-Za-z$@]{0,2}8?(#*)(\"{3}|'{3}|\\?[\"'`])")
+#: What begins a line of a comment, a quoted mail or a list.
+_LEAD = re.compile(r"[ \t]{0,200}(?:[/#*>;]+|--+)[ \t]{0,200}")
+
+
+def family(path: str | None) -> str:
+    """The family of languages of a path; of two endings the one that is known counts."""
+    name = (path or "").strip().replace("\\", "/").rsplit("/", 1)[-1].lower()
+    if name.startswith(".env") or "dockerfile" in name:
+        return "conf"
+    for part in reversed(name.split(".")[1:]):
+        if part in _FAMILY:
+            return _FAMILY[part]
+    return "any" if "." not in name else "c"
+
+
+class Tokens:
+    """The tokens of a part of a text, read as far as they are asked for: kinds (comment, string, name, number, line, op) and places."""
+
+    def __init__(self, text: str, a: int, b: int, lexer: str, note: bool):
+        self.text, self.note = text, note  # a note is a comment: its values need no quotes
+        self.typed = lexer in ("c", "rs", "py")
+        self.kind, self.start, self.end, self.inner = [], [], [], {}
+        self.rest = _LEX[lexer][0].finditer(text, a, b)
+
+    def next(self) -> bool:
+        m = next(self.rest, None)
+        if m is None:
+            return False
+        self.kind.append(m.lastgroup if m.lastgroup != "h" else "string")
+        self.start.append(m.start())
+        self.end.append(m.end())
+        return True
+
+    def has(self, i: int) -> bool:
+        while len(self.kind) <= i:
+            if not self.next():
+                return False
+        return i >= 0
+
+    def word(self, i: int) -> str:
+        return self.text[self.start[i] : self.end[i]] if self.has(i) else ""
+
+    def is_(self, i: int, *kinds: str) -> bool:
+        return self.has(i) and self.kind[i] in kinds
+
+    def content(self, i: int) -> tuple[int, int]:
+        """The place of what a string or comment holds."""
+        a, b = self.start[i], self.end[i]
+        if self.kind[i] == "string":
+            m = _PREFIX.match(self.text, a)
+            return m.end(), max(b - len(m[1]) - len(m[2]), m.end())
+        return a, b
+
+    def within(self, i: int) -> Tokens:
+        """The tokens inside of a string or comment."""
+        if i not in self.inner:
+            self.inner[i] = Tokens(self.text, *self.content(i), "text", self.note or self.kind[i] == "comment")
+        return self.inner[i]
+
+    def between(self, a: int, b: int) -> range:
+        """The tokens that touch a stretch of the text."""
+        while (not self.start or self.start[-1] < b) and self.next():
+            pass
+        i = bisect.bisect_right(self.start, a) - 1
+        return range(i if i >= 0 and self.end[i] > a else i + 1, bisect.bisect_left(self.start, b))
+
+
+# -- names and values -----------------------------------------------------------------------------------------------------
+
+
+@functools.lru_cache(1 << 16)
 def _name_class(name: str) -> int:
     """2 for the name of a credential, 1 for one that may be, 0 otherwise."""
     words = [w.lower() for w in _WORDS.findall(name.rsplit(".", 1)[-1])]
@@ -99,6 +197,19 @@ def _mixed(v: str) -> int:
     return sum((any(c.islower() for c in v), any(c.isupper() for c in v), any(c.isdigit() for c in v), any(not c.isalnum() for c in v)))
 
 
+def passphrase(v: str) -> bool:
+    """Whether a literal is some words without the grammar of a sentence."""
+    words = v.split()
+    return len(words) >= 3 and len(v) >= 15 and all(re.fullmatch(r"[a-z]{3,12}|\d{1,4}", w) for w in words) and not set(words) & _SENTENCE and not any(_name_class(w) for w in words)
+
+
+def plain_secret(v: str) -> bool:
+    """Whether a quoted value of a password or key may be one although it is of letters or digits alone."""
+    if v.isdigit():
+        return len(v) >= 8
+    return len(v) >= 8 and v.isascii() and v.isalpha() and v.islower() and not _PLACEHOLDER.match(v) and not _name_class(v) and v not in _SETTING
+
+
 def could_work(v: str, certain: bool) -> bool:
     """Whether a literal could be a working credential: no placeholder, name, number, path, or sentence."""
     v = v.strip()
@@ -106,6 +217,8 @@ def could_work(v: str, certain: bool) -> bool:
         if not _ENCODED.fullmatch(v) or len(set(v)) < 12:
             return False
         return any(c.isdigit() for c in v) and (certain or _mixed(v) >= 3 or bool(re.fullmatch(r"[0-9a-fA-F]+", v)))
+    if certain and passphrase(v):
+        return True
     if len(v) < 6 or any(c.isspace() for c in v) or _PLACEHOLDER.match(v):
         return False
     if _FORMAT.fullmatch(v) or _WORDY.match(v):
@@ -136,6 +249,8 @@ class _Reader:
     def __init__(self, text: str, path: str | None):
         self.text = text
         self.config = bool(path and _CONFIG.search(path.strip().replace("\\", "/")))
+        self.lexer = family(path)
+        self.shells: list[tuple[int, int]] | None = None
         self.found: dict[int, list[tuple[int, int]]] = {}
         self.taken: list[tuple[int, int]] = []  # sorted
         self.bare = (0, -1)
@@ -148,6 +263,13 @@ class _Reader:
             for span in spans:
                 bisect.insort(self.taken, span)
 
+    def tokens(self, a: int) -> Tokens:
+        """The tokens from the place ``a`` on, or from the start of the string or comment it lies in."""
+        if self.shells is None:
+            self.shells = [m.span() for m in _LEX[self.lexer][1].finditer(self.text)]
+        i = bisect.bisect_left(self.shells, (a, 0)) - 1
+        return Tokens(self.text, self.shells[i][0] if i >= 0 and self.shells[i][1] > a else a, len(self.text), self.lexer, False)
+
     def bare_end(self, pos: int) -> int:
         """The next blank or line end from ``pos``; found once for all places before it."""
         if not self.bare[0] <= pos <= self.bare[1]:
@@ -155,70 +277,178 @@ class _Reader:
             self.bare = pos, m.end()
         return self.bare[1]
 
-    def literal(self, pos: int, joined: bool) -> tuple[str, list[tuple[int, int]]] | None:
-        """The string literal at ``pos``, with the parts glued to it."""
-        m = _STRING.match(self.text, pos)
-        if not m:
-            return None
+    # -- rules on tokens
+
+    def operator(self, t: Tokens, i: int, quoted: bool) -> tuple[str, int] | None:
+        """The operator that gives a value to the name before token i, and the token after it."""
+        if t.word(i) == "]":
+            i += 1
+        if t.word(i) == "[":  # an array of characters
+            i += 3 if t.is_(i + 1, "number") else 2
+        op = t.word(i)
+        if op == ":":  # perhaps the type before an assignment
+            j = i + 1
+            while (t.is_(j, "name") or t.word(j) in ("&", "<", ">", "[", "]", ".", "?", "|", "::", "'", "*")):
+                j += 1
+            if j > i + 1 and t.word(j) == "=" and (t.typed or t.is_(j + 1, "string")):
+                return "=", j + 1
+        if op in ("=", ":=", "=>", ":") or op == "," and quoted:
+            return op, i + 1
+        return None
+
+    def call(self, t: Tokens, i: int) -> int:
+        """The token after the opening of a call that makes a value of its literal, or ``i`` if there is none there."""
+        if t.word(i) in ("(", "[", "&", "*"):
+            return i + 1
+        j, good = i, False
+        while t.is_(j, "name") or j > i and t.word(j) in (".", "::", "!"):
+            good |= t.is_(j, "name") and bool(_WRAP_OK.search(t.word(j)))
+            j += 1
+        return j + 1 if good and t.word(j) == "(" else i
+
+    def literal(self, t: Tokens, i: int, joined: bool) -> tuple[str, list[tuple[int, int]]]:
+        """The string at token i with the parts glued to it."""
         value, spans = "", []
-        while m:
-            k = m.lastgroup
-            value += m[k]
-            spans.append(m.span(k))
-            g = _GLUE.match(self.text, m.end())
-            if not g or "," in g[0] and not joined or not g[0].strip() and not joined:
-                break
-            m = _STRING.match(self.text, g.end())
-        return value, spans
-
-    def assigned(self, pos: int, op: str, rank: int, comment: bool) -> None:
-        text, wrapped, crossed, here = self.text, False, False, pos
-        for _ in range(4):
-            c = _CONTINUE.match(text, here)
-            if c and (op != ","):
-                wrapped |= c[0].lstrip()[:1] in ("(",)
-                block = c[0].lstrip()[:1] in (">", "|") or c[0].lstrip()[:1] == "\\"
-                here, crossed = c.end(), True
-                if block:
-                    b = _BARE.match(text, here)
-                    if b and could_work(b[0], rank == 2):
-                        self.add([b.span()])
-                    return
+        while True:
+            a, b = t.content(i)
+            value += self.text[a:b]
+            spans.append((a, b))
+            j, signs = i + 1, ""
+            while t.is_(j, "line") or t.word(j) in ("+", ",", ".", "&", "<", ">", "\\", "#", "//", "*") and len(signs) < 3:
+                signs += "" if t.is_(j, "line") or t.word(j) in ("#", "//", "*") else t.word(j)
+                j += 1
+            if not t.is_(j, "string") or not (joined or signs and "," not in signs):
+                return value, spans
+            i = j
+
+    def judged(self, value: str, rank: int) -> str | None:
+        """The part of a value that is a working credential, if it is one."""
+        v = value[6:].strip() if value[:6].lower() in ("basic ", "token ") else value[7:].strip() if value[:7].lower() == "bearer " else value
+        plain = _decoded(v)
+        return v if could_work(v, rank == 2) or plain and could_work(plain.rpartition(":")[2], rank == 2) else None
+
+    def assigned(self, t: Tokens, name: str, i: int, op: str, rank: int) -> None:
+        """The value from token i on of a name."""
+        wrapped = crossed = block = False
+        while True:
+            if t.is_(i, "line") and op != ",":
+                i, crossed = i + 1, True
+                lead = _LEAD.match(self.text, t.end[i - 1]) if t.note else None
+                while lead and t.has(i) and t.start[i] < lead.end():
+                    i += 1
                 continue
-            w = _WRAP.match(text, here)
-            if w and _WRAP_OK.match(w[0]):
-                wrapped, here = True, w.end()
-                continue
-            break
-        got = self.literal(here, wrapped)
-        if got:
-            value, spans = got
-            v = value[6:].strip() if value[:6].lower() in ("basic ", "token ") else value[7:].strip() if value[:7].lower() == "bearer " else value
-            if op == "," and rank < 2 and not could_work(v, False):
-                return
-            plain = _decoded(v)
-            if could_work(v, rank == 2) or plain and could_work(plain.rpartition(":")[2], rank == 2):
-                if v != value and len(spans) == 1:
-                    spans = [(spans[0][1] - len(v), spans[0][1])]
-                self.add(spans)
+            if t.word(i) in (">", "|", "\\") and op != ",":
+                j = i + 2 if t.word(i + 1) in ("+", "-") else i + 1
+                j += t.is_(j, "comment")
+                if t.is_(j, "line"):
+                    i, crossed, block = j + 1, True, True
+                    break
+            j = self.call(t, i)
+            if j == i:
+                break
+            i, wrapped = j, True
+        if block and t.has(i):
+            m = _BARE.match(self.text, t.start[i])
+            if m and could_work(m[0], rank == 2):
+                self.add([m.span()])
+            elif t.is_(i, "string"):
+                self.quoted(t, name, i, op, rank, wrapped)
             return
-        if op == "," or crossed or wrapped and not comment:
+        if t.is_(i, "string"):
+            self.quoted(t, name, i, op, rank, wrapped)
             return
-        if self.config or comment or op == "=" and text[max(0, pos - 2) : pos] == "==":
-            m = re.compile(r"(?:(?:Basic|Bearer|Token)[ \t]+)?", re.I).match(text, here)
-            here = m.end()
-            e = self.bare_end(here)
-            if e - here > 2 * LONG:
-                run = _ENCODED.match(text, here)
-                if not run or run.end() < e - 4:  # beyond a closing sign, no value
-                    return
-            raw = text[here:e].rstrip("\r")
-            raw = re.sub(r"(?:\*/|-->)$", "", raw).rstrip(",;")
-            if re.match(r"[A-Za-z_][\w.:]*[(\[]", raw):
+        if op == "," or crossed or wrapped and not t.note or not t.has(i):
+            return
+        if self.config or t.note:
+            self.unquoted(t.start[i], rank)
+
+    def quoted(self, t: Tokens, name: str, i: int, op: str, rank: int, wrapped: bool) -> None:
+        value, spans = self.literal(t, i, wrapped)
+        v = self.judged(value, 1 if op == "," and rank < 2 else rank)
+        if v is None and rank == 2 and op != "," and len(spans) == 1 and plain_secret(value):
+            v = value
+        if v is not None:
+            if v != value and len(spans) == 1:
+                spans = [(spans[0][1] - len(v), spans[0][1])]
+            self.add(spans)
+
+    def unquoted(self, here: int, rank: int) -> None:
+        here = re.compile(r"(?:(?:Basic|Bearer|Token)[ \t]+)?", re.I).match(self.text, here).end()
+        e = self.bare_end(here)
+        if e - here > 2 * LONG:
+            run = _ENCODED.match(self.text, here)
+            if not run or run.end() < e - 4:  # beyond a closing sign, no value
                 return
-            plain = _decoded(raw)
-            if raw and (could_work(raw, rank == 2) or plain and could_work(plain.rpartition(":")[2], rank == 2)):
-                self.add([(here, here + len(raw))])
+        raw = self.text[here:e].rstrip("\r")
+        raw = re.sub(r"(?:\*/|-->)$", "", raw).rstrip(",;")
+        if re.match(r"[A-Za-z_][\w.:]*[(\[]", raw):
+            return
+        plain = _decoded(raw)
+        if raw and (could_work(raw, rank == 2) or plain and could_work(plain.rpartition(":")[2], rank == 2)):
+            self.add([(here, here + len(raw))])
+
+    def setting(self, t: Tokens, i: int) -> None:
+        """A ``name=value`` within a string, as in connection strings."""
+        m = _SETTING_VALUE.match(self.text, t.start[i]) if t.has(i) else None
+        if m and could_work(m[0], True):
+            self.add([m.span()])
+
+    def names(self, t: Tokens, a: int, b: int, inside: bool = False) -> None:
+        """The values of all names in a line."""
+        for i in t.between(a, b):
+            kind = t.kind[i]
+            if kind in ("comment", "string"):
+                p, q = t.content(i)
+                p2, q2 = max(p, a), min(q, b)
+                if kind == "string" and q - p <= 80 and _NAME_ONLY.fullmatch(self.text, p, q):
+                    rank = _name_class(self.text[p:q].strip())
+                    if rank:
+                        got = self.operator(t, i + 1, True)
+                        if got:
+                            self.assigned(t, self.text[p:q], got[1], got[0], rank)
+                elif p2 < q2 and (kind == "comment" or ANCHOR.search(self.text[p2:q2].lower())):
+                    self.names(t.within(i), p2, q2, kind == "string")
+            elif kind == "name" and t.start[i] >= a:
+                word = t.word(i)
+                rank = _name_class(word)
+                if rank:
+                    got = self.operator(t, i + 1, False)
+                    if got and inside and not t.note and not t.is_(got[1], "string"):
+                        if rank == 2 and got[0] == "=":
+                            self.setting(t, got[1])
+                    elif got:
+                        self.assigned(t, word, got[1], got[0], rank)
+                    elif t.is_(i + 1, "string") and i and t.word(i - 1) in ("define", "DEFINE"):
+                        self.assigned(t, word, i + 1, "=", rank)
+                if t.word(i + 1) == "(" and (rank == 2 or _LOGIN.fullmatch(word)):
+                    self.passed(t, word, i + 2, rank)
+
+    def passed(self, t: Tokens, name: str, i: int, rank: int) -> None:
+        """The last literal given to a log-in call after another argument, and the only one given to a credential-named call."""
+        depth, args, last, j = 0, 0, -1, i
+        while t.has(j) and depth >= 0:
+            w = t.word(j)
+            if w in ("(", "[", "{"):
+                depth += 1
+            elif w in (")", "]", "}"):
+                depth -= 1
+            elif w == ";" or t.is_(j, "line") and last == j - 1 and not depth and t.word(j + 1) not in (",", ")"):
+                break  # no call after all
+            elif not depth and w == ",":
+                args += 1
+            elif not depth and not t.is_(j, "line", "comment"):
+                last = j
+            j += 1
+        if not t.is_(last, "string"):
+            return
+        p, q = t.content(last)
+        if _LOGIN.fullmatch(name):
+            if args and could_work(self.text[p:q], True):
+                self.add([(p, q)])
+        elif last == i and not args and not _GETTER.match(name) and could_work(self.text[p:q], False):
+            self.add([(p, q)])
+
+    # -- forms without a name
 
     def read_line(self, a: int, b: int) -> None:
         text = self.text
@@ -237,7 +467,6 @@ class _Reader:
                 p = m["p"]
                 if not _PLACEHOLDER.match(p) and len(p) >= 6 and could_work(p, True):
                     self.add([m.span("p")])
-        comment = bool(_COMMENT.match(line)) or "//" in line or " # " in line
         for rx in (_HEADER, _SCHEME) if ("auth" in low or "x-" in low or "key" in low or "basic" in low or "bearer" in low or "cookie" in low) else ():
             for m in rx.finditer(text, a, b):
                 v = m["v"].rstrip("\\")
@@ -248,26 +477,9 @@ class _Reader:
             for m in rx.finditer(text, a, b):
                 if could_work(m["v"], True):
                     self.add([m.span("v")])
-        if "(" in line and ("login" in low or "connect" in low or "auth" in low or "sign" in low or "cred" in low):
-            for m in _LOGIN.finditer(text, a, b):
-                args = list(_STRING.finditer(text, m.start("a"), m.end("a")))
-                if len(args) >= 2:
-                    k = args[-1].lastgroup
-                    if could_work(args[-1][k], True):
-                        self.add([args[-1].span(k)])
-        for m in _NAME.finditer(text, a, b):
-            rank = _name_class(m[0])
-            if not rank:
-                continue
-            quoted = m.start() > 0 and text[m.start() - 1] in "\"'`"
-            n = _AFTER_NAME.match(text, m.end())
-            if n and (n["op"] != "," or quoted and n["close"]):
-                self.assigned(n.end(), n["op"], rank, comment)
-            elif line.lstrip().startswith(("#define", "define")):
-                d = _DEFINE.match(text, m.end())
-                if d:
-                    self.assigned(d.end(), "=", rank, comment)
-        if self.config or comment:
+        t = self.tokens(a)
+        self.names(t, a, b)
+        if self.config or any(t.kind[i] == "comment" for i in t.between(a, b)) or _LEAD.match(line):
             for m in _PROSE.finditer(text, a, b):
                 k = "v" if m["v"] else "w"
                 v = m[k].rstrip(".,;:")
