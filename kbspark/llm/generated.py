@@ -1,16 +1,19 @@
 """Problem 3: files that nobody wrote by hand for their project: generated, minified, vendored, or data kept as source.
 
-Three sources of evidence, strongest first:
+Four sources of evidence, strongest first:
 
 * Attribute files of a repository (``.gitattributes``: linguist-generated, linguist-vendored), newest version of each.
   Of the patterns that match a path the one in the deepest directory, and there the last one, decides each attribute.
-  Directory names that declared repositories mark almost always are mined as patterns for the repositories that
-  declare nothing, besides the usual names given below.
 * The content itself: markers of generators and notices of other works in comments, lock files,
   source maps, minified lines, and files that repeat one line pattern or hold little but digits or encoded bytes.
 * Copies without a notice: lines of a file that also stand in a file known to be vendored are foreign; a file half made
   of foreign lines is a copy, patched, excerpted or not. All lines that say something count. Files meet by line hash
   against the distinct foreign hashes and are counted, never paired.
+* Path patterns (directory, endings, file name) mined from the verdicts of all repositories, declared or by content:
+  patterns that are marked almost always, often enough and in several repositories, hold for the files of all
+  repositories that declare nothing. Usual names, given below, are used where nothing else decides.
+
+Every file is listed with the evidence that decided: declared, content, copy, mined or usual.
 
 Defined results: null and blank contents are none; a null path is matched by content only; a null project is one
 project; every row is judged, repeated ones under a new id too; files an attribute declares hand-written are none;
@@ -30,11 +33,15 @@ from pyspark.sql.window import Window as W
 
 from kbspark.functions.globs import glob_regex
 from kbspark.plans.lineage import cut_lineage
+from kbspark.plans.skew import join_skewed
 from kbspark.plans.spread import spread
 
 #: The share of foreign lines (of at least so many) that makes a copy.
 FOREIGN_SHARE, FOREIGN_LEAST = 0.5, 4
-MINE_SHARE, MINE_LEAST = 0.9, 20
+#: A mined pattern marks this share of its files, of so many at least, in so many repositories at least.
+MINE_SHARE, MINE_LEAST, MINE_PROJECTS = 0.95, 20, 3
+#: Mined patterns up to so many are broadcast.
+MINE_BROADCAST = 100_000
 
 # Names that mark vendored and generated paths, generator markers, notices, lock files.
 VENDOR_DIRS = ["node_modules", "bower_components", "vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "deps", "godeps", "contrib", "jspm_packages", "carthage", "pods", "site-packages"]
@@ -54,6 +61,7 @@ _COMMENT = re.compile(r"""(?:\ufeff)?\s*(?:#(?!define\b|include\b|!\[)|//+!?|/\*
 _BLOB = re.compile(rb"""\W{0,4}[A-Za-z0-9+/=]{40,}\W{0,5}""")
 _CODE = re.compile(r"\.(?:rs|py|pyi|tsx?|jsx?|mjs|go|c|h|cc|cpp|hpp|java|kt|cs|rb|php|swift|scala|sql|css|scss|lua|m|dart|pl|r)(?:\.\w{2,4})?$", re.I)
 _TEXT = re.compile(r"\.(?:md|txt|rst|adoc|ya?ml|toml|ini|cfg|conf|env|sh|bash|properties)(?:\.\w{2,4})?$|(?:^|/)\.env", re.I)
+ATTRIBUTE_FILE = r"(?:^|/)\.gitattributes$"
 _DIGIT = bytes(48 if 48 <= i <= 57 else i for i in range(256))
 _SHAPE = bytes(48 if 48 <= i <= 57 else 97 if 65 <= i <= 90 or 97 <= i <= 122 or i >= 128 else i for i in range(256))
 _BOILERPLATE = re.compile(r"SPDX-|copyright|licen[cs]e", re.I)
@@ -93,7 +101,7 @@ def declared(files: DataFrame) -> DataFrame:
 
     Files meet only the patterns of their own ancestor directories (an equal join on project and directory).
     """
-    is_attr = F.lower("path").rlike(r"(?:^|/)\.gitattributes$")
+    is_attr = F.lower("path").rlike(ATTRIBUTE_FILE)
     newest = W.partitionBy("project", "path").orderBy(F.col("received_at").desc_nulls_last(), F.col("file_id").desc())
     attrs = files.where(is_attr).withColumn("rk", F.row_number().over(newest)).where("rk = 1 and deleted_at is null")
     attrs = attrs.select("project", F.regexp_replace("path", r"[^/]*$", "").alias("dir"), "content")
@@ -107,12 +115,31 @@ def declared(files: DataFrame) -> DataFrame:
     return hits.groupBy("b.file_id", "r.attribute").agg(F.max_by("r.on", F.struct(F.length("b.dir"), F.col("r.line"))).alias("on"))
 
 
-def mined_names(files: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``(name)``: directory names that declared repositories mark almost always, as patterns for the others."""
-    repos = files.join(verdicts.select("file_id").distinct(), "file_id", "left_semi").select("project").distinct()
-    known = files.join(repos, "project", "left_semi").join(verdicts.where("on").select("file_id").distinct().withColumn("marked", F.lit(1)), "file_id", "left")
-    names = known.select("file_id", F.coalesce("marked", F.lit(0)).alias("marked"), F.explode(F.array_distinct(F.slice(F.split(F.lower("path"), "/"), 1, F.size(F.split("path", "/")) - 1))).alias("name"))
-    return names.groupBy("name").agg(F.sum("marked").alias("m"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= MINE_LEAST) & (F.col("m") >= MINE_SHARE * F.col("n"))).select("name")
+def path_patterns(path: Column) -> Column:
+    """The patterns that a path follows: its directories, its file name, its last two endings, and its last one unless that is a language's."""
+    p = F.lower(path)
+    parts = F.split(p, "/")
+    name = F.element_at(parts, -1)
+    dirs = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda d: F.concat(F.lit("dir:"), d))
+    endings = F.filter(F.array(F.regexp_extract(name, r"[^.](\.[^.]+\.[^.]+)$", 1), F.when(name.rlike(_CODE.pattern) | name.rlike(_TEXT.pattern), F.lit("")).otherwise(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))), lambda e: e != "")
+    return F.array_distinct(F.concat(dirs, F.array(F.concat(F.lit("name:"), name)), F.transform(endings, lambda e: F.concat(F.lit("ends:"), e))))
+
+
+def mined_patterns(judged: DataFrame) -> DataFrame:
+    """``(pattern)`` marked almost always, of ``(project, path, marked, declared)`` of all files.
+
+    Either the files of the repositories that declare something are enough by themselves (``declared``; there a file
+    without a mark is known to be hand-written), or all files of several repositories. Counts are combined per pattern
+    and repository first, so that an ending most files have is no hot key.
+    """
+    one = judged.where("path is not null").select("project", F.col("marked").cast("long").alias("m"), F.col("declared").cast("long").alias("d"), F.explode_outer(path_patterns(F.col("path"))).alias("pattern"))
+    each = one.groupBy("pattern", "project").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n"), F.sum(F.col("m") * F.col("d")).alias("md"), F.sum("d").alias("nd"))
+    total = each.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in ("m", "n", "md", "nd")], F.sum((F.col("m") > 0).cast("int")).alias("projects"))
+
+    def almost(m: str, n: str) -> Column:
+        return (F.col(n) >= MINE_LEAST) & (F.col(m) >= MINE_SHARE * F.col(n))
+
+    return total.where(almost("md", "nd") | almost("m", "n") & (F.col("projects") >= MINE_PROJECTS)).select("pattern")
 
 
 # -- content ------------------------------------------------------------------------------------------------------------
@@ -221,26 +248,38 @@ def _features(batches):
 
 
 def find_unwritten(files: DataFrame) -> DataFrame:
-    """``(file_id, kind)`` of every file not written by hand for its project."""
+    """``(file_id, kind, evidence)`` of every file not written by hand for its project."""
     f = files.select(F.col("file_id").cast("long"), F.col("project"), clean_path(F.col("rel_path")).alias("path"), "content", F.col("received_at"), F.col("deleted_at"))
-    verdicts = declared(f)
-    per_file = verdicts.groupBy("file_id").agg(F.max("on").alias("on"))
-    feats = cut_lineage(spread(f.where(F.trim(F.regexp_replace("content", r"\s", " ")) != "")).mapInPandas(_features, "file_id long, project string, path string, kind string, lines array<long>"))
-    has_attrs = not verdicts.isEmpty()
+    known = cut_lineage(spread(f.where(F.trim(F.regexp_replace("content", r"\s", " ")) != "")).mapInPandas(_features, "file_id long, project string, path string, kind string, lines array<long>"))
+    if known.where(F.lower("path").rlike(ATTRIBUTE_FILE)).isEmpty():
+        known = known.withColumns({"on": F.lit(None).cast("boolean"), "declared": F.lit(False)})
+    else:
+        verdicts = declared(f).groupBy("file_id").agg(F.max("on").alias("on"))
+        repos = f.where(F.lower("path").rlike(ATTRIBUTE_FILE)).select(F.col("project").alias("_p")).distinct().withColumn("declared", F.lit(True))
+        known = known.join(verdicts, "file_id", "left").join(repos, F.col("project").eqNullSafe(F.col("_p")), "left").drop("_p")
+        known = cut_lineage(known.withColumn("declared", F.coalesce("declared", F.lit(False))))
     folders = F.slice(F.split(F.lower("path"), "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    usual = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in VENDOR_DIRS]))
-    kind = F.coalesce(F.when(usual, F.lit("third_party")), F.col("kind"), F.when(F.lower("path").rlike(GENERATED_PATH), F.lit("generated")))
-    known = feats.withColumn("kind", kind)
-    if has_attrs:
-        names = mined_names(f, verdicts)
-        mined = known.select("file_id", F.explode(folders).alias("name")).join(names, "name").select("file_id").distinct().withColumn("_mined", F.lit("generated"))
-        known = known.join(mined, "file_id", "left").withColumn("kind", F.coalesce("kind", "_mined")).drop("_mined")
-        known = known.join(per_file, "file_id", "left").withColumn("kind", F.when(F.col("on"), F.coalesce("kind", F.lit("declared"))).when(F.col("on") == F.lit(False), None).otherwise(F.col("kind")))
+    vendored = F.coalesce(F.arrays_overlap(folders, F.array(*[F.lit(d) for d in VENDOR_DIRS])), F.lit(False))
+    usual = F.when(vendored, F.lit("third_party")).when(F.lower("path").rlike(GENERATED_PATH), F.lit("generated"))
+    # lines of files known to be vendored; sure are those whose content says so
+    sure = F.col("kind").eqNullSafe("third_party")
+    foreign = known.where(sure | vendored).select(sure.alias("sure"), F.explode("lines").alias("h")).groupBy("h").agg(F.max("sure").alias("sure"))
+    asked = known.where("kind is null and on is null").select("file_id", F.size("lines").alias("n_lines"), "lines")
+    counted = asked.select("file_id", "n_lines", F.explode("lines").alias("h")).join(foreign, "h").groupBy("file_id").agg(F.first("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n"), F.sum(F.col("sure").cast("long")).alias("n_sure"))
+    enough = lambda n: (F.col(n) >= FOREIGN_LEAST) & (F.col(n) >= FOREIGN_SHARE * F.col("n_lines"))
+    copies = counted.where(enough("n")).select("file_id", enough("n_sure").alias("copy_sure"))
+    judged = known.select("file_id", "project", "path", "kind", "on", "declared", usual.alias("usual")).join(copies, "file_id", "left")
+    judged = cut_lineage(judged)
+    marked = F.coalesce(F.col("on"), F.col("kind").isNotNull() | F.coalesce("copy_sure", F.lit(False)))
+    patterns = mined_patterns(judged.select("project", "path", "declared", marked.alias("marked")))
+    open_ = judged.where("kind is null and on is null and not coalesce(copy_sure, false)").select("file_id", F.explode_outer(path_patterns(F.col("path"))).alias("pattern"))
+    if patterns.limit(MINE_BROADCAST + 1).count() <= MINE_BROADCAST:
+        mined = open_.join(F.broadcast(patterns), "pattern", "left_semi")
     else:
-        known = known.withColumn("on", F.lit(None).cast("boolean"))
-    known = known.select("file_id", "kind", "on", "lines")
-    foreign = known.where("kind = 'third_party'").select(F.explode("lines").alias("h")).distinct()
-    asked = known.where("kind is null and on is null")
-    counted = asked.select("file_id", F.explode("lines").alias("h")).join(foreign, "h", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    copies = asked.join(counted, "file_id").where((F.col("n") >= FOREIGN_LEAST) & (F.col("n") >= FOREIGN_SHARE * F.size("lines"))).select("file_id", F.lit("copy").alias("kind"))
-    return known.where("kind is not null").select("file_id", "kind").unionByName(copies)
+        mined = join_skewed(open_, patterns, ["pattern"])
+    judged = judged.join(mined.select("file_id").distinct().withColumn("mined", F.lit(True)), "file_id", "left")
+    name = F.coalesce("usual", F.lit("generated"))
+    copied = F.col("copy_sure") | (F.col("copy_sure").isNotNull() & F.col("usual").isNull())
+    evidence = F.when(F.col("on"), "declared").when(F.col("on") == F.lit(False), None).when(F.col("kind").isNotNull(), "content").when(copied, "copy").when(F.col("mined"), "mined").when(F.col("usual").isNotNull(), "usual")
+    kind = F.when(F.col("on"), F.coalesce("kind", "usual", F.lit("declared"))).when(copied & F.col("kind").isNull(), F.coalesce("usual", F.lit("copy"))).otherwise(F.coalesce("kind", name))
+    return judged.withColumn("evidence", evidence).where("evidence is not null").select("file_id", kind.alias("kind"), "evidence")

@@ -42,7 +42,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Kind of every file that was not written by hand."""
+    """Kind of every file that was not written by hand, and the evidence."""
     return G.find_unwritten(_table(spark, d, "index_file"))
 
 

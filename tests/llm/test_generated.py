@@ -134,3 +134,12 @@ def test_comments_between_code():
 def test_lock_marks_after_a_long_beginning():
     head = "{\n" + "".join(f'  "field{i}": "{"x" * 40}",\n' for i in range(80))
     assert G.content_class(head + '  "lockfileVersion": 3\n}\n', "deps.json", "proj") == "lock"
+
+
+def test_patterns_are_mined_from_contents_of_several_repositories(spark):
+    made = "// Code generated by mill from a.idl. DO NOT EDIT.\n" + HAND
+    known = [(f"p{i % 4}", f"weird/f{i}.stub.rs", made) for i in range(24)]
+    one = [("p9", f"single/f{i}.rs", made) for i in range(24)]
+    df = rows(spark, *known, *one, ("q", "weird/g.rs", HAND), ("q", "src/h.stub.rs", HAND), ("q", "src/k.rs", HAND), ("q", "single/m.rs", HAND), ("q", "vendor/n.rs", LONG))
+    got = {r.file_id: (r.kind, r.evidence) for r in G.find_unwritten(df).collect()}
+    assert got[0] == ("generated", "content") and got[48] == got[49] == ("generated", "mined") and 50 not in got and 51 not in got and got[52] == ("third_party", "usual")
