@@ -2,29 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from kbspark.functions.chunks import chunk_lines
+from kbspark.functions.porter import porter_sql
 from kbspark.functions.text import FOLD_FROM, FOLD_TO, LANGUAGES
+from kbspark.operators import index as I
+from kbspark.operators import search as S
 from kbspark.operators.orphans import same_file
+from kbspark.plans.lineage import ensure_checkpoint_dir
+from kbspark.sources.files import exists
 from kbspark.session import table
 
-# Stated query sets.
-TEXT_QUERIES = [(1, "retention pass"), (2, "claim handler expired lease"), (3, "shared queue drains zzznone"), (4, "snapshot_session parse"), (5, "Token budget: quorum service!"), (6, "decisão do revisor")]
-ENTITY_QUERIES = [(1, "snapshot"), (1, "expand_"), (2, "queue"), (4, "token_"), (5, "Digest")]
 #: Where a query needs "now" it is this moment.
 NOW = "2024-09-10 00:00:00"
 NOW_MS = 1725926400000
+#: Outdated uploads up to so many are broadcast, so that contents need no shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+_OPEN: dict[str, I.Index] = {}
+
+
+def text_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of the documents whose id is divisible by 50, as questions."""
+    return table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("subject").alias("text"))
+
+
+def entity_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of the same subjects as names."""
+    q = text_queries(spark, d)
+    return q.select("query_id", F.explode(F.split("text", "/")).alias("entity"))
+
+
+def stored(spark: SparkSession, d: str, name: str) -> str:
+    """A folder of this application for what is derived from a data directory, in the shared storage."""
+    return f"{ensure_checkpoint_dir(spark)}/stored/{hashlib.sha256(d.encode()).hexdigest()[:16]}/{name}"
 
 
-def text_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXT_QUERIES, "query_id long, text string")
+def text_index(spark: SparkSession, d: str) -> I.Index:
+    """The stored index of the documents; built by the first query of an application that needs it."""
+    path = stored(spark, d, "documents")
+    if path not in _OPEN:
+        _OPEN[path] = I.current(documents(spark, d), path)
+    return _OPEN[path]
 
 
-def entity_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ENTITY_QUERIES, "query_id long, entity string")
+def doc_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The stored names in documents; written by the first query that needs them."""
+    path = stored(spark, d, "phrases")
+    if not exists(spark, f"{path}/_SUCCESS"):
+        S.entity_phrases(doc_entities(spark, d)).repartitionByRange("phrase").sortWithinPartitions("phrase").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def chunk_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the chunks of the current files."""
+    path = stored(spark, d, "chunk_phrases")
+    if not exists(spark, f"{path}/_SUCCESS"):
+        S.entity_phrases(S.entity_index(chunks(spark, d))).repartitionByRange("phrase").sortWithinPartitions("phrase").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def doc_entities(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, buffer, entity)``: the first ten identifiers of every document."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
+    names = F.filter(F.regexp_extract_all(plain, F.lit(S.IDENTIFIER), 1), lambda x: F.length(x) >= 3)
+    return documents(spark, d).select("id", "buffer", F.explode_outer(F.slice(F.sort_array(F.array_distinct(F.transform(names, F.lower))), 1, 10)).alias("entity")).where("entity is not null")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -32,11 +79,28 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("buffer"), "text")
 
 
+def newest_uploads(uploads: DataFrame, at: str | None = None) -> DataFrame:
+    """The newest upload (until ``at``) of every project and path, if it is not deleted then.
+
+    The newest are found without contents. Contents are shuffled only if the other uploads are too many to broadcast.
+    """
+    f = uploads.withColumn("path", same_file(F.col("rel_path")))
+    light = f.select("file_id", "project", "path", "received_at", "deleted_at")
+    gone = F.col("deleted_at").isNotNull()
+    if at:
+        light = light.where(F.col("received_at") <= F.lit(at).cast("timestamp"))
+        f = f.where(F.col("received_at") <= F.lit(at).cast("timestamp"))
+        gone = F.col("deleted_at") <= F.lit(at).cast("timestamp")
+    last = light.groupBy("project", "path").agg(F.max(F.struct("received_at", "file_id", "deleted_at")).alias("r")).select("r.file_id", "r.deleted_at").where(~F.coalesce(gone, F.lit(False))).select("file_id")
+    others = light.select("file_id").join(last, "file_id", "left_anti")
+    if others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return f.join(F.broadcast(others), "file_id", "left_anti")
+    return f.join(last, "file_id", "left_semi")
+
+
 def current_files(spark: SparkSession, d: str) -> DataFrame:
     """The newest upload of every project and path, if it is not deleted."""
-    w = W.partitionBy("project", "path").orderBy(F.col("received_at").desc(), F.col("file_id").desc())
-    f = table(spark, d, "index_file").withColumn("path", same_file(F.col("rel_path")))
-    return f.withColumn("_rk", F.row_number().over(w)).where("_rk = 1 and deleted_at is null").select("file_id", "project", "buffer_id", "path", "content", "received_at")
+    return newest_uploads(table(spark, d, "index_file")).select("file_id", "project", "buffer_id", "path", "content", "received_at")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +127,14 @@ def tokens_sql(column: str) -> str:
     return SQL_TOKENS.format(column)
 
 
+#: Query words by stem, and the postings of the documents by stem.
+TEXT_SQL = f"""tok AS (SELECT doc_id AS id, source AS buffer, {tokens_sql('coalesce(text, chr(32))')} AS terms FROM documents),
+qtok AS (SELECT doc_id AS query_id, unnest({tokens_sql('subject')}) AS term FROM documents WHERE doc_id % 50 = 0),
+voc AS (SELECT unnest(terms) AS term FROM tok UNION SELECT term FROM qtok), {porter_sql("voc")},
+q AS (SELECT DISTINCT query_id, stem AS term FROM qtok JOIN stems USING (term)),
+posted AS (SELECT id, buffer, dl, stem AS term, count(*) AS tf FROM (SELECT id, buffer, len(terms) AS dl, unnest(terms) AS term FROM tok) JOIN stems USING (term) GROUP BY id, buffer, dl, stem)"""
+
+
 def values_sql(rows: list[tuple], names: str) -> str:
     """Rows as a SQL table expression."""
     body = ", ".join("(" + ", ".join(f"{x}::BIGINT" if isinstance(x, int) else str(x) if isinstance(x, float) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)

@@ -3,7 +3,7 @@
 Query sets are stated inputs; their size is counted and they are broadcast only below ``BROADCAST_QUERIES`` rows,
 otherwise joins shuffle. Ranked lists are ``(query_id, id, score)``; equal scores are ordered by the smaller id. Null
 and empty texts have no terms and match nothing but count as documents; empty tables give no rows; further columns of
-the inputs are ignored; repeated rows of one id count as one document in statistics only if they are equal.
+the inputs are ignored; ids are expected once; rows repeated with one id count as documents each and add up in a score.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 from kbspark.config import Chunking, Search
 from kbspark.functions import scores, vectors
 from kbspark.functions import text as T
+from kbspark.functions.porter import stem_counts, stemmed
 from kbspark.plans.spread import spread
 
 BROADCAST_QUERIES = 10_000
@@ -36,22 +37,46 @@ def small(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if few(queries) else queries
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, term)`` distinct, from ``(query_id, text)``."""
-    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+def held(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """The queries as a local table if they are few, so that they are computed once; and whether they are."""
+    got = queries.limit(BROADCAST_QUERIES + 1).toArrow()
+    return (F.broadcast(queries.sparkSession.createDataFrame(got, queries.schema)), True) if got.num_rows <= BROADCAST_QUERIES else (queries, False)
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """``(id, buffer, terms, dl)`` of ``(id, buffer, text)``.
+def query_blocks(queries: DataFrame, size: int = BROADCAST_QUERIES) -> list[DataFrame]:
+    """The queries in blocks of some ``size`` rows at most, each marked for broadcast, by the hash of ``query_id``.
 
-    To be exploded with ``explode_outer``: for ``explode`` a filter on the words is pushed into the scan and splits every text twice.
+    What compares every query with every item passes over the items once per block.
     """
-    return spread(docs.select("id", "buffer", "text")).select("id", "buffer", T.tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+    n = -(-queries.count() // size) or 1
+    if n == 1:
+        return [F.broadcast(queries)]
+    n = n + n // 8 + 1  # room for uneven blocks
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for i in range(n)]
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``(query_id, term)`` distinct stems, from ``(query_id, text)``."""
+    return queries.select("query_id", F.explode_outer(F.array_distinct(stemmed(T.tokens(F.col("text"))))).alias("term")).where("term is not null")
+
+
+def tokenized(docs: DataFrame) -> DataFrame:
+    """``(id, buffer, dl, terms)`` of ``(id, buffer, text)``: the number of words, and the distinct stems with their counts."""
+    words = spread(docs.select("id", "buffer", "text")).select("id", "buffer", T.tokens(F.col("text")).alias("words"))
+    return words.select("id", "buffer", F.size("words").alias("dl"), stem_counts(F.col("words")).alias("terms"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """``(id, buffer, dl, term, tf)``: the inverted index of ``(id, buffer, text)``."""
-    return tokenized(docs).select("id", "buffer", "dl", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("id", "buffer", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(id, buffer, dl, term, tf)``: the inverted index of ``(id, buffer, text)``, by stems; nothing is shuffled."""
+    t = tokenized(docs).select("id", "buffer", "dl", F.explode_outer("terms").alias("t"))
+    return t.where("t is not null").select("id", "buffer", "dl", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -64,34 +89,40 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, mode: str = "or") -> DataFrame:
-    """``(query_id, id, buffer, score, n_hit, n_terms)`` of every match.
+def ranked_hits(terms: DataFrame, posted: DataFrame, stats: tuple[int, float | None], mode: str = "or") -> DataFrame:
+    """``(query_id, id, buffer, score, n_hit, n_terms)`` from query terms, postings, and the number of documents and their mean length.
 
     ``and`` keeps documents with all terms, ``or`` with any, ``fallback`` those with all, or with any where a query of
-    several terms has none with all. Only the postings of query terms leave the scan; statistics cover all documents.
+    several terms has none with all. Only the postings of query terms go on from the scan; statistics cover all
+    documents. Few query terms get their weights first, so that the postings are read through once more only.
     """
-    q = query_terms(queries)
-    bounded = few(q)  # and so is all that has one row per query term at most
-    mark = F.broadcast if bounded else (lambda x: x)
-    wanted = mark(q.select("term").distinct())
-    hits = tokenized(docs).select("id", "buffer", "dl", F.explode_outer("terms").alias("term")).join(wanted, "term").groupBy("id", "buffer", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs)
-    idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weights = mark(q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg_dl"))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = hits.join(weights, "term").groupBy("query_id", "id", "buffer").agg(F.sum(F.col("idf") * tf).alias("score"), F.count(F.lit(1)).alias("n_hit"))
-    n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    out = scored.join(mark(n), "query_id")
+    terms, bounded = held(terms)
+    mark = F.broadcast if bounded else (lambda x: x)  # all that has one row per query term at most
+    n_docs, avg_dl = stats
+    df = posted.join(mark(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.ln((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    n = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    weights = terms.join(df, "term").join(mark(n), "query_id").select("query_id", "term", idf.alias("idf"), "n_terms")
+    if bounded:
+        weights, _ = held(weights)
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avg_dl)))
+    out = posted.join(weights, "term").groupBy("query_id", "id", "buffer").agg(F.sum(F.col("idf") * tf).alias("score"), F.count(F.lit(1)).alias("n_hit"), F.max("n_terms").alias("n_terms"))
     if mode == "or":
         return out
-    full = F.col("n_hit") == F.col("n_terms")
+    full = F.col("n_hit") >= F.col("n_terms")
     if mode == "and":
         return out.where(full)
-    some = out.where(full).select("query_id").distinct().withColumn("_full", F.lit(True))
+    # all columns are asked for, so that both sides share one aggregation
+    some = out.where(full).groupBy("query_id").agg(F.max("score").alias("_full"))
     return out.join(mark(some), "query_id", "left").where(full | (F.col("_full").isNull() & (F.col("n_terms") > 1))).drop("_full")
 
 
+def bm25(queries: DataFrame, docs: DataFrame, mode: str = "or") -> DataFrame:
+    """``ranked_hits`` of documents without a stored index (``operators.index`` keeps one)."""
+    n_docs, avg_dl = corpus_stats(docs).first()
+    return ranked_hits(query_terms(queries), postings(docs), (n_docs, avg_dl), mode)
+
+
 def top_k(ranked: DataFrame, k: int, by: list[str] = ("query_id",), score: str = "score", id_col: str = "id") -> DataFrame:
     """The k best of every list with their 0-based ``rank``; a rank limit is applied before the shuffle."""
     w = W.partitionBy(*by).orderBy(F.col(score).desc(), F.col(id_col))
@@ -123,13 +154,33 @@ def entity_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "buffer", F.explode_outer(entities(F.col("text"), F.col("path"))).alias("entity")).where("entity is not null")
 
 
+def _phrase(name: Column) -> Column:
+    """The words of a name as one phrase: letters and digits, lower case, other signs part them."""
+    return F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " "))
+
+
+def entity_phrases(index: DataFrame) -> DataFrame:
+    """``(id, buffer, phrase)``: what stands in a name from each of its words on, so that a phrase within it is a prefix here."""
+    words = F.split(_phrase(F.col("entity")), " ")
+    tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
+    return index.select("id", "buffer", F.explode_outer(F.array_distinct(tails)).alias("phrase")).where("phrase <> ''").distinct()
+
+
 def entity_search(queries: DataFrame, index: DataFrame) -> DataFrame:
     """``(query_id, id, buffer, score)``: chunks by how many entities of a query they hold, ``(query_id, entity)`` given.
 
-    A query entity matches names that equal it or go on after it; each chunk counts once per query entity.
+    A query entity is a phrase of words of which the last may go on; it matches anywhere in a name. Each chunk counts
+    once per query entity. ``index`` holds ``phrase`` (of ``entity_phrases``) or ``entity``. Phrases meet queries by
+    equality of their beginnings of the lengths that queries have.
     """
-    q = small(queries.select("query_id", F.lower("entity").alias("wanted")).distinct())
-    return index.join(q, F.startswith("entity", "wanted")).groupBy("query_id", "id", "buffer").agg(F.count_distinct("wanted").cast("double").alias("score"))
+    phrases = index if "phrase" in index.columns else entity_phrases(index)
+    q, _ = held(queries.select("query_id", _phrase(F.col("entity")).alias("wanted")).where("wanted <> ''").distinct())
+    lengths = sorted(r[0] for r in q.select(F.length("wanted")).distinct().collect())  # one row per length of a name
+    if not lengths:
+        return phrases.where("false").select(F.lit(None).cast(dict(queries.dtypes)["query_id"]).alias("query_id"), "id", "buffer", F.lit(0.0).alias("score"))
+    starts = F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.substring("phrase", F.lit(1), n)), lambda x: F.length(x) > 0)
+    begun = phrases.select("id", "buffer", F.explode_outer(F.array_distinct(starts)).alias("wanted"))
+    return begun.join(q, "wanted").groupBy("query_id", "id", "buffer").agg(F.count_distinct("wanted").cast("double").alias("score"))
 
 
 # -- vectors ------------------------------------------------------------------------------------------------------------
@@ -138,10 +189,11 @@ def entity_search(queries: DataFrame, index: DataFrame) -> DataFrame:
 def vector_search(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2", same_buffer: bool = False, exclude_self: bool = True) -> DataFrame:
     """``(query_id, id, buffer, score, rank)``: exact nearest items of a stated set of query vectors.
 
-    ``l2`` scores 1/(1+squared distance), ``cosine`` the cosine. Every item meets every query of the set, in the pass
-    over the items; lists are cut to k before the shuffle. Items of another length than the query are left out.
+    ``l2`` scores 1/(1+squared distance), ``cosine`` the cosine. Every item meets every query of the set, in one pass
+    over the items per block of queries; lists are cut to k before the shuffle. Items of another length than the query
+    are left out.
     """
-    q = small(queries.select("query_id", F.col("vector").alias("_q"), F.col("buffer").alias("_qb")))
+    q = queries.select("query_id", F.col("vector").alias("_q"), F.col("buffer").alias("_qb"))
     i = items.select("id", "buffer", "vector")
     on = F.size("_q") == F.size("vector")
     if same_buffer:
@@ -149,15 +201,16 @@ def vector_search(queries: DataFrame, items: DataFrame, k: int, metric: str = "l
     if exclude_self:
         on = on & (F.col("query_id") != F.col("id"))
     value = vectors.distance_score(vectors.l2_squared(F.col("_q"), F.col("vector"))) if metric == "l2" else vectors.cosine(F.col("_q"), F.col("vector"))
-    scored = i.join(q, on).select("query_id", "id", "buffer", F.round(value, 6).alias("score"))
-    return top_k(scored, k)
+    return _united([top_k(i.join(block, on).select("query_id", "id", "buffer", F.round(value, 6).alias("score")), k) for block in query_blocks(q)])
 
 
 def within_radius(queries: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """``(query_id, id, similarity)`` of all items at least so similar, for a stated set of query vectors."""
-    q = small(queries.select("query_id", F.col("vector").alias("_q")))
+    """``(query_id, id, similarity)`` of all items at least so similar, for a stated set of query vectors, block by block."""
+    q = queries.select("query_id", F.col("vector").alias("_q"))
     sim = F.round(vectors.cosine(F.col("_q"), F.col("vector")), 6)
-    return items.select("id", "vector").join(q, (F.size("_q") == F.size("vector")) & (F.col("query_id") != F.col("id"))).select("query_id", "id", sim.alias("similarity")).where(F.col("similarity") >= least)
+    on = (F.size("_q") == F.size("vector")) & (F.col("query_id") != F.col("id"))
+    i = items.select("id", "vector")
+    return _united([i.join(block, on).select("query_id", "id", sim.alias("similarity")).where(F.col("similarity") >= least) for block in query_blocks(q)])
 
 
 def centroids(items: DataFrame) -> DataFrame:
@@ -189,17 +242,17 @@ def decayed(ranked: DataFrame, ages: DataFrame, rate: float = Search.decay_rate,
     return r.withColumn("score", scores.decay(F.col("score"), F.coalesce("age_hours", F.lit(0.0)), rate, enabled)).drop("age_hours")
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, index: DataFrame | None, query_entities: DataFrame | None, items: DataFrame | None, query_vectors: DataFrame | None, tier: str, k: int = Search.top_k) -> DataFrame:
-    """``(query_id, id, score, rank)``: tiers fts, entity, vector, each adding a ranked list to the fusion.
+def hybrid(lexical: DataFrame, entity: DataFrame | None, vector: DataFrame | None, k: int = Search.top_k) -> DataFrame:
+    """``(query_id, id, score, rank)``: the fusion of the ranked lists of the tiers that are there.
 
-    Lists are k times the over-fetch long, the vector list twice that; the fused list is cut to k.
+    Lists are cut to k times the over-fetch, the vector list to twice that; the fused list is cut to k.
     """
     most = k * Search.over_fetch
-    lists = [top_k(bm25(queries, docs, "fallback").withColumn("score", F.round("score", 6)), most)]
-    if tier in ("entity", "vector") and index is not None:
-        lists.append(top_k(entity_search(query_entities, index), most))
-    if tier == "vector" and items is not None:
-        lists.append(vector_search(query_vectors, items, 2 * most, exclude_self=False))
+    lists = [top_k(lexical.withColumn("score", F.round("score", 6)), most)]
+    if entity is not None:
+        lists.append(top_k(entity, most))
+    if vector is not None:
+        lists.append(vector.where(F.col("rank") < 2 * most) if "rank" in vector.columns else top_k(vector, 2 * most))
     return top_k(rrf(lists).withColumn("score", F.round("score", 9)), k)
 
 

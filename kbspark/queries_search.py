@@ -9,8 +9,9 @@ from kbspark import base as D
 from kbspark.functions import chunks as C
 from kbspark.functions import scores
 from kbspark.functions import text as T
-from kbspark.functions.porter import with_stems
+from kbspark.functions.porter import stemmed
 from kbspark.operators import context as X
+from kbspark.operators import index as I
 from kbspark.operators import search as S
 from kbspark.session import table
 
@@ -115,9 +116,7 @@ for _m in ("text", "recursive", "code", "bytes", "markdown"):
 
 # -- lexical search -----------------------------------------------------------------------------------------------------
 
-_Q = "q AS (SELECT DISTINCT query_id, unnest(" + D.tokens_sql("text") + ") AS term FROM " + D.values_sql(D.TEXT_QUERIES, "query_id, text") + ")"
-_POSTED = f"tok AS (SELECT doc_id AS id, source AS buffer, {D.tokens_sql('coalesce(text, chr(32))')} AS terms FROM documents), posted AS (SELECT id, buffer, len(terms) AS dl, term, count(*) AS tf FROM (SELECT id, buffer, terms, unnest(terms) AS term FROM tok) GROUP BY id, buffer, terms, term)"
-_BM25 = f"""{_Q}, {_POSTED}, st AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_dl FROM tok), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
+_BM25 = f"""{D.TEXT_SQL}, st AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_dl FROM tok), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
 nt AS (SELECT query_id, count(*) AS n_terms FROM q GROUP BY query_id),
 bm AS (SELECT q.query_id, p.id, p.buffer, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl)))) AS score, count(*) AS n_hit, any_value(n_terms) AS n_terms
   FROM q JOIN posted p ON p.term = q.term JOIN df ON df.term = q.term JOIN nt ON nt.query_id = q.query_id CROSS JOIN st GROUP BY q.query_id, p.id, p.buffer),
@@ -129,15 +128,18 @@ def _ranked(source: str, k: int, by: str = "query_id", name: str = "score") -> s
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {name} DESC, id) - 1 AS rank FROM ({source})) WHERE rank < {k}"
 
 
-@query(f"WITH {_POSTED} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posted GROUP BY term")
+@query(f"WITH {D.TEXT_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posted GROUP BY term")
 def postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.term_stats(S.postings(D.documents(spark, d)))
+    return S.term_stats(D.text_index(spark, d).postings())
+
+
+def _hits(spark: SparkSession, d: str, mode: str = "or") -> DataFrame:
+    return D.text_index(spark, d).search(D.text_queries(spark, d), mode).withColumn("score", F.round("score", 6))
 
 
 def _bm(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        hits = S.bm25(D.text_queries(spark), D.documents(spark, d), mode).withColumn("score", F.round("score", 6))
-        return S.top_k(hits, 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+        return S.top_k(_hits(spark, d, mode), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
     return run
 
@@ -149,14 +151,25 @@ for _n, _w in (("bm25_and", "bm WHERE n_hit = n_terms"), ("bm25_or", "bm"), ("bm
 
 @query(f"WITH {_BM25} " + _ranked("SELECT query_id, buffer, id, round(score, 6) AS score FROM bm", 3, "query_id, buffer"))
 def bm25_per_buffer(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.bm25(D.text_queries(spark), D.documents(spark, d)).withColumn("score", F.round("score", 6))
-    return S.top_k(hits, 3, ["query_id", "buffer"]).select("query_id", "buffer", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.top_k(_hits(spark, d), 3, ["query_id", "buffer"]).select("query_id", "buffer", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"WITH {D.TEXT_SQL}, w AS (SELECT DISTINCT term, stem FROM stems WHERE term IN (SELECT unnest(terms) FROM tok)) SELECT stem, count(*) AS terms FROM w GROUP BY stem")
 def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of the corpus by stem."""
-    return with_stems(S.term_stats(S.postings(D.documents(spark, d)))).groupBy("stem").agg(F.count(F.lit(1)).alias("terms"), F.sum("cf").alias("cf"))
+    """How many words of the corpus share each stem."""
+    words = D.documents(spark, d).select(F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("term")).where("term is not null").distinct()
+    return words.select(F.element_at(stemmed(F.array("term")), 1).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("terms"))
+
+
+@query("WITH " + D.TEXT_SQL.replace("FROM documents)", "FROM (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN subject ELSE text END AS text, subject FROM documents WHERE doc_id % 11 <> 0))", 1) + " SELECT id, dl, count(*) AS stems, CAST(sum(tf) AS BIGINT) AS words FROM posted GROUP BY id, dl")
+def index_extended(spark: SparkSession, d: str) -> DataFrame:
+    """An index after an extension: some documents replaced by their subject, some removed."""
+    docs = table(spark, d, "documents")
+    path = D.stored(spark, d, "extended")
+    I.build(D.documents(spark, d), path)
+    new = docs.where("doc_id % 7 = 0 and doc_id % 11 <> 0").select(F.col("doc_id").alias("id"), F.col("source").alias("buffer"), F.col("subject").alias("text"))
+    I.extend(new, path, docs.where("doc_id % 11 = 0").select(F.col("doc_id").alias("id")))
+    return I.Index(spark, path).postings().groupBy("id", "dl").agg(F.count(F.lit(1)).alias("stems"), F.sum("tf").alias("words"))
 
 
 # -- entities -----------------------------------------------------------------------------------------------------------
@@ -172,13 +185,17 @@ def entity_extract(spark: SparkSession, d: str) -> DataFrame:
     return S.entity_index(D.chunks(spark, d)).select("id", "entity")
 
 
-_ENT_HITS = f"""es AS (SELECT id, buffer, unnest(es) AS entity FROM ent), eq AS (SELECT DISTINCT query_id, lower(entity) AS wanted FROM {D.values_sql(D.ENTITY_QUERIES, "query_id, entity")}),
-eh AS (SELECT query_id, id, buffer, CAST(count(DISTINCT wanted) AS DOUBLE) AS score FROM es JOIN eq ON starts_with(entity, wanted) GROUP BY query_id, id, buffer)"""
+_EQ = r"""eq AS (SELECT DISTINCT query_id, trim(regexp_replace(lower(e), '[^\p{L}\p{N}]+', ' ', 'g')) AS wanted FROM (SELECT doc_id AS query_id, unnest(string_split(subject, '/')) AS e FROM documents WHERE doc_id % 50 = 0)), eqs AS (SELECT * FROM eq WHERE wanted <> '')"""
+
 
+def _entity_hits_sql(source: str) -> str:
+    names = rf"SELECT id, buffer, ' ' || trim(regexp_replace(unnest(es), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS name FROM {source}"
+    return f"eh AS (SELECT query_id, id, buffer, CAST(count(DISTINCT wanted) AS DOUBLE) AS score FROM ({names}) n JOIN eqs ON contains(name, ' ' || wanted) GROUP BY query_id, id, buffer)"
 
-@query(f"WITH {_ENT}, {_ENT_HITS} " + _ranked("SELECT query_id, id, score FROM eh", 10))
+
+@query(f"WITH {_ENT}, {_EQ}, {_entity_hits_sql('ent')} " + _ranked("SELECT query_id, id, score FROM eh", 10))
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.entity_search(D.entity_queries(spark), S.entity_index(D.chunks(spark, d)))
+    hits = S.entity_search(D.entity_queries(spark, d), D.chunk_phrases(spark, d))
     return S.top_k(hits, 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -219,15 +236,10 @@ def centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm_list(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return S.top_k(S.bm25(D.text_queries(spark), D.documents(spark, d), "fallback").withColumn("score", F.round("score", 6)), k)
-
-
-_VQ = "vq AS (SELECT (vec_id // 50) AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0 AND vec_id // 50 BETWEEN 1 AND 6)"
-_VL = f"vl AS (SELECT a.query_id, b.vec_id AS id, round(1 / (1 + {_L2}), 6) AS score FROM vq a, embeddings b)"
+    return S.top_k(_hits(spark, d, "fallback"), k)
 
 
-def _vq(spark: SparkSession, d: str) -> DataFrame:
-    return D.vectors(spark, d).where("id % 50 = 0 and id div 50 between 1 and 6").select(F.expr("id div 50").alias("query_id"), "buffer", "vector")
+_VL = f"vl AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 / (1 + {_L2}), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
 
 
 def _rrf_sql(*lists: str, k: int = 10) -> str:
@@ -238,40 +250,35 @@ def _rrf_sql(*lists: str, k: int = 10) -> str:
 _FB = _ranked("SELECT * FROM fbr", 30)
 
 
-@query(f"WITH {_BM25}, {_VQ}, {_VL} " + _rrf_sql(_FB, _ranked("SELECT * FROM vl", 60)))
+@query(f"WITH {_BM25}, {_VL} " + _rrf_sql(_FB, _ranked("SELECT * FROM vl", 60)))
 def rrf_two_lists(spark: SparkSession, d: str) -> DataFrame:
-    v = S.vector_search(_vq(spark, d), D.vectors(spark, d), 60, exclude_self=False)
+    v = S.vector_search(D.vector_queries(spark, d), D.vectors(spark, d), 60, exclude_self=False)
     return S.top_k(S.rrf([_bm_list(spark, d, 30), v]).withColumn("score", F.round("score", 9)), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_BM25} " + _rrf_sql(_ranked("SELECT query_id, buffer, id, round(score, 6) AS score FROM bm", 30, "query_id, buffer")))
 def rrf_cross_project(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.bm25(D.text_queries(spark), D.documents(spark, d)).withColumn("score", F.round("score", 6))
-    return S.across_buffers(hits).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
-
-
-_DENT = "dent AS (SELECT doc_id AS id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g'), '" + S.IDENTIFIER + "', 1), lambda x: length(x) >= 3), lambda x: lower(x))))[1:10] AS es FROM documents)"
-_DEH = f"deq AS (SELECT DISTINCT query_id, lower(entity) AS wanted FROM {D.values_sql(D.ENTITY_QUERIES, 'query_id, entity')}), deh AS (SELECT query_id, id, CAST(count(DISTINCT wanted) AS DOUBLE) AS score FROM (SELECT id, unnest(es) AS entity FROM dent) JOIN deq ON starts_with(entity, wanted) GROUP BY query_id, id)"
+    return S.across_buffers(_hits(spark, d)).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _doc_entities(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
-    names = F.filter(F.regexp_extract_all(plain, F.lit(S.IDENTIFIER), 1), lambda x: F.length(x) >= 3)
-    return D.documents(spark, d).select("id", "buffer", F.explode(F.slice(F.sort_array(F.array_distinct(F.transform(names, F.lower))), 1, 10)).alias("entity"))
+_DENT = "dent AS (SELECT doc_id AS id, source AS buffer, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g'), '" + S.IDENTIFIER + "', 1), lambda x: length(x) >= 3), lambda x: lower(x))))[1:10] AS es FROM documents)"
+_DEH = f"{_DENT}, {_EQ}, {_entity_hits_sql('dent')}"
 
 
 def _hybrid(tier: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        r = S.hybrid(D.text_queries(spark), D.documents(spark, d), _doc_entities(spark, d), D.entity_queries(spark), D.vectors(spark, d), _vq(spark, d), tier)
-        return r.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+        lexical = D.text_index(spark, d).search(D.text_queries(spark, d), "fallback")
+        entity = S.entity_search(D.entity_queries(spark, d), D.doc_phrases(spark, d)) if tier != "fts" else None
+        vector = S.vector_search(D.vector_queries(spark, d), D.vectors(spark, d), 60, exclude_self=False) if tier == "vector" else None
+        return S.hybrid(lexical, entity, vector).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
     return run
 
 
 QUERIES |= {f"hybrid_{t}": _hybrid(t) for t in ("fts", "entity", "vector")}
 SQL["hybrid_fts"] = f"WITH {_BM25} " + _rrf_sql(_FB)
-SQL["hybrid_entity"] = f"WITH {_BM25}, {_DENT}, {_DEH} " + _rrf_sql(_FB, _ranked("SELECT * FROM deh", 30))
-SQL["hybrid_vector"] = f"WITH {_BM25}, {_DENT}, {_DEH}, {_VQ}, {_VL} " + _rrf_sql(_FB, _ranked("SELECT * FROM deh", 30), _ranked("SELECT * FROM vl", 60))
+SQL["hybrid_entity"] = f"WITH {_BM25}, {_DEH} " + _rrf_sql(_FB, _ranked("SELECT query_id, id, score FROM eh", 30))
+SQL["hybrid_vector"] = f"WITH {_BM25}, {_DEH}, {_VL} " + _rrf_sql(_FB, _ranked("SELECT query_id, id, score FROM eh", 30), _ranked("SELECT * FROM vl", 60))
 
 
 @query(
@@ -296,9 +303,9 @@ def decay_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
-    """The k best documents of each query with their texts; lists of k for a few stated queries are broadcast."""
+    """The k best documents of each query with their texts; the lists are broadcast if they are few."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
-    return F.broadcast(_bm_list(spark, d, k)).join(docs, "id").select("query_id", "rank", "id", "path", "text", "score")
+    return S.small(_bm_list(spark, d, k)).join(docs, "id").select("query_id", "rank", "id", "path", "text", "score")
 
 
 _RES = f"res AS (SELECT t.query_id, t.rank, t.id, source || '/' || CAST(t.id AS VARCHAR) AS path, text, t.score FROM ({_FB}) t JOIN documents ON doc_id = t.id)"
@@ -332,9 +339,9 @@ def unified_search(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, summaries and maps for each query: summaries take their share, one chunk at least stays."""
     chunks = S.normalized(_bm_list(spark, d, 10)).select("query_id", F.lit("chunk").alias("kind"), "id", "norm")
     nodes = table(spark, d, "rlm_nodes").where("deleted_at is null and review_status = 'approved'").select("id", F.col("project").alias("buffer"), F.concat_ws("\n", "subject", "summary_text").alias("text"))
-    summaries = S.normalized(S.top_k(S.bm25(D.text_queries(spark), nodes, "fallback").withColumn("score", F.round("score", 6)), 10)).where("norm >= 0.35")
+    summaries = S.normalized(S.top_k(S.bm25(D.text_queries(spark, d), nodes, "fallback").withColumn("score", F.round("score", 6)), 10)).where("norm >= 0.35")
     maps = table(spark, d, "explorations").where("is_active").select("id", F.col("project").alias("buffer"), F.concat_ws("\n", "goal", "summary").alias("text"))
-    maps = S.normalized(S.top_k(S.bm25(D.text_queries(spark), maps, "fallback").withColumn("score", F.round("score", 6)), 5)).select("query_id", F.lit("map").alias("kind"), "id", "norm")
+    maps = S.normalized(S.top_k(S.bm25(D.text_queries(spark, d), maps, "fallback").withColumn("score", F.round("score", 6)), 5)).select("query_id", F.lit("map").alias("kind"), "id", "norm")
     n, _ = scores.summary_split(10, 0.6, 10)
     summaries = S.top_k(summaries.drop("rank"), n, score="norm").select("query_id", F.lit("summary").alias("kind"), "id", "norm")
     return S.top_k(chunks, 10 - n, score="norm").drop("rank").unionByName(summaries).unionByName(maps).withColumn("norm", F.round("norm", 6))

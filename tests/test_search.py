@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as T
 from kbspark.functions.porter import stem
 from kbspark.operators import context as X
+from kbspark.operators import index as I
 from kbspark.operators import search as S
 
 DOCS = [(1, "b", "alpha bravo bravo"), (2, "b", "alpha charlie"), (3, "c", ""), (4, "c", None), (5, "c", "Ünïcode ALPHA alpha_beta"), (6, "b", "delta " * 3000)]
@@ -22,14 +23,83 @@ def queries(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts, 1)), "query_id long, text string")
 
 
-def test_bm25_equals_fts5(spark):
+def fts5(rows, match):
     c = sqlite3.connect(":memory:")
-    c.execute("create virtual table f using fts5(x)")
-    rows = [(i, t.lower().replace("ü", "u").replace("ï", "i").replace("_", " ") if t else "") for i, _, t in DOCS]
-    c.executemany("insert into f(rowid, x) values (?, ?)", rows)
-    want = {i: -s for i, s in c.execute("select rowid, bm25(f) from f where f match 'alpha OR bravo'")}
+    c.execute("create virtual table f using fts5(x, tokenize='porter unicode61')")
+    c.executemany("insert into f(rowid, x) values (?, ?)", [(i, (t or "").replace("_", " ")) for i, t in rows])
+    return {i: -s for i, s in c.execute("select rowid, bm25(f) from f where f match ?", (match,))}
+
+
+def same(got, want):
+    return got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-6, abs_tol=1e-9) for k in got)
+
+
+def test_bm25_equals_fts5(spark):
     got = {r.id: r.score for r in S.bm25(queries(spark, "alpha bravo"), docs(spark)).collect()}
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-6, abs_tol=1e-9) for k in got)
+    assert same(got, fts5([(i, t) for i, _, t in DOCS], "alpha OR bravo"))
+
+
+STEMS = [(1, "The claim handler claims jobs"), (2, "claiming, claimed; handled"), (3, "relational relations relate"), (4, "Ünïted unity"), (5, "a b c"), (6, "nothing here")]
+
+
+def test_bm25_stems_as_fts5(spark):
+    df = spark.createDataFrame([(i, "b", t) for i, t in STEMS], "id long, buffer string, text string")
+    for words in ("claims", "handling relation", "united", "jobs nothing"):
+        got = {r.id: r.score for r in S.bm25(queries(spark, words), df).collect()}
+        assert got and same(got, fts5(STEMS, " OR ".join(words.split())))
+
+
+def test_stored_index(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    base = spark.createDataFrame([(i, "b", t) for i, t in STEMS] + [(7, "c", None), (8, "c", "")], "id long, buffer string, text string")
+    index = I.current(base, path, buckets=4)
+    q = queries(spark, "claims", "handling relation", "zzz")
+
+    def hits(ix, mode="or"):
+        return {(r.query_id, r.id, round(r.score, 9)) for r in ix.search(q, mode).collect()}
+
+    def plain(df, mode="or"):
+        return {(r.query_id, r.id, round(r.score, 9)) for r in S.bm25(q, df, mode).collect()}
+
+    for mode in ("or", "and", "fallback"):
+        assert hits(index, mode) == plain(base, mode)
+    new = spark.createDataFrame([(2, "b", "relation of claims"), (9, "b", "handle handle claims")], "id long, buffer string, text string")
+    for _ in range(2):  # an extension that is written again changes nothing more
+        I.extend(new, path, spark.createDataFrame([(3,), (77,)], "id long"))
+        import shutil
+
+        now = base.where("id not in (2, 3)").unionByName(new)
+        index = I.Index(spark, path)
+        assert hits(index) == plain(now) and index.n_docs == now.count()
+        shutil.rmtree(f"{path}/counts/segment=1")
+    I.extend(new, path, spark.createDataFrame([(3,), (77,)], "id long"))
+    I.compact(spark, path, str(tmp_path / "small"))
+    assert hits(I.Index(spark, str(tmp_path / "small"))) == plain(now)
+    assert I.current(now, path).n_docs == now.count() and not hits(I.current(base.limit(0), str(tmp_path / "none")))
+    scan = index.postings(q.selectExpr("'claim' as term"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [claim])" in scan or "EqualTo(term,claim)" in scan
+    assert "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 2)
+    q = queries(spark, "alpha", "bravo", "charlie", "alpha charlie", "zzz")
+    assert {(r.query_id, r.id) for r in S.bm25(q, docs(spark), "fallback").collect()} == {(1, 1), (1, 2), (1, 5), (2, 1), (3, 2), (4, 2)}
+    v = spark.createDataFrame(VEC, "id long, buffer int, vector array<float>")
+    every = v.selectExpr("id as query_id", "buffer", "vector")
+    got = {(r.query_id, r.id, r.rank) for r in S.vector_search(every, v, 3, "cosine").collect()}
+    plan = S.vector_search(every, v, 3)._jdf.queryExecution().executedPlan().toString() + S.entity_search(q.selectExpr("query_id", "text as entity"), S.entity_index(docs(spark).withColumn("path", F.lit("a")))).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "SortMergeJoin [size" not in plan
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 100)
+    assert got == {(r.query_id, r.id, r.rank) for r in S.vector_search(every, v, 3, "cosine").collect()}
+    assert S.within_radius(every, v, 0.7).count() == 8
+
+
+def test_entity_phrases(spark):
+    df = spark.createDataFrame([(1, "b", "parse_snapshot_session"), (2, "b", "snapshot"), (3, "b", "snapshots_x"), (4, "b", "session")], "id long, buffer string, entity string")
+    q = spark.createDataFrame([(1, "snapshot_sess"), (2, "Snapshot"), (3, "_"), (4, None), (5, "shot")], "query_id long, entity string")
+    assert {(r.query_id, r.id) for r in S.entity_search(q, df).collect()} == {(1, 1), (2, 1), (2, 2), (2, 3)}
+    assert S.entity_search(q.limit(0), df).count() == 0 and S.entity_search(q, df.limit(0)).count() == 0
 
 
 def test_bm25_modes(spark):
