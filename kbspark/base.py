@@ -114,6 +114,18 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("buffer"), F.col("embedding").alias("vector"))
 
 
+def usable_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, vector)``: vectors of the cache with 384 finite values, not all zero. They stand for the vectors of records of the same id."""
+    v = table(spark, d, "embedding_cache").select(F.col("cache_id").alias("id"), F.col("embedding").alias("vector")).where(F.size("vector") == 384)
+    good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    return v.where(F.coalesce(good, F.lit(False)))
+
+
+def usable_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Those whose id is divisible by 50, as questions."""
+    return usable_vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.lit("").alias("buffer"), "vector")
+
+
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
     """The vectors whose id is divisible by 50."""
     return vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "buffer", "vector")
@@ -127,12 +139,32 @@ def tokens_sql(column: str) -> str:
     return SQL_TOKENS.format(column)
 
 
-#: Query words by stem, and the postings of the documents by stem.
-TEXT_SQL = f"""tok AS (SELECT doc_id AS id, source AS buffer, {tokens_sql('coalesce(text, chr(32))')} AS terms FROM documents),
-qtok AS (SELECT doc_id AS query_id, unnest({tokens_sql('subject')}) AS term FROM documents WHERE doc_id % 50 = 0),
-voc AS (SELECT unnest(terms) AS term FROM tok UNION SELECT term FROM qtok), {porter_sql("voc")},
-q AS (SELECT DISTINCT query_id, stem AS term FROM qtok JOIN stems USING (term)),
-posted AS (SELECT id, buffer, dl, stem AS term, count(*) AS tf FROM (SELECT id, buffer, len(terms) AS dl, unnest(terms) AS term FROM tok) JOIN stems USING (term) GROUP BY id, buffer, dl, stem)"""
+DOCUMENTS_SQL = "SELECT doc_id AS id, source AS buffer, text FROM documents"
+
+
+def text_sql(source: str = DOCUMENTS_SQL, p: str = "") -> str:
+    """Query words by stem ``q``, and the postings of texts ``(id, buffer, text)`` by stem, in tables with a prefix."""
+    return f"""{p}tok AS (SELECT id, buffer, {tokens_sql('coalesce(text, chr(32))')} AS terms FROM ({source})),
+{p}qtok AS (SELECT doc_id AS query_id, unnest({tokens_sql('subject')}) AS term FROM documents WHERE doc_id % 50 = 0),
+{p}voc AS (SELECT unnest(terms) AS term FROM {p}tok UNION SELECT term FROM {p}qtok), {porter_sql(p + "voc", p + "stems")},
+{p}q AS (SELECT DISTINCT query_id, stem AS term FROM {p}qtok JOIN {p}stems USING (term)),
+{p}posted AS (SELECT id, buffer, dl, stem AS term, count(*) AS tf FROM (SELECT id, buffer, len(terms) AS dl, unnest(terms) AS term FROM {p}tok) JOIN {p}stems USING (term) GROUP BY id, buffer, dl, stem)"""
+
+
+def bm25_sql(source: str = DOCUMENTS_SQL, p: str = "") -> str:
+    """``bm``: scores of all matches; ``fb``: those of documents with all words, or with any where none has all; ``fbr``: the same rounded."""
+    return f"""{text_sql(source, p)}, {p}st AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_dl FROM {p}tok), {p}df AS (SELECT term, count(*) AS df FROM {p}posted GROUP BY term),
+{p}nt AS (SELECT query_id, count(*) AS n_terms FROM {p}q GROUP BY query_id),
+{p}bm AS (SELECT q.query_id, p.id, p.buffer, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl)))) AS score, count(*) AS n_hit, any_value(n_terms) AS n_terms
+  FROM {p}q q JOIN {p}posted p ON p.term = q.term JOIN {p}df df ON df.term = q.term JOIN {p}nt nt ON nt.query_id = q.query_id CROSS JOIN {p}st GROUP BY q.query_id, p.id, p.buffer),
+{p}fb AS (SELECT * FROM {p}bm WHERE n_hit = n_terms OR (n_terms > 1 AND query_id NOT IN (SELECT query_id FROM {p}bm WHERE n_hit = n_terms))),
+{p}fbr AS (SELECT query_id, id, round(score, 6) AS score FROM {p}fb)"""
+
+
+TEXT_SQL = text_sql()
+
+#: Vectors of the cache with 384 finite values, not all zero, as ``(id, v)``.
+USABLE_SQL = "uv AS MATERIALIZED (SELECT cache_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embedding_cache WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 384 AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
 
 
 def values_sql(rows: list[tuple], names: str) -> str:

@@ -42,11 +42,29 @@ def resolved(anchored: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def broken(anchored: DataFrame, files: DataFrame) -> DataFrame:
-    """``(id, broken)``: sorted paths of a map that no current file has; only maps with one."""
-    gone = anchored.join(files.select("project", "path").distinct(), ["project", "path"], "left_anti")
+    """``(id, broken)``: sorted paths of a map of which no current file has the hash stored with the anchor; only maps with one.
+
+    Anchors are ``(id, project, path, hash)``, files ``(project, path, hash)``. A path that is gone, one whose content
+    changed, and an anchor without a hash are broken.
+    """
+    gone = anchored.join(files.select("project", "path", F.lower("hash").alias("hash")).distinct(), ["project", "path", "hash"], "left_anti")
     return gone.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("broken"))
 
 
+def mark_stale(maps: DataFrame, broken: DataFrame) -> DataFrame:
+    """Maps ``(id, project, status)`` after a sweep, with ``stale_reason``: fresh ones with broken anchors become stale, all others stay."""
+    m = maps.join(broken.select("id", F.to_json("broken").alias("_why")), "id", "left")
+    hit = (F.col("status") == "fresh") & F.col("_why").isNotNull()
+    return m.select("id", "project", F.when(hit, "stale").otherwise(F.col("status")).alias("status"), F.when(hit, F.col("_why")).alias("stale_reason"))
+
+
+def bumped(epochs: DataFrame, changed: DataFrame) -> DataFrame:
+    """``(project, epoch)`` after a change in some projects: one more than before, 1 for a project without an epoch."""
+    c = changed.select("project").distinct().withColumn("_c", F.lit(1))
+    j = epochs.select("project", "epoch").join(c, "project", "full")
+    return j.select("project", (F.coalesce("epoch", F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("long").alias("epoch"))
+
+
 def drift(epoch: Column, current: Column) -> Column:
     return F.greatest(current - epoch, F.lit(0))
 
@@ -59,6 +77,32 @@ def ranked(maps: DataFrame, cfg: Confidence = Confidence(), k: int = 5, by: list
     return m.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
+def search(near: DataFrame, maps: DataFrame, stale: DataFrame, include_stale: bool = False, project: bool = False, as_of: int | None = None, cfg: Confidence = Confidence(), k: int = 5, margin: int = 3) -> DataFrame:
+    """``(query_id, id, hit, confidence, rank)``: maps among the vectors nearest to a question, gated and by confidence.
+
+    ``near`` are ranked vector hits ``(query_id, id, similarity, rank)`` (with ``project`` of the question if hits must
+    be of it) of which the first k and a margin count. ``maps`` holds all revisions ``(id, project, goal, status, epoch,
+    age_days, confirmed, contradicted, now_epoch)``. As of an epoch, the revision of the map's goal that was active then is judged in
+    its place. Retired maps and those in review never surface, stale ones (by status, or with an id in ``stale``) only when asked.
+    """
+    n = near.where(F.col("rank") < k + margin).select("query_id", "id", "similarity", *(["project"] if project else []))
+    keys = ["id", "project"] if project else ["id"]
+    if as_of is None:
+        j = n.join(maps, keys)
+    else:
+        goal = maps.select("id", "project", "goal")
+        last = maps.where(F.col("epoch") <= as_of).groupBy("project", "goal").agg(F.max_by(F.struct("status", "epoch", "age_days", "confirmed", "contradicted", "now_epoch", F.col("id").alias("revision")), F.struct("epoch", "id")).alias("r"))
+        j = n.join(goal, keys).join(last, ["project", "goal"]).select("query_id", "similarity", "project", F.col("r.revision").alias("id"), "r.status", "r.epoch", "r.age_days", "r.confirmed", "r.contradicted", "r.now_epoch")
+        j = j.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"), *[F.first(c).alias(c) for c in ("status", "epoch", "age_days", "confirmed", "contradicted", "now_epoch")])
+    j = j.join(stale.select("id", F.lit(True).alias("_broken")).distinct(), "id", "left")
+    old = F.col("_broken").isNotNull() | (F.coalesce("status", F.lit("")) != "fresh")
+    j = j.where(~F.coalesce("status", F.lit("")).isin("retired", "pending_review"))
+    if not include_stale:
+        j = j.where(~old)
+    now = F.coalesce("now_epoch", F.lit(0))
+    return ranked(j.withColumn("drift", drift(F.coalesce("epoch", now), now)), cfg, k).select("query_id", "id", "hit", "confidence", "rank")
+
+
 def feedback(events: DataFrame, limit: int = 3) -> DataFrame:
     """``(id, confirmed, contradicted, retired_at)`` from ``(id, at, event_id, contradicts)``: retired by the limit-th contradiction."""
     w = W.partitionBy("id", "contradicts").orderBy("at", "event_id")

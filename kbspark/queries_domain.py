@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark import base as D
-from kbspark.functions import scores
+from kbspark.functions import scores, vectors
 from kbspark.functions import text as T
 from kbspark.functions.chunks import chunk_lines
 from kbspark.operators import cache as Q
@@ -18,6 +18,8 @@ from kbspark.operators import revisions as R
 from kbspark.operators import search as S
 from kbspark.operators.orphans import same_file
 from kbspark.queries_search import _COS, _L2, _PAIRS, _ranked
+from kbspark.plans.lineage import cut_lineage
+from kbspark.plans.spread import spread
 from kbspark.session import table
 from kbspark.streaming import flows
 
@@ -52,8 +54,8 @@ def _uploads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _snapshot_chunks(spark: SparkSession, d: str, at: str) -> DataFrame:
-    s = R.snapshot(_uploads(spark, d), ["project", "path"], "received_at", "deleted_at", ts(at))
-    return chunk_lines(s.select("id", "project", "path", "content"), "content").select("project", "path", "line_start", "line_end", T.content_hash(F.col("text")).alias("hash"))
+    s = D.newest_uploads(table(spark, d, "index_file"), at)
+    return chunk_lines(s.select("file_id", "project", "path", "content"), "content").select("project", "path", "line_start", "line_end", T.content_hash(F.col("text")).alias("hash"))
 
 
 def _snapshot_sql(name: str, at: str) -> str:
@@ -134,16 +136,20 @@ def qa_exact_hit(spark: SparkSession, d: str) -> DataFrame:
     return Q.exact_hits(_questions(spark, d), _entries(spark, d))
 
 
-_NEAR = f"""{_LIVE}, qs AS (SELECT request_id AS query_id, project, list_distinct({D.tokens_sql('goal')}) AS a, {_HASH.format('goal')} AS hash FROM persist_exploration_request WHERE request_id % 50 = 0),
-es AS (SELECT id, project, list_distinct({D.tokens_sql('goal')}) AS b FROM live),
-sim AS (SELECT query_id, id, round(coalesce(len(list_intersect(a, b))::DOUBLE / nullif(sqrt(len(a)::DOUBLE * len(b)), 0), 0), 6) AS similarity,
-  round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM qs JOIN es USING (project)),
+_COS_V = "round(greatest(least(list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0}) * list_dot_product({1}, {1})), 1), -1), 6)"
+_NEAR = f"""{_LIVE}, {D.USABLE_SQL}, qv AS (SELECT id AS query_id, v FROM uv WHERE id % 50 = 0),
+sim AS (SELECT query_id, l.id, {_COS_V.format("qv.v", "uv.v")} AS similarity FROM qv CROSS JOIN live l JOIN uv ON uv.id = l.id WHERE query_id <> l.id),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rk FROM sim) WHERE rk = 1)"""
 
 
-@query(f"WITH {_NEAR} SELECT query_id, id, similarity, jaccard FROM near")
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    e = _entries(spark, d).join(D.usable_vectors(spark, d), "id")
+    return Q.nearest(D.usable_queries(spark, d).withColumnRenamed("buffer", "project"), e, same_project=False)
+
+
+@query(f"WITH {_NEAR} SELECT query_id, id, similarity FROM near")
 def qa_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return Q.nearest(_questions(spark, d, 50), _entries(spark, d))
+    return _near(spark, d)
 
 
 _TIER = "CASE WHEN s >= 0.9 THEN 0 WHEN s >= 0.8 THEN 1 WHEN s >= 0.7 THEN 2 WHEN s >= 0.6 THEN 3 WHEN s >= 0.5 THEN 4 END"
@@ -151,14 +157,42 @@ _PLAN = f"SELECT *, (s < 0.4 OR {_TIER} IS NULL OR j < 0.5) AS miss, {_TIER} AS
 _PLAN_COLS = "CASE WHEN miss THEN -1 ELSE t END AS tier, CASE WHEN miss THEN 20 ELSE [10, 12, 13, 15, 18][t + 1] END AS digest_k, CASE WHEN miss THEN 10 ELSE [5, 6, 7, 8, 10][t + 1] END AS provenance_k"
 
 
+_CHUNKS_OF = "SELECT a.id AS {0}, b.id AS chunk FROM (SELECT * FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY " + _COS_V.format("a.v", "b.v") + " DESC, b.id) AS rk FROM {1} a JOIN uv b ON a.id <> b.id) WHERE rk <= 10) a JOIN (SELECT id FROM uv) b ON b.id = a.other"
+
+
 @query(
-    f"""WITH {_NEAR}, h AS (SELECT project, hash, min(id) AS id FROM live GROUP BY ALL),
-x AS (SELECT q.query_id, h.id AS exact_id, near.id AS near_id, coalesce(similarity, 0) AS s, coalesce(jaccard, 0) AS j FROM qs q LEFT JOIN h ON h.project = q.project AND h.hash = q.hash LEFT JOIN near ON near.query_id = q.query_id),
+    f"""WITH {_NEAR}, qq AS (SELECT qv.query_id, e.project, {_HASH.format('e.goal')} AS hash FROM qv LEFT JOIN explorations e ON e.id = qv.query_id), h AS (SELECT project, hash, min(id) AS id FROM live GROUP BY ALL),
+intact AS (SELECT id FROM live WHERE id % 5 <> 0), nq AS (SELECT query_id AS id, v FROM qv), ne AS (SELECT DISTINCT near.id, uv.v FROM near JOIN uv USING (id)),
+now AS ({_CHUNKS_OF.format("query_id", "nq")}), was AS ({_CHUNKS_OF.format("id", "ne")}),
+jac AS (SELECT n.query_id, n.id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS j FROM near n JOIN (SELECT query_id, list(chunk) AS a FROM now GROUP BY query_id) USING (query_id) JOIN (SELECT id, list(chunk) AS b FROM was GROUP BY id) w ON w.id = n.id),
+x AS (SELECT q.query_id, CASE WHEN h.id IN (SELECT id FROM intact) THEN h.id END AS exact_id, n.id AS near_id, coalesce(n.similarity, 0) AS s, coalesce(n.j, 0) AS j FROM qq q LEFT JOIN h ON h.project = q.project AND h.hash = q.hash LEFT JOIN (SELECT near.query_id, near.id, similarity, j FROM near JOIN jac ON jac.query_id = near.query_id WHERE near.id IN (SELECT id FROM intact)) n ON n.query_id = q.query_id),
 p AS ({_PLAN} x)
 SELECT query_id, CASE WHEN exact_id IS NOT NULL THEN exact_id WHEN NOT miss THEN near_id END AS id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN NOT miss THEN 'near' ELSE 'miss' END AS outcome, {_PLAN_COLS} FROM p"""
 )
 def qa_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return Q.lookup(_questions(spark, d, 50), _entries(spark, d))
+    """Questions by vector: results now and sources then are the ten nearest vectors; entries with an id divisible by 5 have lost a source."""
+    entries, vectors = _entries(spark, d), D.usable_vectors(spark, d).withColumn("buffer", F.lit(""))
+    q = D.usable_queries(spark, d)
+    questions = q.select("query_id").join(table(spark, d, "explorations").select(F.col("id").alias("query_id"), "project", F.col("goal").alias("question")), "query_id", "left")
+    near = cut_lineage(_near(spark, d))
+    results = S.vector_search(q, vectors, 10, "cosine").select("query_id", F.col("id").alias("chunk"))
+    asked = vectors.join(near.select("id").distinct(), "id").select(F.col("id").alias("query_id"), "buffer", "vector")
+    sources = S.vector_search(asked, vectors, 10, "cosine").select(F.col("query_id").alias("id"), F.col("id").alias("chunk"))
+    jaccards = Q.overlaps(near, results, sources)
+    return Q.lookup(questions, entries, entries.where("not stale and id % 5 <> 0"), near, jaccards)
+
+
+@query(
+    f"""WITH old AS (SELECT id, project, {_HASH.format('goal')} AS hash, 1 AS version FROM explorations WHERE goal IS NOT NULL), new AS (SELECT 1000000000 + request_id AS id, project, {_HASH.format('goal')} AS hash FROM persist_exploration_request WHERE goal IS NOT NULL),
+base AS (SELECT project, hash, max(version) AS v FROM old GROUP BY ALL)
+SELECT o.id, o.project, o.hash, CAST(o.version AS BIGINT) AS version, (SELECT min(n.id) FROM new n WHERE n.project IS NOT DISTINCT FROM o.project AND n.hash = o.hash AND o.project IS NOT NULL) AS superseded_by FROM old o
+UNION ALL SELECT n.id, n.project, n.hash, CAST(coalesce(v, 0) + row_number() OVER (PARTITION BY n.project, n.hash ORDER BY n.id) AS BIGINT), lead(n.id) OVER (PARTITION BY n.project, n.hash ORDER BY n.id) FROM new n LEFT JOIN base b ON b.project = n.project AND b.hash = n.hash"""
+)
+def qa_store(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "explorations").where("goal is not null")
+    entries = e.select("id", "project", T.question_hash(F.col("goal")).alias("hash"), F.lit(1).cast("long").alias("version"), F.lit(None).cast("long").alias("superseded_by"), F.lit(0).cast("long").alias("stored_ms"))
+    answers = table(spark, d, "persist_exploration_request").select((F.lit(1_000_000_000) + F.col("request_id")).alias("id"), "project", F.col("goal").alias("question"))
+    return Q.store_answers(entries, answers, D.NOW_MS).drop("stored_ms")
 
 
 @query(f"WITH x AS (SELECT event_id, value / 100 AS s, (event_id % 10) / 10.0::DOUBLE AS j FROM events), p AS ({_PLAN} x) SELECT event_id, miss AS is_miss, {_PLAN_COLS} FROM p")
@@ -186,10 +220,11 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 _HASHES = "nodes AS (SELECT *, CASE WHEN json_valid(source_hashes) THEN CAST(json_extract_string(source_hashes, '$[*]') AS VARCHAR[]) ELSE [] END AS hashes FROM rlm_nodes)"
 
 
-@query(f"WITH {_HASHES}, changed AS (SELECT DISTINCT unnest(hashes) AS h FROM nodes WHERE deleted_at IS NOT NULL) SELECT DISTINCT id FROM (SELECT id, unnest(hashes) AS h FROM nodes WHERE deleted_at IS NULL) WHERE h IN (SELECT h FROM changed)")
+@query(f"WITH {_HASHES}, changed AS (SELECT DISTINCT unnest(hashes) AS h FROM nodes WHERE id % 3 = 0) SELECT DISTINCT id FROM (SELECT id, unnest(hashes) AS h FROM nodes WHERE deleted_at IS NULL) WHERE h IN (SELECT h FROM changed)")
 def stale_by_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that rest on a hash of which a third of the nodes' sources changed."""
     n = _nodes(spark, d)
-    return Q.stale_by_hashes(n.where("deleted_at is null"), n.where("deleted_at is not null").select(F.explode("hashes").alias("hash")))
+    return Q.stale_by_hashes(n.where("deleted_at is null"), n.where("id % 3 = 0").select(F.explode("hashes").alias("hash")))
 
 
 @query(
@@ -213,6 +248,25 @@ def cascade_change_ratio(spark: SparkSession, d: str) -> DataFrame:
     return G.change_ratio(n.where("level = 1"), n.where("level = 2"), ["project"])
 
 
+_THEME = "CASE WHEN contains(subject, '/') THEN split_part(subject, '/', 1) WHEN subject IS NOT NULL THEN '(root)' END"
+
+
+@query(
+    f"""WITH {_HASHES}, n AS (SELECT *, {_THEME} AS theme, deleted_at IS NOT NULL AS stale FROM nodes WHERE review_status <> 'rejected'),
+have AS (SELECT project, level, subject, max_by(id, id) AS id FROM n WHERE level > 1 GROUP BY ALL), hv AS (SELECT h.project, h.level, h.subject, n.hashes, n.stale FROM have h JOIN n USING (id)),
+kids AS (SELECT project, 2 AS level, theme AS subject, hashes FROM n WHERE level = 1 UNION ALL SELECT project, 3, project, hashes FROM n WHERE level = 2),
+u AS (SELECT DISTINCT project, level, subject, h FROM (SELECT project, level, subject, unnest(CASE WHEN len(hashes) = 0 THEN [NULL] ELSE hashes END) AS h FROM kids)),
+k AS (SELECT DISTINCT project, level, subject, unnest(hashes) AS h FROM hv),
+g AS (SELECT u.project, u.level, u.subject, count(u.h) AS n_union, count(k.h) AS n_kept FROM u LEFT JOIN k ON k.project = u.project AND k.level = u.level AND k.subject = u.subject AND k.h = u.h GROUP BY ALL),
+r AS (SELECT g.*, round(1 - n_kept::DOUBLE / greatest(n_union, 1), 6) AS ratio, hv.subject IS NULL OR hv.stale AS must FROM g LEFT JOIN hv ON hv.project = g.project AND hv.level = g.level AND hv.subject = g.subject),
+due AS (SELECT DISTINCT project FROM r WHERE level = 2 AND (must OR ratio > 0.3))
+SELECT project, CAST(level AS INTEGER) AS level, subject, n_union, n_kept, ratio, CASE WHEN level = 2 THEN must OR ratio > 0.3 ELSE must OR ratio > 0.5 OR project IN (SELECT project FROM due WHERE project IS NOT NULL) END AS enqueue FROM r"""
+)
+def cascade_levels(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d).select("id", "project", "level", "subject", "hashes", (F.col("review_status") == "rejected").alias("rejected"), F.col("deleted_at").isNotNull().alias("stale"))
+    return G.cascade(n, T.theme_of(F.col("subject")))
+
+
 _EDGES = "edges AS (SELECT id AS child, CASE WHEN level = 1 THEN max(CASE WHEN level = 2 THEN id END) OVER w WHEN level = 2 THEN max(CASE WHEN level = 3 THEN id END) OVER w END AS parent FROM rlm_nodes WINDOW w AS (PARTITION BY project ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 
 
@@ -230,15 +284,35 @@ def node_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH j AS (SELECT o_orderkey AS job_id, o_custkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O'),
-w AS (SELECT c_custkey AS worker, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 100 = 0)
-SELECT worker, job_id FROM j JOIN w USING (n) WHERE worker <> o_custkey"""
+    """WITH RECURSIVE j AS (SELECT o_orderkey AS job_id, o_custkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O'),
+a AS (SELECT list(o_custkey ORDER BY n) AS grp, list(job_id ORDER BY n) AS ids FROM j),
+w AS (SELECT c_custkey AS worker, row_number() OVER (ORDER BY c_custkey) AS i FROM customer WHERE c_acctbal >= 0),
+r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS worker, 1::BIGINT AS p, []::BIGINT[] AS skipped, 0::BIGINT AS pick
+  UNION ALL SELECT i, worker, greatest(p, pick + 1), list_filter(list_concat(skipped, range(p, pick)), lambda x: x <> pick), pick FROM (
+    SELECT w.i, w.worker, r.p, r.skipped, list_filter(list_concat(r.skipped, range(r.p, least(r.p + 60, len(a.grp) + 1))), lambda x: a.grp[x] <> w.worker)[1] AS pick FROM r JOIN w ON w.i = r.i + 1 CROSS JOIN a))
+SELECT worker, ids[pick] AS job_id FROM r CROSS JOIN a WHERE i > 0 AND pick IS NOT NULL"""
 )
 def job_claim(spark: SparkSession, d: str) -> DataFrame:
-    jobs = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("priority"), F.lit(0).alias("level"), F.col("o_orderdate").alias("created"))
-    workers = table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("worker"))
-    own = table(spark, d, "orders").select(F.col("o_custkey").alias("worker"), F.col("o_orderkey").alias("job_id"))
-    return G.claims(jobs, workers, own)
+    """Every customer, those in debt banned, claims an open order; not one of the group it is excluded from."""
+    jobs = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("group"), F.col("o_orderpriority").alias("priority"), F.lit(0).alias("level"), F.col("o_orderdate").alias("created"))
+    c = table(spark, d, "customer")
+    return G.claims(jobs, c.select(F.col("c_custkey").alias("worker")), excluded=c.select(F.col("c_custkey").alias("worker"), F.col("c_custkey").alias("group")), banned=c.where("c_acctbal < 0").select(F.col("c_custkey").alias("worker")))
+
+
+_EVENTS = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in (("view", "claim"), ("click", "enqueue"), ("purchase", "complete"), ("error", "fail"))) + " ELSE 'cancel' END"
+_MOVE = """CASE WHEN e = 'claim' AND a.s = 'pending' THEN {'g': a.g, 's': 'claimed', 'n': a.n + 1} WHEN e = 'complete' AND a.s = 'claimed' THEN {'g': a.g, 's': 'done', 'n': a.n}
+WHEN e = 'fail' AND a.s = 'claimed' THEN {'g': a.g, 's': CASE WHEN a.n >= 3 THEN 'parked' ELSE 'pending' END, 'n': a.n} WHEN e = 'cancel' AND a.s <> 'done' OR e = 'enqueue' AND a.s = 'done' THEN {'g': a.g + 1, 's': 'pending', 'n': 0} ELSE a END"""
+
+
+@query(
+    f"""WITH RECURSIVE ev AS (SELECT user_id, {_EVENTS} AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, {{'g': 0::BIGINT, 's': 'pending', 'n': 0}} AS a FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT r.user_id, ev.i, {_MOVE} FROM r JOIN ev ON ev.user_id = r.user_id AND ev.i = r.i + 1)
+SELECT user_id AS job_id, a.g AS generation, a.s AS status, CAST(a.n AS INTEGER) AS attempts FROM (SELECT user_id, max_by(a, i) AS a FROM r GROUP BY user_id)"""
+)
+def job_states(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs after all their events; kinds of events stand for steps of a job."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id", F.expr(_EVENTS).alias("event"))
+    return G.finished(e)
 
 
 @query("SELECT id FROM explorations WHERE status = 'pending_review' ORDER BY coalesce(created_by = 'pell', false) DESC, created_at, id LIMIT 10")
@@ -289,11 +363,40 @@ def trust_fold(spark: SparkSession, d: str) -> DataFrame:
     return G.trust(e.select(F.col("user_id").alias("user"), F.col("ts").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("accepted")))
 
 
-@query()
+_CANDIDATES = f"{D.USABLE_SQL}, cand AS (SELECT a.id, a.id // 6 AS subject, a.v, a.id % 4 AS author FROM uv a)"
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return D.usable_vectors(spark, d).select("id", F.expr("id div 6").alias("subject"), "vector", (F.col("id") % 4).alias("author"), (1 - (F.col("id") % 4) * 0.25).alias("trust"))
+
+
+@query(
+    f"""WITH RECURSIVE {_CANDIDATES}, sims AS MATERIALIZED (SELECT x.subject, x.id AS a, y.id AS b, {_COS_V.format("x.v", "y.v")} AS s FROM cand x JOIN cand y ON x.subject = y.subject AND x.id < y.id),
+c AS (SELECT subject, count(*) AS n FROM cand GROUP BY subject),
+cliques AS (SELECT subject, [id] AS ids, 1.0::DOUBLE AS low FROM cand UNION ALL
+  SELECT q.subject, list_append(q.ids, k.id), least(q.low, (SELECT min(s) FROM sims WHERE sims.b = k.id AND list_contains(q.ids, sims.a))) FROM cliques q JOIN cand k ON k.subject = q.subject AND k.id > q.ids[-1]
+  WHERE (SELECT count(*) FROM sims WHERE sims.b = k.id AND list_contains(q.ids, sims.a) AND s >= 0.3) = len(q.ids)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY len(ids) DESC, low DESC) AS rk FROM cliques WHERE len(ids) >= 2) WHERE rk = 1)
+SELECT c.subject, CASE WHEN n < 3 THEN 'pending' WHEN ids IS NULL OR len(ids) < 2 * ((n - 1) // 3) + 1 THEN 'rejected' ELSE 'accepted' END AS outcome,
+  CASE WHEN n >= 3 AND len(ids) >= 2 * ((n - 1) // 3) + 1 THEN len(ids) ELSE 0 END AS supporters FROM c LEFT JOIN best ON best.subject = c.subject"""
+)
 def quorum_decide(spark: SparkSession, d: str) -> DataFrame:
-    """Outcome of the submissions for each subject."""
-    c = table(spark, d, "rlm_nodes").where("subject is not null").select("id", "project", "level", "subject", F.col("summary_text").alias("text"), F.lit(1.0).alias("trust"))
-    return G.quorum(c, ["project", "level", "subject"])
+    """Outcome of the submissions for each subject; vectors of six neighbouring ids stand for the answers to one."""
+    return G.quorum(_candidates(spark, d), ["subject"], least=0.3).select("subject", "outcome", F.size("supporters").cast("long").alias("supporters"))
+
+
+@query()
+def quorum_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What became of every submission."""
+    c = _candidates(spark, d)
+    return G.after_quorum(G.quorum(c, ["subject"], least=0.3), c.drop("vector", "trust"), ["subject"]).groupBy("author", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH t AS ({SQL["trust_fold"]}) SELECT "user", trust, strikes, strikes >= 3 AS banned, row_number() OVER (ORDER BY trust DESC, strikes, "user") - 1 AS rank FROM t ORDER BY trust DESC, strikes, "user" LIMIT 20"""
+)
+def volunteer_list(spark: SparkSession, d: str) -> DataFrame:
+    return G.standing(trust_fold(spark, d), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
 # -- maps ---------------------------------------------------------------------------------------------------------------
@@ -316,10 +419,44 @@ def anchors_resolved(spark: SparkSession, d: str) -> DataFrame:
     return P.resolved(P.anchors(table(spark, d, "persist_exploration_request")), files)
 
 
-@query(f"WITH {D.CURRENT_FILES}, {_ANCHORS} SELECT id, array_to_string(list_sort(list(path)), '|') AS broken FROM anchors a WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.project = a.project AND cur.path = a.path) GROUP BY id")
+_BROKEN = f"""{_FILES}, {_snapshot_sql("past", THEN)}, past_h AS (SELECT project, path, min(hash) AS hash FROM past_f GROUP BY ALL), now_h AS (SELECT DISTINCT project, path, sha256(content) AS hash FROM current_files),
+cited AS (SELECT a.id, a.project, a.path, t.hash FROM anchors a LEFT JOIN past_h t ON t.project = a.project AND t.path = a.path),
+broken AS (SELECT id, list_sort(list(path)) AS paths FROM cited c WHERE NOT EXISTS (SELECT 1 FROM now_h n WHERE n.project = c.project AND n.path = c.path AND n.hash = c.hash) GROUP BY id)"""
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of requests as the files were at one time, against the files of now."""
+    def hashed(files: DataFrame) -> DataFrame:
+        return files.select("project", "path", T.content_hash(F.col("content")).alias("hash"))
+
+    cited = P.resolved(P.anchors(table(spark, d, "persist_exploration_request")), hashed(D.newest_uploads(table(spark, d, "index_file"), THEN)))
+    return P.broken(cited, hashed(D.current_files(spark, d)))
+
+
+@query(f"WITH {D.CURRENT_FILES}, {_ANCHORS}, {_BROKEN} SELECT id, array_to_string(paths, '|') AS broken FROM broken")
 def broken_anchors(spark: SparkSession, d: str) -> DataFrame:
-    b = P.broken(P.anchors(table(spark, d, "persist_exploration_request")), D.current_files(spark, d))
-    return b.select("id", F.array_join("broken", "|").alias("broken"))
+    return _broken(spark, d).select("id", F.array_join("broken", "|").alias("broken"))
+
+
+@query(
+    f"""WITH {D.CURRENT_FILES}, {_ANCHORS}, {_BROKEN}, m AS (SELECT r.request_id AS id, r.project, CASE WHEN r.request_id % 4 = 0 THEN 'retired' ELSE 'fresh' END AS status, b.paths FROM persist_exploration_request r LEFT JOIN broken b ON b.id = r.request_id)
+SELECT id, project, CASE WHEN status = 'fresh' AND paths IS NOT NULL THEN 'stale' ELSE status END AS status, CASE WHEN status = 'fresh' THEN len(paths) END AS reasons FROM m"""
+)
+def staleness_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Maps after a sweep; a quarter of them was retired before."""
+    m = table(spark, d, "persist_exploration_request").select(F.col("request_id").alias("id"), "project", F.when(F.col("request_id") % 4 == 0, "retired").otherwise("fresh").alias("status"))
+    return P.mark_stale(m, _broken(spark, d)).select("id", "project", "status", F.size(F.from_json("stale_reason", "array<string>")).cast("long").alias("reasons"))
+
+
+@query(
+    f"""WITH {D.CURRENT_FILES}, {_ANCHORS}, {_BROKEN}, e AS (SELECT project, max(epoch) AS epoch FROM explorations WHERE epoch IS NOT NULL AND project <> 'harbor-core' GROUP BY project), c AS (SELECT DISTINCT project FROM persist_exploration_request WHERE request_id IN (SELECT id FROM broken))
+SELECT coalesce(e.project, c.project) AS project, CAST(coalesce(epoch, 0) + CASE WHEN c.project IS NULL THEN 0 ELSE 1 END AS BIGINT) AS epoch FROM e FULL JOIN c ON e.project = c.project"""
+)
+def epoch_bump(spark: SparkSession, d: str) -> DataFrame:
+    """Epochs after a sweep: one more where an anchor broke."""
+    e = table(spark, d, "explorations").where("epoch is not null and project <> 'harbor-core'").groupBy("project").agg(F.max("epoch").alias("epoch"))
+    r = table(spark, d, "persist_exploration_request").select(F.col("request_id").alias("id"), "project")
+    return P.bumped(e, r.join(_broken(spark, d), "id", "left_semi"))
 
 
 def _scored_maps(spark: SparkSession, d: str) -> DataFrame:
@@ -346,9 +483,52 @@ def hit_class(spark: SparkSession, d: str) -> DataFrame:
     return _scored_maps(spark, d).groupBy(scores.hit_class(F.col("similarity")).alias("hit")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_MAPS} SELECT project, id, hit, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY confidence DESC, id) - 1 AS rank FROM mc WHERE hit <> 'none') WHERE rank < 5")
+def _all_maps(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "explorations")
+    now = e.groupBy("project").agg(F.max("epoch").alias("now_epoch"))
+    age = F.floor((F.lit(D.NOW_MS) - F.unix_millis("updated_at")) / 86_400_000)
+    return e.join(now, "project").select("id", "project", "goal", "status", "epoch", age.alias("age_days"), F.col("access_count").alias("confirmed"), F.coalesce("version", F.lit(0)).alias("contradicted"), "now_epoch")
+
+
+def _near_maps(spark: SparkSession, d: str) -> DataFrame:
+    items = D.usable_vectors(spark, d).join(table(spark, d, "explorations").select("id", F.col("project").alias("buffer")), "id")
+    return S.vector_search(D.usable_queries(spark, d), items, 8, "cosine").select("query_id", "id", F.col("score").alias("similarity"), "rank")
+
+
+_BAD = "SELECT DISTINCT e.id FROM explorations e JOIN persist_exploration_request r ON r.project = e.project AND r.goal = e.goal JOIN broken b ON b.id = r.request_id"
+
+
+def _bad_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of which a request with the same goal has a broken anchor."""
+    r = table(spark, d, "persist_exploration_request").select(F.col("request_id").alias("_r"), "project", "goal").join(_broken(spark, d).select(F.col("id").alias("_r")), "_r", "left_semi")
+    return table(spark, d, "explorations").select("id", "project", "goal").join(r.select("project", "goal").distinct(), ["project", "goal"], "left_semi").select("id")
+
+
+def _search_sql(revision: str, gate: str) -> str:
+    return f"""WITH {D.CURRENT_FILES}, {_ANCHORS}, {_BROKEN}, bad AS ({_BAD}), {D.USABLE_SQL}, nowe AS (SELECT project, max(epoch) AS now FROM explorations GROUP BY project),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rk FROM (SELECT q.id AS query_id, e.id, e.project, e.goal, {_COS_V.format("q.v", "u.v")} AS s FROM uv q CROSS JOIN explorations e JOIN uv u ON u.id = e.id WHERE q.id % 50 = 0 AND q.id <> e.id)) WHERE rk <= 8),
+m AS ({revision}), g AS (SELECT m.*, n.now FROM m JOIN nowe n ON n.project = m.project WHERE coalesce(status, '') NOT IN ('retired', 'pending_review') {gate}),
+sc AS (SELECT query_id, id, CASE WHEN s >= 0.72 THEN 'strong' WHEN s >= 0.55 THEN 'related' ELSE 'none' END AS hit, round(least(greatest(least(greatest(s, 0), 1) * greatest(1 - 0.1::DOUBLE * greatest(coalesce(now, 0) - coalesce(epoch, now, 0), 0), 0.25::DOUBLE)
+  * greatest(1 - 0.3::DOUBLE * (floor(({D.NOW_MS} - epoch_ms(updated_at)) / 86400000.0::DOUBLE) / 90.0::DOUBLE), 0.4::DOUBLE) + 0.1::DOUBLE * (CASE WHEN access_count + coalesce(version, 0) = 0 THEN 0 ELSE (access_count - coalesce(version, 0))::DOUBLE / (access_count + coalesce(version, 0)) END), 0), 1), 6) AS confidence FROM g)
+SELECT query_id, id, hit, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, id) - 1 AS rank FROM sc WHERE hit <> 'none') WHERE rank < 5"""
+
+
+_NOW_REV = "SELECT near.query_id, near.s, e.* FROM near JOIN explorations e ON e.id = near.id"
+
+
+@query(_search_sql(_NOW_REV, "AND status = 'fresh' AND id NOT IN (SELECT id FROM bad)"))
 def exploration_search(spark: SparkSession, d: str) -> DataFrame:
-    return P.ranked(_scored_maps(spark, d), by=["project"]).select("project", "id", "hit", "confidence", F.col("rank").cast("long").alias("rank"))
+    return P.search(_near_maps(spark, d), _all_maps(spark, d), _bad_maps(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_search_sql(_NOW_REV, ""))
+def exploration_search_stale(spark: SparkSession, d: str) -> DataFrame:
+    return P.search(_near_maps(spark, d), _all_maps(spark, d), _bad_maps(spark, d), include_stale=True).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_search_sql("SELECT near.query_id, max(near.s) AS s, any_value(e) AS x, e.id AS rid FROM near JOIN (SELECT *, row_number() OVER (PARTITION BY project, goal ORDER BY epoch DESC, id DESC) AS rv FROM explorations WHERE epoch <= 20) e ON e.rv = 1 AND e.project = near.project AND e.goal = near.goal GROUP BY near.query_id, e.id", "").replace("m AS (SELECT near.query_id, max", "mm AS (SELECT near.query_id, max").replace(", g AS (SELECT m.*", ", m AS (SELECT mm.query_id, mm.s, e.* FROM mm JOIN explorations e ON e.id = mm.rid), g AS (SELECT m.*"))
+def exploration_search_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return P.search(_near_maps(spark, d), _all_maps(spark, d), _bad_maps(spark, d), include_stale=True, as_of=20).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -472,12 +652,17 @@ def recall_ndcg_mrr(spark: SparkSession, d: str) -> DataFrame:
     return _metrics(spark, d, "l2")
 
 
-@query(
-    f"WITH {_REL}, {_metrics_sql('l2', '1 / (1 + ' + _L2 + ')')}, {_metrics_sql('cosine', _COS)} "
-    + " UNION ALL ".join(f"SELECT '{m}' AS system, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr FROM {m}" for m in ("l2", "cosine"))
-)
+@query()
 def embedder_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return E.compare({m: _metrics(spark, d, m) for m in ("l2", "cosine")})
+    """The two embedders: recall, gain and reciprocal rank of finding maps of the same goal by the vectors of their summaries."""
+    e = table(spark, d, "explorations").where("summary is not null and goal is not null").select("id", "goal", "summary")
+    q = e.where("id % 50 = 0")
+    relevant = S.small(q.select(F.col("id").alias("query_id"), "goal")).join(e.select("id", "goal"), "goal").where("id <> query_id").select("query_id", "id", F.lit(1).alias("gain"))
+    found = {}
+    for method in ("hash", "digest"):
+        items = cut_lineage(spread(e.select("id", "summary")).select("id", F.lit("").alias("buffer"), vectors.embed(F.col("summary"), 64, method).alias("vector")))
+        found[method] = E.metrics(S.vector_search(items.where("id % 50 = 0").withColumnRenamed("id", "query_id"), items, 10, "cosine"), relevant, 10)
+    return E.compare(found)
 
 
 # -- flows in batch form ------------------------------------------------------------------------------------------------

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kbspark import base as D
 from kbspark.functions import chunks as C
-from kbspark.functions import scores
 from kbspark.functions import text as T
 from kbspark.functions.porter import stemmed
 from kbspark.operators import context as X
@@ -116,12 +115,7 @@ for _m in ("text", "recursive", "code", "bytes", "markdown"):
 
 # -- lexical search -----------------------------------------------------------------------------------------------------
 
-_BM25 = f"""{D.TEXT_SQL}, st AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_dl FROM tok), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
-nt AS (SELECT query_id, count(*) AS n_terms FROM q GROUP BY query_id),
-bm AS (SELECT q.query_id, p.id, p.buffer, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl)))) AS score, count(*) AS n_hit, any_value(n_terms) AS n_terms
-  FROM q JOIN posted p ON p.term = q.term JOIN df ON df.term = q.term JOIN nt ON nt.query_id = q.query_id CROSS JOIN st GROUP BY q.query_id, p.id, p.buffer),
-fb AS (SELECT * FROM bm WHERE n_hit = n_terms OR (n_terms > 1 AND query_id NOT IN (SELECT query_id FROM bm WHERE n_hit = n_terms))),
-fbr AS (SELECT query_id, id, round(score, 6) AS score FROM fb)"""
+_BM25 = D.bm25_sql()
 
 
 def _ranked(source: str, k: int, by: str = "query_id", name: str = "score") -> str:
@@ -332,16 +326,3 @@ def token_budget_skip(spark: SparkSession, d: str) -> DataFrame:
 )
 def context_render(spark: SparkSession, d: str) -> DataFrame:
     return X.rendered(_results(spark, d, 10)).select("query_id", T.content_hash(F.col("context")).alias("context"))
-
-
-@query()
-def unified_search(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks, summaries and maps for each query: summaries take their share, one chunk at least stays."""
-    chunks = S.normalized(_bm_list(spark, d, 10)).select("query_id", F.lit("chunk").alias("kind"), "id", "norm")
-    nodes = table(spark, d, "rlm_nodes").where("deleted_at is null and review_status = 'approved'").select("id", F.col("project").alias("buffer"), F.concat_ws("\n", "subject", "summary_text").alias("text"))
-    summaries = S.normalized(S.top_k(S.bm25(D.text_queries(spark, d), nodes, "fallback").withColumn("score", F.round("score", 6)), 10)).where("norm >= 0.35")
-    maps = table(spark, d, "explorations").where("is_active").select("id", F.col("project").alias("buffer"), F.concat_ws("\n", "goal", "summary").alias("text"))
-    maps = S.normalized(S.top_k(S.bm25(D.text_queries(spark, d), maps, "fallback").withColumn("score", F.round("score", 6)), 5)).select("query_id", F.lit("map").alias("kind"), "id", "norm")
-    n, _ = scores.summary_split(10, 0.6, 10)
-    summaries = S.top_k(summaries.drop("rank"), n, score="norm").select("query_id", F.lit("summary").alias("kind"), "id", "norm")
-    return S.top_k(chunks, 10 - n, score="norm").drop("rank").unionByName(summaries).unionByName(maps).withColumn("norm", F.round("norm", 6))
