@@ -14,6 +14,11 @@ LANGUAGES = {
 }
 
 
+#: Two further maps of endings: the one that chooses a chunker, and the one of editors' names.
+CHUNK_LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "c", "h": "c", "rb": "ruby", "php": "php", "md": "markdown", "markdown": "markdown", "txt": "text", "log": "text"}
+EDITOR_LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescriptreact", "jsx": "javascriptreact", "go": "go", "java": "java", "c": "c", "h": "c", "hpp": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "rb": "ruby", "sh": "shell", "bash": "shell", "sql": "sql", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "css": "css"}
+
+
 def sanitize(text: Column) -> Column:
     """Every character that is no letter, digit or white space becomes a space."""
     return F.regexp_replace(text, r"[^\p{L}\p{N}\s]", " ")
@@ -67,6 +72,14 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"^(.+)\.[^.]*$", "$1")
 
 
+def language_by(path: Column, table: dict[str, str]) -> Column:
+    """The language of a path's ending by a map, null for one that is not in it."""
+    out, ext = F.lit(None).cast("string"), extension(path)
+    for k, v in table.items():
+        out = F.when(ext == k, v).otherwise(out)
+    return out
+
+
 def infer_language(path: Column) -> Column:
     pairs = [F.lit(x) for kv in LANGUAGES.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), extension(path))

@@ -459,28 +459,12 @@ def epoch_bump(spark: SparkSession, d: str) -> DataFrame:
     return P.bumped(e, r.join(_broken(spark, d), "id", "left_semi"))
 
 
-def _scored_maps(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "explorations")
-    now = e.groupBy("project").agg(F.max("epoch").alias("now"))
-    age = F.floor((F.lit(D.NOW_MS) - F.unix_millis("updated_at")) / 86_400_000)
-    return e.join(now, "project").select("project", "id", (F.col("access_count") / 40.0).alias("similarity"), P.drift(F.coalesce("epoch", "now"), F.col("now")).alias("drift"), age.alias("age_days"), F.col("access_count").alias("confirmed"), F.coalesce("version", F.lit(0)).alias("contradicted"))
-
-
-_MAPS = f"""m AS (SELECT e.project, id, access_count / 40.0::DOUBLE AS s, greatest(n.now - coalesce(epoch, n.now), 0) AS drift, floor(({D.NOW_MS} - epoch_ms(updated_at)) / 86400000.0::DOUBLE) AS age, access_count AS c, coalesce(version, 0) AS x
-  FROM explorations e JOIN (SELECT project, max(epoch) AS now FROM explorations GROUP BY project) n USING (project)),
-mc AS (SELECT *, round(least(greatest(least(greatest(s, 0), 1) * greatest(1 - 0.1::DOUBLE * drift, 0.25::DOUBLE) * greatest(1 - 0.3::DOUBLE * (age / 90.0::DOUBLE), 0.4::DOUBLE) + 0.1::DOUBLE * (CASE WHEN c + x = 0 THEN 0 ELSE (c - x)::DOUBLE / (c + x) END), 0), 1), 6) AS confidence,
-  CASE WHEN s >= 0.72 THEN 'strong' WHEN s >= 0.55 THEN 'related' ELSE 'none' END AS hit FROM m)"""
-
-
-@query(f"WITH {_MAPS} SELECT id, confidence FROM mc")
-def exploration_confidence(spark: SparkSession, d: str) -> DataFrame:
-    m = _scored_maps(spark, d)
-    return m.select("id", F.round(scores.confidence(*[F.col(c) for c in ("similarity", "drift", "age_days", "confirmed", "contradicted")]), 6).alias("confidence"))
-
-
-@query(f"WITH {_MAPS} SELECT hit, count(*) AS n FROM mc GROUP BY hit")
+@query(f"WITH {D.USABLE_SQL}, s AS (SELECT {_COS_V.format('q.v', 'u.v')} AS s FROM uv q CROSS JOIN explorations e JOIN uv u ON u.id = e.id WHERE q.id % 50 = 0 AND q.id <> e.id) SELECT CASE WHEN s >= 0.72 THEN 'strong' WHEN s >= 0.55 THEN 'related' ELSE 'none' END AS hit, count(*) AS n FROM s GROUP BY 1")
 def hit_class(spark: SparkSession, d: str) -> DataFrame:
-    return _scored_maps(spark, d).groupBy(scores.hit_class(F.col("similarity")).alias("hit")).agg(F.count(F.lit(1)).alias("n"))
+    """How near maps are to the questions asked by vector."""
+    items = D.usable_vectors(spark, d).join(table(spark, d, "explorations").select("id"), "id")
+    s = S.within_radius(D.usable_queries(spark, d), items, -1.0)
+    return s.groupBy(scores.hit_class(F.col("similarity")).alias("hit")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _all_maps(spark: SparkSession, d: str) -> DataFrame:
