@@ -21,7 +21,7 @@ from pyspark.sql.window import Window as W
 from kbspark.llm.neighbours import DIM, K, Trees, _matrix, _unit, live_groups, neighbour_graph, spread_groups
 from kbspark.plans.lineage import cut_lineage
 
-BEAM, WIDTH, STARTS, STEPS = 32, 6, 3, 24
+BEAM, WIDTH, STARTS = 32, 6, 3
 #: Queries that are broadcast; more take a shuffled join.
 FEW = 20_000
 
@@ -45,7 +45,7 @@ def _similarity(dim: int):
     return run
 
 
-def graph_search(queries: DataFrame, graph: DataFrame, placed: DataFrame, trees: Trees, k: int = K, dim: int = DIM, beam: int = BEAM, width: int = WIDTH, starts: int = STARTS, steps: int = STEPS) -> DataFrame:
+def graph_search(queries: DataFrame, graph: DataFrame, placed: DataFrame, trees: Trees, k: int = K, dim: int = DIM, beam: int = BEAM, width: int = WIDTH, starts: int = STARTS) -> DataFrame:
     """``(query_id, rank, id, similarity)`` for ``(query_id, vec)``, from a graph ``(id, nbr)`` and its vectors ``(id, vec)``."""
     q = cut_lineage(queries.select("query_id", F.col("vec").alias("qvec")))
     mark = F.broadcast if q.limit(FEW + 1).count() <= FEW else (lambda x: x)
@@ -58,7 +58,7 @@ def graph_search(queries: DataFrame, graph: DataFrame, placed: DataFrame, trees:
     seen = new
     state = q.select("query_id").limit(0).selectExpr("query_id", "query_id as id", "0.0D as sim", "true as done")
     best = W.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
-    for _ in range(steps):
+    while True:  # every step expands nodes that were not expanded before, or is the last
         scored = new.join(placed.select("id", "vec"), "id").join(mark(q), "query_id").select("query_id", "id", similarity("qvec", "vec").alias("sim"), F.lit(False).alias("done"))
         top = state.unionByName(scored).withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= beam)
         turn = F.sum((~F.col("done")).cast("int")).over(best.rowsBetween(W.unboundedPreceding, 0))

@@ -1,17 +1,19 @@
 """Problem 1: the most similar vectors of every vector, by NN-descent.
 
-A neighbour graph starts from the leaves of a few random-projection trees and is improved round by round: the
-neighbours of neighbours of all nodes of a block (nodes of one leaf of the first tree, their neighbours, and the nodes
-that have them as neighbours) are joined by id, their vectors are attached, and the block is compared as one matrix
-product. Only new, better neighbours leave a block. Rounds end when few lists change. New vectors are answered by
-greedy search in the finished graph (``graph_search``).
-
-Scale: vectors move once per tree and once per round to each block that needs them, some five copies a round; no step
+A neighbour graph starts from the leaves of a few random-projection trees and is improved round by round. In a round the
+nearest neighbours of every node, and the nodes that have it among their nearest, are joined by id and compared with each
+other. The nodes of one small leaf of another tree do this together: their neighbourhoods overlap, so a vector comes to
+few places, and what meets there is compared as one matrix product. Only new, better neighbours leave such a block.
+After the first round only nodes with a new entry, or in one, bring their neighbours together. Rounds go on until few
+lists change. New vectors are answered by greedy search in the finished graph (``graph_search``).
+
+Scale: a vector meets some 1,500 others a round whatever the number of rows, and moves to some seven blocks; no step
 compares all with all. Nodes that very many others point to would make a block large, so the pointing nodes are dealt
 into chunks of bounded size, each of which meets the whole core of the block. Exact copies of a direction (a third of
 all rows, say) are one node; their members are spread out again at the end, eleven per group, which is all that any
-list of ten can hold. The trees are built from a bounded sample; a leaf that is still too large is cut along one more
-random projection at its quantiles, so leaves stay bounded whatever the number of rows.
+list of ten can hold. The trees are built from a bounded sample; leaves that are still too large are cut again and
+again, each tree along projections of its own, and at last by a hash where projections cannot part them, so leaves are
+bounded whatever the number of rows.
 
 Defined results: a row is usable if its embedding has exactly ``dim`` values, all finite, not all zero; of the usable
 rows with one hash the latest ``cached_at`` is live (null counts as earliest; equal times: the larger id), rows with a
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kbspark.plans.lineage import cut_lineage
+from kbspark.plans.skew import join_skewed
 
 DIM, K = 384, 10
 #: List length while the graph is built; the reserve helps the search, ties are cut by id.
@@ -38,9 +41,17 @@ LIST = 14
 #: Single-precision cosines closer than this may be equal once rounded.
 CLOSE = np.float32(1e-5)
 TREES, LEAF, SAMPLE = 3, 500, 20_000
-#: A leaf above this is cut again; nodes of a block beyond its core come in chunks of this size.
-LEAF_MOST, CHUNK = 2_000, 2_500
-MAX_ROUNDS, STOP_SHARE = 8, 0.002
+#: Leaves in which the rounds take place.
+BLOCK = 40
+#: Neighbours of a node, and of those that name it, that meet in a round.
+NEAREST = 8
+#: A leaf above this many times its intended size is cut again; nodes of a block beyond its core come in chunks of this size.
+LEAF_MOST, CHUNK = 2, 250
+STOP_SHARE = 0.002
+#: Projections of each tree for further cuts, and the parts each makes of a leaf at most.
+CUTS, PARTS = 16, 4
+#: Leaves to be cut that are broadcast.
+BIG_LEAVES = 100_000
 _ROWS, _TILE = 512, 1024
 
 
@@ -118,7 +129,7 @@ class Trees:
         dim = sample.shape[1]
         self.plane = np.array(self.plane, np.float32).reshape(-1, dim)
         self.cut, self.child = np.array(self.cut, np.float32), np.array(self.child, np.int64).reshape(-1, 2)
-        self.extra = rng.normal(size=dim).astype(np.float32)
+        self.further = rng.normal(size=(dim, trees * CUTS)).astype(np.float32)  # projections for further cuts
 
     def _grow(self, u, ids, least, rng) -> int:
         if len(ids) > least:
@@ -154,25 +165,40 @@ def _assign(trees: Trees, dim: int):
     def run(batches):
         for pdf in batches:
             u = _unit(_matrix(pdf.vec, dim))
-            leaf, p = trees.assign(u), u @ trees.extra
+            leaf = trees.assign(u)
             n = leaf.shape[1]
-            yield pd.DataFrame({"id": np.repeat(pdf.id.to_numpy(), n), "tree": np.tile(np.arange(n), len(pdf)), "leaf": leaf.ravel(), "proj": np.repeat(p, n)})
+            p = (u @ trees.further).reshape(len(u) * n, CUTS)
+            yield pd.DataFrame({"id": np.repeat(pdf.id.to_numpy(), n), "tree": np.tile(np.arange(n), len(pdf)), "leaf": leaf.ravel(), "proj": list(p)})
 
     return run
 
 
-def leaves(vectors: DataFrame, trees: Trees, dim: int = DIM, leaf: int = LEAF, most: int = LEAF_MOST) -> DataFrame:
-    """``(id, tree, leaf)``, no leaf much larger than ``most``: larger ones are cut at quantiles of one more projection."""
-    raw = vectors.select("id", "vec").mapInPandas(_assign(trees, dim), "id long, tree int, leaf long, proj float")
-    raw = cut_lineage(raw)
-    big = raw.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    cuts = raw.join(big, "leaf").groupBy("leaf").agg(F.first("n").alias("n"), F.percentile_approx("proj", F.array(*[F.lit(i / 1024) for i in range(1, 1024)]), 10_000).alias("q"))
-    parts = F.least(F.ceil(F.col("n") / leaf), F.lit(1024))
-    cuts = cuts.select("leaf", F.transform(F.sequence(F.lit(1), F.greatest(parts.cast("int") - 1, F.lit(1))), lambda i: F.element_at("q", F.greatest((i * 1024 / parts).cast("int"), F.lit(1)))).alias("q"))
-    if big.isEmpty():
-        return raw.select("id", "tree", "leaf")
-    sub = F.coalesce(F.size(F.filter("q", lambda c: c <= F.col("proj"))), F.lit(0))
-    return raw.join(cuts, "leaf", "left").select("id", "tree", (F.col("leaf") * 2048 + F.when(F.col("q").isNull(), 0).otherwise(sub)).alias("leaf"))
+def leaves(vectors: DataFrame, trees: Trees, dim: int = DIM, leaf: int = LEAF, most: float = LEAF_MOST) -> DataFrame:
+    """``(id, tree, leaf)``, no leaf larger than ``most * leaf``.
+
+    Larger ones are cut at the quantiles of one projection of their tree after the other, all at once, and at last by a
+    hash of the id.
+    """
+    at = cut_lineage(vectors.select("id", "vec").mapInPandas(_assign(trees, dim), "id long, tree int, leaf long, proj array<float>"))
+    for depth in range(CUTS + 1):
+        big = at.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most * leaf)
+        big = cut_lineage(big)
+        if big.isEmpty():
+            break
+        mark = F.broadcast if big.limit(BIG_LEAVES + 1).count() <= BIG_LEAVES else (lambda x: x)
+        if depth == CUTS:
+            part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / leaf))
+            at = at.join(mark(big), "leaf", "left").select("id", "tree", F.when(F.col("n").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", part)).alias("leaf"), "proj")
+            break
+        p = F.col("proj")[depth]
+        parts = F.least(F.ceil(F.col("n") / leaf), F.lit(PARTS))
+        halves = [i / (2 * PARTS * 3) for i in range(1, 2 * PARTS * 3)]  # quantiles for two, three and four parts
+        cuts = at.join(mark(big), "leaf").groupBy("leaf").agg(F.first("n").alias("n"), F.percentile_approx(p, F.array(*[F.lit(h) for h in halves]), 1000).alias("q"))
+        cuts = cuts.select("leaf", F.transform(F.sequence(F.lit(1), parts.cast("int") - 1), lambda i: F.element_at("q", (i * len(halves) / parts).cast("int") + 1)).alias("q"))
+        sub = F.size(F.filter("q", lambda c: c <= F.col("proj")[depth]))
+        at = at.join(mark(cuts), "leaf", "left")
+        at = cut_lineage(at.select("id", "tree", F.when(F.col("q").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", F.lit(depth), sub)).alias("leaf"), "proj"))
+    return at.select("id", "tree", "leaf")
 
 
 # -- graph --------------------------------------------------------------------------------------------------------------
@@ -323,21 +349,22 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("id").agg(F.min("blk").alias("blk"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("nbr")))), 1, k).alias("nbr"))
 
 
-def start_graph(vectors: DataFrame, trees: Trees, dim: int = DIM, k: int = LIST, leaf: int = LEAF, leaf_most: int = LEAF_MOST) -> tuple[DataFrame, DataFrame]:
-    """``(id, blk, nbr)`` from the leaves of all trees, and ``(id, blk, vec)``; blk is the leaf in the first tree."""
+def start_graph(vectors: DataFrame, trees: Trees, blocks: Trees, dim: int = DIM, k: int = LIST, leaf: int = LEAF, block: int = BLOCK, leaf_most: float = LEAF_MOST) -> tuple[DataFrame, DataFrame]:
+    """``(id, blk, nbr)`` from the leaves of all trees, and ``(id, blk, vec)``; blk is the leaf in the tree of the blocks."""
     at = leaves(vectors, trees, dim, leaf, leaf_most)
-    placed = cut_lineage(vectors.join(at.where("tree = 0").select("id", F.col("leaf").alias("blk")), "id").select("id", "blk", "vec"))
+    own = leaves(vectors, blocks, dim, block, 1.5 * leaf_most).select("id", F.col("leaf").alias("blk"))
+    placed = cut_lineage(vectors.join(own, "id").select("id", "blk", "vec"))
     grouped = at.join(placed, "id").select("id", "blk", "leaf", "vec").groupBy("leaf")
     lists = grouped.applyInPandas(_leaf_lists(dim, k), f"id long, blk long, nbr {_NBR}")
     return cut_lineage(_merged(lists, k)), placed
 
 
-def improve(graph: DataFrame, placed: DataFrame, dim: int = DIM, k: int = LIST, chunk: int = CHUNK, active: DataFrame | None = None) -> tuple[DataFrame, int, DataFrame | None]:
+def improve(graph: DataFrame, placed: DataFrame, dim: int = DIM, k: int = LIST, chunk: int = CHUNK, active: DataFrame | None = None, nearest: int = NEAREST) -> tuple[DataFrame, int, DataFrame | None]:
     """One round: the graph after comparing neighbours of neighbours, how many new list entries came up, and who is active next.
 
     After the first round only nodes with a new entry, or in one, bring their neighbours together again.
     """
-    e = graph.select("id", "blk", F.explode("nbr").alias("n")).select("id", "blk", F.col("n.id").alias("to"), F.col("n.blk").alias("to_blk"))
+    e = graph.select("id", "blk", F.explode(F.slice("nbr", 1, nearest)).alias("n")).select("id", "blk", F.col("n.id").alias("to"), F.col("n.blk").alias("to_blk"))
     centres, ahead, behind = graph.select("id", "blk"), e, e
     if active is not None:
         centres, ahead = centres.join(active, "id", "left_semi"), e.join(active, "id", "left_semi")
@@ -364,21 +391,21 @@ def improve(graph: DataFrame, placed: DataFrame, dim: int = DIM, k: int = LIST,
     return cut_lineage(_merged(graph.select("id", "blk", "nbr").unionByName(new), k)), changed, active
 
 
-def neighbour_graph(vectors: DataFrame, dim: int = DIM, k: int = LIST, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, rounds: int = MAX_ROUNDS, stop: float = STOP_SHARE, leaf_most: int = LEAF_MOST, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, Trees]:
+def neighbour_graph(vectors: DataFrame, dim: int = DIM, k: int = LIST, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, stop: float = STOP_SHARE, leaf_most: float = LEAF_MOST, chunk: int = CHUNK, nearest: int = NEAREST) -> tuple[DataFrame, DataFrame, Trees]:
     """The finished graph ``(id, blk, nbr)`` of ``(id, vec)``, the placed vectors and the trees.
 
-    ``sample`` vectors at most are read to the driver for the trees; everything else covers all rows.
+    ``sample`` vectors at most are read to the driver for the trees; everything else covers all rows. Lists only get
+    better, so the rounds end by themselves: when no more than the share ``stop`` of all entries is new.
     """
     n = vectors.count()
     part = vectors.select("vec") if n <= sample else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample / n)).select("vec")
     got = part.limit(2 * sample).toPandas()
-    planes = Trees(_unit(_matrix(got.vec, dim)) if len(got) else np.empty((0, dim), np.float32), n, trees, leaf)
-    graph, placed = start_graph(vectors, planes, dim, k, leaf, leaf_most)
-    active = None
-    for _ in range(rounds):
-        graph, changed, active = improve(graph, placed, dim, k, chunk, active)
-        if changed <= stop * n * k:
-            break
+    some = _unit(_matrix(got.vec, dim)) if len(got) else np.empty((0, dim), np.float32)
+    planes = Trees(some, n, trees, leaf)
+    graph, placed = start_graph(vectors, planes, Trees(some, n, 1, block, seed=11), dim, k, leaf, block, leaf_most)
+    active, changed = None, n * k
+    while changed > stop * n * k:
+        graph, changed, active = improve(graph, placed, dim, k, chunk, active, nearest)
     return graph, placed, planes
 
 
@@ -400,8 +427,8 @@ def spread_groups(near: DataFrame, live: DataFrame, groups: DataFrame, k: int) -
     near = near.join(spread, "other", "left").select("rep", "neg", F.explode(F.coalesce("ids", F.array("other"))).alias("id"))
     own = groups.where("n > 1").select("rep", F.lit(-1.0).alias("neg"), F.explode("ids").alias("id"))
     lists = near.unionByName(own).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("neg", "id"))), 1, k + 1).alias("nbr"))
-    # members of one group may be a third of all rows: adaptive execution splits them, their list is one row
-    members = live.where("true").join(groups.select("sig", "rep"), "sig").select("id", "rep").join(lists, "rep")
+    # members of one group may be a third of all rows; its list is one row
+    members = join_skewed(live.select("id", "sig"), groups.select("sig", "rep").join(lists, "rep").select("sig", "nbr"), ["sig"])
     kept = members.select("id", F.posexplode(F.slice(F.filter("nbr", lambda x: x["id"] != F.col("id")), 1, k)).alias("p", "x"))
     return kept.select("id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("other"), (-F.col("x.neg")).alias("similarity"))
 

@@ -55,13 +55,13 @@ def clustered(n, seed=0, centres=12):
 
 def test_recall_with_small_leaves_and_chunks(spark):
     rows = [(i * 3 + 1, hashlib.md5(str(i).encode()).hexdigest(), v, None) for i, v in enumerate(clustered(900))]
-    got, want = found(spark, rows, leaf=60, chunk=40, sample=300), brute(rows)
+    got, want = found(spark, rows, leaf=60, block=20, chunk=40, sample=300), brute(rows)
     assert len(got & want) / len(want) > 0.97
 
 
 def test_oversized_leaves_are_cut(spark):
     rows = [(i, str(i), v, None) for i, v in enumerate(clustered(700, 1))]
-    got, want = found(spark, rows, leaf=50, leaf_most=80, sample=40), brute(rows)
+    got, want = found(spark, rows, leaf=50, block=15, leaf_most=1.5, sample=40), brute(rows)
     assert len(got & want) / len(want) > 0.95
 
 
@@ -92,7 +92,7 @@ def near_copies(n, seed=5):
     return [np.float32(base * rng.uniform(0.5, 2) + 1e-6 * rng.normal(size=DIM)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("how", [{}, {"leaf": 60, "leaf_most": 90, "chunk": 80, "sample": 200}])
+@pytest.mark.parametrize("how", [{}, {"leaf": 60, "block": 30, "leaf_most": 1.5, "chunk": 80, "sample": 200}])
 def test_a_large_group_of_near_copies(spark, how):
     vs = near_copies(400) + clustered(300, 6)
     order = np.random.default_rng(8).permutation(len(vs))
@@ -102,3 +102,30 @@ def test_a_large_group_of_near_copies(spark, how):
     mine = lambda pairs: {p for p in pairs if p[0] in tied and p[1] in tied}
     assert mine(got) == mine(want)
     assert len(got & want) / len(want) > 0.95
+
+
+def test_leaves_are_bounded(spark):
+    rng = np.random.default_rng(3)
+    x = np.float32(np.concatenate([rng.normal(size=(3000, DIM)), np.tile(rng.normal(size=DIM), (500, 1))]))  # some cannot be parted
+    v = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "id long, vec binary")
+    at = N.leaves(v, N.Trees(N._unit(x[:60]), len(x), 2, 30), DIM, 30, 2)
+    sizes = {r["count"] for r in at.groupBy("tree", "leaf").count().collect()}
+    assert max(sizes) <= 60 * 1.5 and at.count() == 2 * len(x) and at.select("id", "tree").distinct().count() == 2 * len(x)
+    assert at.groupBy("leaf").agg({"tree": "max", "*": "count"}).count() == at.select("tree", "leaf").distinct().count()
+
+
+def test_recall_where_the_sample_is_small_against_the_rows(spark):
+    rng = np.random.default_rng(12)
+    dim, n = 32, 6000
+    c = rng.normal(size=(60, dim))
+    x = np.float32(c[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, dim)))
+    v = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "id long, vec binary")
+    graph, _, _ = N.neighbour_graph(v, dim, leaf=100, block=25, sample=100)
+    got = {r.id: {y["id"] for y in r.nbr[:10]} for r in graph.where("id % 20 = 0").collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for i, ids in got.items():
+        s = u @ u[i]
+        s[i] = -9
+        hits += len(ids & set(np.argsort(-s)[:10].tolist()))
+    assert hits / (10 * len(got)) > 0.95
