@@ -53,6 +53,8 @@ CUTS, PARTS = 16, 4
 #: Leaves to be cut that are broadcast.
 BIG_LEAVES = 100_000
 _ROWS, _TILE = 512, 1024
+#: Where a list of neighbours is not full.
+NO_ID = -(1 << 63)
 
 
 # -- vectors ------------------------------------------------------------------------------------------------------------
@@ -203,9 +205,6 @@ def leaves(vectors: DataFrame, trees: Trees, dim: int = DIM, leaf: int = LEAF, m
 
 # -- graph --------------------------------------------------------------------------------------------------------------
 
-_NBR = "array<struct<neg:double,id:long,blk:long>>"
-
-
 def _unit64(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True, initial=0)
@@ -306,44 +305,53 @@ def _better(x: np.ndarray, worst: np.ndarray, worst_id: np.ndarray, k: int, ids:
     return r[good], c[good], sim[good]
 
 
-def _rows(ids, blk, a, b, sim) -> pd.DataFrame:
-    """One row per distinct a with its list of (-similarity, id, block) from parallel arrays sorted by a."""
-    if not len(a):
-        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "blk": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype=object)})
-    start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-    trip = list(zip((-sim).tolist(), ids[b].tolist(), blk[b].tolist(), strict=True))
-    ends = [*start[1:].tolist(), len(a)]
-    return pd.DataFrame({"id": ids[a[start]], "blk": blk[a[start]], "nbr": [trip[s:e] for s, e in zip(start.tolist(), ends, strict=True)]})
+_FLAT = "id long, blk long, neg double, other long, other_blk long"
+
+
+def _rows(ids, blk, a, b, sim) -> pa.Table:
+    """One row per entry, node a with its neighbour b, from parallel arrays; flat columns cross to the JVM at little cost."""
+    return pa.table({"id": ids[a], "blk": blk[a], "neg": -sim, "other": ids[b], "other_blk": blk[b]})
+
+
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def _vectors_of(t: pa.Table, dim: int) -> np.ndarray:
+    return _matrix(t.column("vec").to_pylist(), dim)
+
+
+_NONE = np.empty(0, int), np.empty(0, int), np.empty(0)
 
 
 def _leaf_lists(dim: int, k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, blk = _matrix(pdf.vec, dim), pdf.id.to_numpy(), pdf.blk.to_numpy()
+    def run(t: pa.Table) -> pa.Table:
+        ids, blk = _column(t, "id"), _column(t, "blk")
         if len(ids) < 2:
-            return _rows(ids, blk, np.empty(0, int), np.empty(0, int), np.empty(0))
-        a, b, sim = (np.concatenate(v) for v in zip(*_best(x, ids, k), strict=True))
-        return _rows(ids, blk, a, b, sim)
+            return _rows(ids, blk, *_NONE)
+        return _rows(ids, blk, *(np.concatenate(v) for v in zip(*_best(_vectors_of(t, dim), ids, k), strict=True)))
 
     return run
 
 
 def _block_lists(dim: int, k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, blk = _matrix(pdf.vec, dim), pdf.id.to_numpy(), pdf.blk.to_numpy()
-        n = len(ids)
-        known, worst, worst_id = np.full((n, k), -1, np.int64), np.full(n, -3.0), np.full(n, -1, np.int64)
-        for i, (w, wid, nbr) in enumerate(zip(pdf.worst, pdf.worst_id, pdf.known, strict=True)):
-            known[i, : len(nbr)] = nbr
-            if len(nbr) >= k:
-                worst[i], worst_id[i] = w, wid
-        if n < 2:
-            return _rows(ids, blk, np.empty(0, int), np.empty(0, int), np.empty(0))
-        a, b, sim = _better(x, worst, worst_id, k, ids, known)
-        return _rows(ids, blk, a, b, sim)
+    def run(t: pa.Table) -> pa.Table:
+        ids, blk = _column(t, "id"), _column(t, "blk")
+        if len(ids) < 2:
+            return _rows(ids, blk, *_NONE)
+        known = np.stack([_column(t, f"known{i}") for i in range(k)], 1)
+        full = known[:, -1] != NO_ID
+        worst = np.where(full, _column(t, "worst"), -3.0)
+        worst_id = np.where(full, known[:, -1], NO_ID)
+        return _rows(ids, blk, *_better(_vectors_of(t, dim), worst, worst_id, k, ids, known))
 
     return run
 
 
+def _as_lists(flat: DataFrame) -> DataFrame:
+    return flat.select("id", "blk", F.array(F.struct("neg", F.col("other").alias("id"), F.col("other_blk").alias("blk"))).alias("nbr"))
+
+
 def _merged(lists: DataFrame, k: int) -> DataFrame:
     """The k best of all lists of a node; of one neighbour named in several lists one stays."""
     return lists.groupBy("id").agg(F.min("blk").alias("blk"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("nbr")))), 1, k).alias("nbr"))
@@ -355,8 +363,7 @@ def start_graph(vectors: DataFrame, trees: Trees, blocks: Trees, dim: int = DIM,
     own = leaves(vectors, blocks, dim, block, 1.5 * leaf_most).select("id", F.col("leaf").alias("blk"))
     placed = cut_lineage(vectors.join(own, "id").select("id", "blk", "vec"))
     grouped = at.join(placed, "id").select("id", "blk", "leaf", "vec").groupBy("leaf")
-    lists = grouped.applyInPandas(_leaf_lists(dim, k), f"id long, blk long, nbr {_NBR}")
-    return cut_lineage(_merged(lists, k)), placed
+    return cut_lineage(_merged(_as_lists(grouped.applyInArrow(_leaf_lists(dim, k), _FLAT)), k)), placed
 
 
 def improve(graph: DataFrame, placed: DataFrame, dim: int = DIM, k: int = LIST, chunk: int = CHUNK, active: DataFrame | None = None, nearest: int = NEAREST) -> tuple[DataFrame, int, DataFrame | None]:
@@ -379,16 +386,16 @@ def improve(graph: DataFrame, placed: DataFrame, dim: int = DIM, k: int = LIST,
     members = members.join(sizes, "b", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunks = F.when(F.col("core"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
     members = members.select("b", "id", F.explode(chunks).alias("chunk"))
-    last = F.element_at("nbr", -1)
-    state = graph.select("id", F.transform("nbr", lambda x: x["id"]).alias("known"), (-last["neg"]).alias("worst"), last["id"].alias("worst_id"))
+    known = [F.coalesce(F.get("nbr", F.lit(i))["id"], F.lit(NO_ID)).alias(f"known{i}") for i in range(k)]
+    state = graph.select("id", *known, F.coalesce(-F.element_at("nbr", -1)["neg"], F.lit(-3.0)).alias("worst"))
     rows = members.join(state, "id").join(placed, "id")
-    new = rows.select("b", "chunk", "id", "blk", "vec", "known", "worst", "worst_id").groupBy("b", "chunk").applyInPandas(_block_lists(dim, k), f"id long, blk long, nbr {_NBR}")
+    new = rows.select("b", "chunk", "id", "blk", "vec", "worst", *[f"known{i}" for i in range(k)]).groupBy("b", "chunk").applyInArrow(_block_lists(dim, k), _FLAT)
     new = cut_lineage(new)
-    changed = new.agg(F.sum(F.size("nbr"))).first()[0] or 0
+    changed = new.count()
     if not changed:
         return graph, 0, None
-    active = cut_lineage(new.select("id").unionByName(new.select(F.explode("nbr.id").alias("id"))).distinct())
-    return cut_lineage(_merged(graph.select("id", "blk", "nbr").unionByName(new), k)), changed, active
+    active = cut_lineage(new.select("id").unionByName(new.select(F.col("other").alias("id"))).distinct())
+    return cut_lineage(_merged(graph.select("id", "blk", "nbr").unionByName(_as_lists(new)), k)), changed, active
 
 
 def neighbour_graph(vectors: DataFrame, dim: int = DIM, k: int = LIST, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, stop: float = STOP_SHARE, leaf_most: float = LEAF_MOST, chunk: int = CHUNK, nearest: int = NEAREST) -> tuple[DataFrame, DataFrame, Trees]:
