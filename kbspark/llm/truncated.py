@@ -244,7 +244,7 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     feats = read.where("what = 'text'").drop("what", "stop", "n")
     seen = read.where("what <> 'text'")
     seen = cut_lineage(seen.groupBy("_source", "what", "w1", "w2").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("stops")))
-    lines = seen.where("what = 'line'").groupBy(F.coalesce("_source", F.lit("")).alias("_from"), F.col("w1").alias("start")).agg(F.sum("n").alias("ln"), F.sum("stops").alias("ls"))
+    lines = seen.where("what = 'line' and w1 <> ''").groupBy(F.coalesce("_source", F.lit("")).alias("_from"), F.col("w1").alias("start")).agg(F.sum("n").alias("ln"), F.sum("stops").alias("ls"))
     often = F.col("ls") >= CLOSING_SHARE * F.col("ln")
     closing = lines.where(often & (F.col("ls") >= CLOSING_LEAST)).select("_from", "start", F.lit(True).alias("closing"))
     anywhere = lines.groupBy("start").agg(F.sum("ln").alias("ln"), F.sum("ls").alias("ls")).where(often & (F.col("ls") >= CLOSING_LEAST_ALL)).select("start", F.lit(True).alias("anywhere"))
@@ -252,7 +252,10 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     single = pairs.groupBy("_source", "what", "w2").agg(F.sum("pn").alias("un"), F.sum("ps").alias("us"))
     place = F.when(F.col("state") == "ask", "listed").otherwise("word")
     ends = feats.withColumn("place", place)
-    ends = ends.withColumn("_from", F.coalesce("_source", F.lit(""))).join(closing, ["_from", "start"], "left").join(anywhere, "start", "left").drop("_from")
+    ends = ends.withColumn("_from", F.coalesce("_source", F.lit("")))
+    # most texts have no closing line of their own; they stay out of the joins, where they would be one hot key
+    none = ends.where("start = ''").withColumns({"closing": F.lit(None).cast("boolean"), "anywhere": F.lit(None).cast("boolean")})
+    ends = ends.where("start <> ''").join(closing, ["_from", "start"], "left").join(anywhere, "start", "left").unionByName(none).drop("_from")
     p = pairs.alias("p")
     same = F.col("e._source").eqNullSafe(F.col("p._source")) & (F.col("e.place") == F.col("p.what")) & (F.col("e.w1") == F.col("p.w1")) & (F.col("e.w2") == F.col("p.w2"))
     ends = ends.alias("e").join(p, same, "left").select("e.*", "p.pn", "p.ps")
