@@ -28,8 +28,8 @@ def versions(sightings: DataFrame, attributes: list[str], order: list[str] = ())
     keys = ["source_table", "entity_key", "version"]
     rows = sightings.where("entity_key is not null and version is not null and epoch is not null")
     first = F.min(F.struct(F.col("epoch"), *[F.col(c) for c in order], *[F.col(a).cast("string").alias(f"a_{i}") for i, a in enumerate(attributes)])).alias("f")
-    names = F.array(*[F.lit(a) for a in attributes])
-    values = F.array(*[F.col(f"f.a_{i}") for i in range(len(attributes))])
+    names = F.array(*[F.lit(a) for a in attributes]).cast("array<string>")
+    values = F.array(*[F.col(f"f.a_{i}") for i in range(len(attributes))]).cast("array<string>")
     return rows.groupBy(*keys).agg(first).select(*keys, F.col("f.epoch").alias("valid_from"), F.map_from_arrays(names, values).alias("attrs"))
 
 
@@ -111,19 +111,25 @@ EXPLORATION_ATTRIBUTES = ["goal", "summary", "status", "created_by", "model"]
 ATTRIBUTES = [*CHUNK_ATTRIBUTES, "goal", "summary", "status"]
 
 
-def chunk_sightings(search_result: DataFrame) -> DataFrame:
+def _of(df: DataFrame, attributes: list[str]) -> list[str]:
+    return [a for a in attributes if a in df.columns]
+
+
+def chunk_sightings(search_result: DataFrame, attributes: list[str] = CHUNK_ATTRIBUTES) -> DataFrame:
     """Rows of search_result as sightings of their chunk."""
-    return search_result.select(F.lit("search_result").alias("source_table"), F.col("chunk_id").cast("long").alias("entity_key"), F.col("version").cast("long"), F.col("epoch").cast("long"), F.col("returned_at").alias("seen_at"), *CHUNK_ATTRIBUTES)
+    return search_result.select(F.lit("search_result").alias("source_table"), F.col("chunk_id").cast("long").alias("entity_key"), F.col("version").cast("long"), F.col("epoch").cast("long"), F.col("returned_at").alias("seen_at"), *_of(search_result, attributes))
 
 
-def exploration_sightings(explorations: DataFrame) -> DataFrame:
+def exploration_sightings(explorations: DataFrame, attributes: list[str] = EXPLORATION_ATTRIBUTES) -> DataFrame:
     """Rows of explorations as sightings of the chain of revisions they belong to."""
-    e = explorations.select("id", "superseded_by", F.col("version").cast("long"), F.col("epoch").cast("long"), F.col("created_at").alias("seen_at"), *EXPLORATION_ATTRIBUTES)
+    kept = _of(explorations, attributes)
+    e = explorations.select("id", "superseded_by", F.col("version").cast("long"), F.col("epoch").cast("long"), F.col("created_at").alias("seen_at"), *kept)
     members = chain_members(e)
-    return e.join(members, "id").select(F.lit("explorations").alias("source_table"), "entity_key", "version", "epoch", "seen_at", *EXPLORATION_ATTRIBUTES)
+    return e.join(members, "id").select(F.lit("explorations").alias("source_table"), "entity_key", "version", "epoch", "seen_at", *kept)
 
 
-def history(search_result: DataFrame, explorations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The stored history of chunks and explorations."""
-    both = chunk_sightings(search_result).unionByName(exploration_sightings(explorations), allowMissingColumns=True)
-    return store(versions(both, ATTRIBUTES, ["seen_at"]), block)
+def history(search_result: DataFrame, explorations: DataFrame, block: int = BLOCK, attributes: list[str] = ATTRIBUTES) -> DataFrame:
+    """The stored history of chunks and explorations with the attributes asked for."""
+    parts = [chunk_sightings(search_result, [a for a in attributes if a in CHUNK_ATTRIBUTES]), exploration_sightings(explorations, [a for a in attributes if a in EXPLORATION_ATTRIBUTES])]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return store(versions(both, attributes, ["seen_at"] if attributes else []), block)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kbspark.plans.lineage import cut_lineage
-from kbspark.plans.skew import HEAVY_PARTS, anti_join_skewed
+from kbspark.plans.skew import HEAVY_PARTS, anti_join_skewed, heavy_keys
 
 
 def same_file(path: Column) -> Column:
@@ -111,24 +111,26 @@ def reference_counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy("source_table", "ref_field", *KEYS, month).agg(F.count(F.lit(1)).alias("n"))
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
-    """``(source_table, record_id, ref_field, ref_value, at)`` of every reference without a target at its time."""
-    per_key = cut_lineage(reference_counts(refs).where("scope is not null and key is not null").groupBy(*KEYS).agg(F.sum("n").alias("n")))
-    total = per_key.agg(F.sum("n").alias("total"))
-    heavy = per_key.join(F.broadcast(total), F.col("n") * heavy_parts > F.col("total")).select(*KEYS)
-    cover = coverage(targets)
+def _exists(l, r) -> Column:
+    return (r("start") <= l("at")) & (r("end").isNull() | (r("end") > l("at")))
 
-    def exists(l, r) -> Column:
-        return (r("start") <= l("at")) & (r("end").isNull() | (r("end") > l("at")))
 
-    out = anti_join_skewed(refs, cover, KEYS, exists, heavy)
+def find_orphans(refs: DataFrame, targets: DataFrame, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
+    """``(source_table, record_id, ref_field, ref_value, at)`` of every reference without a target at its time."""
+    heavy = heavy_keys(reference_counts(refs), KEYS, heavy_parts, "n")
+    out = anti_join_skewed(refs, coverage(targets), KEYS, _exists, heavy)
     return out.select("source_table", "record_id", "ref_field", "ref_value", "at").distinct()
 
 
-def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """``(source_table, ref_field, month, refs, orphans)``; month is null for references without a time."""
-    all_ = reference_counts(refs).groupBy("source_table", "ref_field", "month").agg(F.sum("n").alias("refs"))
-    bad = orphans.groupBy("source_table", "ref_field", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("orphans"))
-    a, b = all_.alias("a"), bad.alias("b")
-    same = (F.col("a.source_table") == F.col("b.source_table")) & (F.col("a.ref_field") == F.col("b.ref_field")) & F.col("a.month").eqNullSafe(F.col("b.month"))
-    return a.join(b, same, "left").select("a.source_table", "a.ref_field", "a.month", "a.refs", F.coalesce("b.orphans", F.lit(0)).cast("long").alias("orphans"))
+def orphan_report(refs: DataFrame, targets: DataFrame, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
+    """``(source_table, ref_field, month, refs, orphans)``; month is null for references without a time.
+
+    References are counted per key and time once; both anti-joins run over these groups and carry their counts, and the
+    counts of orphans and of all references are summed in one go.
+    """
+    r = refs.select("source_table", "record_id", "ref_field", "ref_value", *KEYS, "at").distinct()
+    groups = cut_lineage(r.groupBy("source_table", "ref_field", *KEYS, "at").agg(F.count(F.lit(1)).alias("n")))
+    bad = anti_join_skewed(groups, coverage(targets), KEYS, _exists, heavy_keys(groups, KEYS, heavy_parts, "n"))
+    none = F.lit(0).cast("long")
+    both = groups.select("source_table", "ref_field", "at", F.col("n").alias("refs"), none.alias("orphans")).unionByName(bad.select("source_table", "ref_field", "at", none.alias("refs"), F.col("n").alias("orphans")))
+    return both.groupBy("source_table", "ref_field", F.date_format("at", "yyyy-MM").alias("month")).agg(F.sum("refs").alias("refs"), F.sum("orphans").alias("orphans"))

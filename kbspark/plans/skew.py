@@ -15,12 +15,13 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], parts: int = HEAVY_PARTS) -> DataFrame:
-    """Keys that hold more than ``1/parts`` of the rows of ``df``: fewer than ``parts`` rows, whatever the input.
+def heavy_keys(df: DataFrame, keys: Sequence[str], parts: int = HEAVY_PARTS, weight: str | None = None) -> DataFrame:
+    """Keys that hold more than ``1/parts`` of the rows of ``df`` (of the sum of ``weight``): fewer than ``parts`` rows, whatever the input.
 
     Counts are combined before the shuffle; keys with a null part never match a join and are left out.
     """
-    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(n.alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     return counts.join(F.broadcast(total), F.col("_n") * parts > F.col("_total")).select(*keys)
 

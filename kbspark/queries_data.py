@@ -14,29 +14,29 @@ def _refs(spark: SparkSession, d: str) -> DataFrame:
     return O.request_references(table(spark, d, "persist_exploration_request")).unionByName(O.claim_references(table(spark, d, "claim_rlm_job_response"))).unionByName(O.supersede_references(table(spark, d, "explorations")))
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return O.find_orphans(_refs(spark, d), O.targets(*[table(spark, d, t) for t in ("index_file", "search_result", "rlm_nodes", "explorations")]))
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return O.targets(*[table(spark, d, t) for t in ("index_file", "search_result", "rlm_nodes", "explorations")])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).drop("at")
+    return O.find_orphans(_refs(spark, d), _targets(spark, d)).drop("at")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return O.orphan_report(_refs(spark, d).distinct(), _orphans(spark, d))
+    return O.orphan_report(_refs(spark, d), _targets(spark, d))
 
 
-def _history(spark: SparkSession, d: str) -> DataFrame:
-    return H.history(table(spark, d, "search_result"), table(spark, d, "explorations"))
+def _history(spark: SparkSession, d: str, attributes: list[str]) -> DataFrame:
+    return H.history(table(spark, d, "search_result"), table(spark, d, "explorations"), attributes=attributes)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return H.validity(_history(spark, d)).select("source_table", "entity_key", "version", "valid_from", "valid_to")
+    return H.validity(_history(spark, d, [])).select("source_table", "entity_key", "version", "valid_from", "valid_to")
 
 
 def p6_history(spark: SparkSession, d: str) -> DataFrame:
     """Validity rows with the attributes of each version."""
-    return H.validity(_history(spark, d), H.ATTRIBUTES)
+    return H.validity(_history(spark, d, H.ATTRIBUTES), H.ATTRIBUTES)
 
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_history": p6_history}
@@ -83,5 +83,9 @@ SQL = {
 SELECT r.source_table, r.ref_field, strftime(r.at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS refs, count(o.record_id) AS orphans
 FROM refs r LEFT JOIN orphans o ON o.source_table = r.source_table AND o.record_id = r.record_id AND o.ref_field = r.ref_field AND o.ref_value = r.ref_value
 GROUP BY ALL""",
+    "p6_history": _P6.replace("seen AS (", "rows AS (", 1).replace("min(epoch) AS valid_from FROM search_result", "epoch, returned_at AS seen_at, text, file_path, CAST(start_line AS VARCHAR) AS start_line, CAST(end_line AS VARCHAR) AS end_line, created_by, model, NULL::VARCHAR AS goal, NULL::VARCHAR AS summary, NULL::VARCHAR AS status FROM search_result").replace("IS NOT NULL GROUP BY chunk_id, version", "IS NOT NULL").replace("CAST(e.version AS BIGINT), min(e.epoch) FROM", "CAST(e.version AS BIGINT), e.epoch, e.created_at, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, e.created_by, e.model, e.goal, e.summary, e.status FROM").replace("IS NOT NULL GROUP BY m.entity_key, e.version", "IS NOT NULL")
+    + """, seen AS (SELECT *, epoch AS valid_from FROM (SELECT *, row_number() OVER (PARTITION BY source_table, entity_key, version ORDER BY epoch, seen_at NULLS FIRST, """
+    + ", ".join(f"{a} NULLS FIRST" for a in H.ATTRIBUTES)
+    + ") AS rk FROM rows) WHERE rk = 1) SELECT source_table, entity_key, version, valid_from, CAST(coalesce(lead(valid_from) OVER (PARTITION BY source_table, entity_key ORDER BY version), -1) AS BIGINT) AS valid_to, " + ", ".join(H.ATTRIBUTES) + " FROM seen",
     "p6_found": _P6 + "SELECT source_table, entity_key, version, valid_from, CAST(coalesce(lead(valid_from) OVER (PARTITION BY source_table, entity_key ORDER BY version), -1) AS BIGINT) AS valid_to FROM seen",
 }

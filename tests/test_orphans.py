@@ -71,6 +71,6 @@ def test_references(spark):
 
 def test_report(spark):
     refs, targets = spark.createDataFrame(REFS, REF).distinct(), spark.createDataFrame(TARGETS, TARGET)
-    rep = O.orphan_report(refs, O.find_orphans(refs, targets)).collect()
+    rep = O.orphan_report(refs, targets).collect()
     assert sum(r.refs for r in rep) == 12 and sum(r.orphans for r in rep) == len(brute(REFS, TARGETS))
     assert {r.month for r in rep} == {"2024-03", None}
