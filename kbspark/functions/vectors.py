@@ -73,35 +73,46 @@ def unpack(v: Column) -> Column:
     return run(v)
 
 
-def hash_embedding(text: str, dims: int) -> np.ndarray:
-    """A unit vector drawn by a 32-bit xorshift generator that the text's SHA-256 seeds."""
-    seed = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little") or SEED_64
-    state = (seed ^ (seed >> 32)) & 0xFFFFFFFF or SEED_32
-    bits = np.empty(dims, np.uint32)
-    for i in range(dims):
-        state ^= (state << 13) & 0xFFFFFFFF
-        state ^= state >> 17
-        state ^= (state << 5) & 0xFFFFFFFF
-        bits[i] = 0x3F800000 | (state & 0x7FFFFF)
-    v = (bits.view(np.float32) - np.float32(1)) * np.float32(2) - np.float32(1)
-    n = np.sqrt(np.sum(v * v, dtype=np.float32))
-    return v / n if n > 0 else v
-
-
-def digest_embedding(text: str, dims: int) -> np.ndarray:
-    """The 32 bytes of the text's SHA-256 summed into ``dims`` buckets, as a unit vector."""
-    v = np.zeros(dims, np.float32)
-    np.add.at(v, np.arange(32) % dims, np.frombuffer(hashlib.sha256(text.encode()).digest(), np.uint8).astype(np.float32))
-    n = np.sqrt(np.sum(v * v, dtype=np.float32))
-    return v / n if n > 0 else v
+def _unit_rows(v: np.ndarray) -> np.ndarray:
+    n = np.sqrt(np.sum(v * v, axis=1, keepdims=True, dtype=np.float32))
+    return np.divide(v, n, out=v, where=n > 0)
+
+
+def _digests(texts: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.sha256(t.encode()).digest() for t in texts), np.uint8).reshape(-1, 32)
+
+
+def hash_embeddings(texts: list[str], dims: int) -> np.ndarray:
+    """Unit vectors drawn by 32-bit xorshift generators that the texts' SHA-256 seed, one step of all texts at a time."""
+    seed = _digests(texts)[:, :8].copy().view("<u8").ravel()
+    seed[seed == 0] = SEED_64
+    state = ((seed ^ (seed >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    state[state == 0] = SEED_32
+    bits = np.empty((dims, len(texts)), np.uint32)
+    for row in bits:
+        state ^= state << np.uint32(13)
+        state ^= state >> np.uint32(17)
+        state ^= state << np.uint32(5)
+        row[:] = 0x3F800000 | (state & np.uint32(0x7FFFFF))
+    return _unit_rows(np.ascontiguousarray((bits.view(np.float32) * np.float32(2) - np.float32(3)).T))
+
+
+def digest_embeddings(texts: list[str], dims: int) -> np.ndarray:
+    """The 32 bytes of each text's SHA-256 summed into ``dims`` buckets, as unit vectors."""
+    v = np.zeros((dims, len(texts)), np.float32)
+    np.add.at(v, np.arange(32) % dims, _digests(texts).T.astype(np.float32))
+    return _unit_rows(np.ascontiguousarray(v.T))
 
 
 def embed(text: Column, dims: int = 384, method: str = "hash") -> Column:
     """Embedding of a text without a model; null for null."""
-    one = hash_embedding if method == "hash" else digest_embedding
+    many = hash_embeddings if method == "hash" else digest_embeddings
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else one(t, dims).tolist())
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        has = s.notna()
+        out[has] = pd.Series(list(many(s[has].tolist(), dims)), index=s.index[has], dtype=object)
+        return out
 
     return run(text)

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from kbspark.functions import vectors
 from kbspark.functions.text import content_hash
+from kbspark.operators.search import small
 
 
 def embed_inputs(rows: DataFrame, id_col: str, *parts: str) -> DataFrame:
@@ -47,7 +48,7 @@ def in_order(ids: list, table: DataFrame, id_col: str = "id") -> DataFrame:
     """The rows of the given ids with their place ``pos`` in the list; unknown ids are skipped."""
     spark = table.sparkSession
     wanted = spark.createDataFrame(list(enumerate(ids)), f"pos int, {id_col} {dict(table.dtypes)[id_col]}")
-    return F.broadcast(wanted).join(table, id_col).orderBy("pos")
+    return small(wanted).join(table, id_col).orderBy("pos")
 
 
 def all_match(expected: DataFrame, current: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def valid_sessions(sessions: DataFrame, tokens: DataFrame, now: Column) -> DataF
 
 def context_limits(models: DataFrame, limits: DataFrame, default: int = 128_000) -> DataFrame:
     """``(model, limit)``: the limit of the longest known name that a model's name contains; limits are a small table."""
-    m, n = models.select("model").distinct(), F.broadcast(limits.select("name", "limit"))
+    m, n = models.select("model").distinct(), small(limits.select("name", "limit"))
     j = m.join(n, F.contains(F.lower("model"), F.lower("name")), "left")
     best = j.groupBy("model").agg(F.max_by("limit", F.struct(F.length("name"), F.col("name"))).alias("limit"))
     return best.select("model", F.coalesce("limit", F.lit(default)).alias("limit"))
@@ -79,7 +80,7 @@ def context_limits(models: DataFrame, limits: DataFrame, default: int = 128_000)
 def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """``(model, usd)`` of ``(model, tokens)`` by the price per million; unknown models cost nothing."""
     u = usage.groupBy("model").agg(F.sum("tokens").alias("tokens"))
-    return u.join(F.broadcast(prices), "model", "left").select("model", F.round(F.col("tokens") / 1e6 * F.coalesce("price", F.lit(0.0)), 6).alias("usd"))
+    return u.join(small(prices), "model", "left").select("model", F.round(F.col("tokens") / 1e6 * F.coalesce("price", F.lit(0.0)), 6).alias("usd"))
 
 
 def embed_cached(texts: DataFrame, cache: DataFrame, dims: int = 384) -> tuple[DataFrame, DataFrame]:

@@ -660,7 +660,12 @@ def session_debounce(spark: SparkSession, d: str) -> DataFrame:
     return flows.sessions(table(spark, d, "events"), "user_id", "ts", "6 hours")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, i, ts AS start, 1 AS n FROM e WHERE i = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN e.ts - r.start >= INTERVAL 24 HOURS THEN e.ts ELSE r.start END, CASE WHEN e.ts - r.start >= INTERVAL 24 HOURS THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id AS id, user_id AS "user", n <= 2 AS allowed FROM r"""
+)
 def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
     """Requests let through or refused by a window that begins with a user's first request."""
     return flows.rate_limited(table(spark, d, "events").select(F.col("user_id").alias("user"), F.col("ts").alias("at"), F.col("event_id").alias("id")), 2, 24 * 3600)

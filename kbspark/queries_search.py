@@ -315,7 +315,12 @@ def token_budget_truncate(spark: SparkSession, d: str) -> DataFrame:
     return X.budget_with_cut(_results(spark, d), 3000).select("query_id", "id", "tokens", "was_cut", T.content_hash(F.col("kept")).alias("kept"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_BM25}, {_RES}, x AS (SELECT query_id, rank, id, octet_length(encode(coalesce(text, ''))) // 4 AS tok FROM res),
+r AS (SELECT DISTINCT query_id, CAST(-1 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, false AS took, CAST(NULL AS BIGINT) AS id FROM x
+  UNION ALL SELECT x.query_id, x.rank, CASE WHEN r.used + tok <= 2000 THEN r.used + tok ELSE r.used END, r.used + tok <= 2000, x.id FROM r JOIN x ON x.query_id = r.query_id AND x.rank = r.rank + 1)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS INTEGER) AS pos, id, used FROM (SELECT query_id, rank, id, took, max(used) OVER (PARTITION BY query_id) AS used FROM r) WHERE took"""
+)
 def token_budget_skip(spark: SparkSession, d: str) -> DataFrame:
     """Results taken in order into a budget, those too large skipped."""
     return X.budget_with_skip(_results(spark, d), 2000)

@@ -46,9 +46,9 @@ def vector_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return K.pending(r, v).withColumn("state", F.lit("pending")).unionByName(K.surplus(r, v).withColumn("state", F.lit("surplus")))
 
 
-@query("SELECT CAST(0 AS INTEGER) + i AS pos, doc_id AS id, source AS buffer FROM (VALUES (0, 40), (1, 2), (2, 7), (3, -1), (4, 12)) v(i, x) JOIN documents ON doc_id = x")
+@query("SELECT CAST(i AS INTEGER) AS pos, doc_id AS id, source AS buffer FROM (SELECT unnest(range(0, 400)) AS i) JOIN documents ON doc_id = 1600 - 4 * i")
 def hydrate_in_order(spark: SparkSession, d: str) -> DataFrame:
-    return K.in_order([40, 2, 7, -1, 12], D.documents(spark, d)).select("pos", "id", "buffer")
+    return K.in_order([1600 - 4 * i for i in range(400)], D.documents(spark, d)).select("pos", "id", "buffer")
 
 
 @query(
@@ -98,7 +98,13 @@ def embed_cached(spark: SparkSession, d: str) -> DataFrame:
     return K.embed_cached(texts, cache, 64)[0].select("id", "hit", F.size("vector").alias("dims"))
 
 
-@query()
+_KEY = b"test key".ljust(64, b"\0")
+_PADS = [bytes(b ^ x for b in _KEY).hex() for x in (0x5C, 0x36)]
+
+
+@query(
+    f"""SELECT id, sha256(unhex('{_PADS[0]}') || unhex(sha256(unhex('{_PADS[1]}') || encode(coalesce(project, '') || chr(10) || coalesce(CAST(level AS VARCHAR), '') || chr(10) || coalesce(subject, '') || chr(10) || coalesce(summary_text, ''))))) AS mac FROM rlm_nodes"""
+)
 def attestations(spark: SparkSession, d: str) -> DataFrame:
     """A code for every node that its content can be checked by."""
     return K.attested(table(spark, d, "rlm_nodes"), ["project", "level", "subject", "summary_text"], b"test key").select("id", "mac")

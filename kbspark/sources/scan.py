@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kbspark.functions.globs import glob_regex
 
 # What is left out by default.
-IGNORED_DIRS = [".git", ".kbspark", "target", "node_modules", "vendor", ".venv", "venv", "__pycache__", ".idea", ".vscode", "dist", "build", ".next", ".terraform", "Seeds", ".seeds", "REFERENCE", "_Exemplos"]
+IGNORED_DIRS = [".git", "target", "node_modules", "vendor", ".venv", "venv", "__pycache__", ".idea", ".vscode", "dist", "build", ".next", ".terraform"]
 IGNORED_PREFIXES = ["storage/logs"]
 IGNORED_ENDINGS = ["lock", "png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "bin", "exe", "dll", "so", "dylib", "woff", "woff2", "ttf", "eot", "mp4", "mp3", "wav"]
 

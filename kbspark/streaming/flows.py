@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 from kbspark.functions.chunks import chunk_lines
 from kbspark.functions.text import content_hash
+from kbspark.plans.lineage import cut_lineage
+from kbspark.sources.files import exists
 
 
 def sessions(events: DataFrame, key: str, at: str, gap: str, late: str | None = None) -> DataFrame:
@@ -84,29 +86,35 @@ def lease_stream(claims: DataFrame) -> DataFrame:
     return claims.withWatermark("at", "0 seconds").groupBy("job_id").applyInPandasWithState(run, "job_id long, worker string, state string", "worker string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, max_lines: int = 51, overlap: int = 6) -> StreamingQuery:
+_CHUNKS = "project string, path string, line_start int, line_end int, hash string, text string, received_at timestamp, retired boolean, batch long"
+
+
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, max_lines: int = 51, overlap: int = 6, files_per_batch: int | None = None) -> StreamingQuery:
     """Files ``(project, path, content, received_at)`` that arrive as parquet in ``source`` become chunk revisions in ``target``.
 
     Each batch appends the chunks that are new or changed against the table and marks the keys of its files that are
     gone as retired, in one write per batch number: a batch that is run again after a failure replaces its own output.
+    The table is laid out by batch and project and only the projects of a batch are read again. Of uploads of one file
+    at one time the one with the greater content counts. ``files_per_batch`` bounds what a batch takes in.
     """
+    key = ["project", "path", "line_start", "line_end"]
 
     def one(batch: DataFrame, number: int) -> None:
-        w = W.partitionBy("project", "path").orderBy(F.col("received_at").desc())
-        files = batch.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
-        new = chunk_lines(files, "content", max_lines, overlap).select("project", "path", "line_start", "line_end", content_hash(F.col("text")).alias("hash"), "text", "received_at")
-        try:
-            kept = spark.read.parquet(target).where(F.col("batch") < number)
-        except Exception:  # the first batch finds no table
-            kept = spark.createDataFrame([], new.schema).withColumns({"retired": F.lit(False), "batch": F.lit(0)})
-        last = W.partitionBy("project", "path", "line_start", "line_end").orderBy(F.col("batch").desc())
-        live = kept.withColumn("_rk", F.row_number().over(last)).where("_rk = 1 and not retired").select("project", "path", "line_start", "line_end", F.col("hash").alias("_hash"), F.lit(1).alias("_live"))
-        key = ["project", "path", "line_start", "line_end"]
-        seen = live.join(files.select("project", "path").distinct(), ["project", "path"], "left_semi")
-        j = new.join(seen, key, "full")
+        newest = F.max_by(F.struct("content", "received_at"), F.struct("received_at", "content")).alias("f")
+        files = cut_lineage(batch.groupBy("project", "path").agg(newest).select("project", "path", "f.content", "f.received_at"))
+        new = chunk_lines(files, "content", max_lines, overlap).select(*key, content_hash(F.col("text")).alias("hash"), "text", "received_at")
+        if exists(spark, target):
+            kept = spark.read.schema(_CHUNKS).parquet(target).where(F.col("batch") < number)
+            kept = kept.join(F.broadcast(files.select("project").distinct()), "project", "left_semi").join(files.select("project", "path"), ["project", "path"], "left_semi")
+        else:
+            kept = spark.createDataFrame([], _CHUNKS)
+        live = kept.groupBy(*key).agg(F.max_by(F.struct("hash", "retired"), "batch").alias("l")).where("not l.retired").select(*key, F.col("l.hash").alias("_hash"), F.lit(1).alias("_live"))
+        j = new.join(live, key, "full")
         out = j.where(F.col("_live").isNull() | F.col("hash").isNull() | (F.col("hash") != F.col("_hash")))
         out = out.withColumn("retired", F.col("hash").isNull()).drop("_hash", "_live")
-        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        out.write.partitionBy("project").mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = spark.readStream.schema(schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(source).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

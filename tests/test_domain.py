@@ -1,16 +1,19 @@
 from datetime import datetime as D
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kbspark.functions import chunks as C
 from kbspark.functions import scores, vectors
+from kbspark.functions import text as T
 from kbspark.operators import cache as Q
 from kbspark.operators import graph as G
 from kbspark.operators import maintenance as M
 from kbspark.operators import maps as P
 from kbspark.operators import revisions as R
+from kbspark.operators import serving as V
 
 
 def test_chunk_lines(spark):
@@ -89,11 +92,24 @@ def test_trust(spark):
 
 
 def test_quorum():
-    same, other = {"a", "b", "c"}, {"x", "y"}
-    assert G.decide([1, 2, 3], [same, same, other], [1, 1, 1], 4, 0.8)[0] == "pending"
-    assert G.decide([1, 2, 3, 4], [same, same, other, same], [1, 1, 1, 1], 4, 0.8) == ("accepted", 1, [1, 2, 4])
-    assert G.decide([1, 2, 3, 4], [same, other, {"q"}, set()], [1, 1, 1, 1], 4, 0.8)[0] == "rejected"
-    assert G.decide([1, 2, 3], [same, same, same], [0.1, 1, 0.5], 3, 0.8)[1] == 2
+    same, other, odd, none = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0]
+
+    def decide(ids, vectors_, trusts, slots):
+        return G.decide(ids, np.array(vectors_), trusts, slots, 0.8)
+
+    assert decide([1, 2, 3], [same, same, other], [1, 1, 1], 4)[0] == "pending"
+    assert decide([1, 2, 3, 4], [same, same, other, same], [1, 1, 1, 1], 4) == ("accepted", 1, [1, 2, 4])
+    assert decide([1, 2, 3, 4], [same, other, odd, none], [1, 1, 1, 1], 4)[0] == "rejected"
+    assert decide([1, 2, 3], [same, same, same], [0.1, 1, 0.5], 3)[1] == 2
+    assert decide([7], [same], [1], 1) == ("accepted", 7, [7]) and decide([1, 2], [same, other], [1, 1], 2)[0] == "rejected"
+    assert decide([1, 2, 3, 4, 5], [same, same, other, other, other], [1] * 5, 3)[2] == [3, 4, 5]
+
+
+def test_quorum_of_many(spark):
+    df = spark.createDataFrame([(i, 1, [1.0, 0.0] if i != 3 else [0.0, 1.0], None, f"u{i}") for i in range(5)] + [(9, 2, None, 1.0, "x")], "id long, subject int, vector array<double>, trust double, author string")
+    d = G.quorum(df, ["subject"])
+    assert [(r.subject, r.outcome, r.published, r.supporters) for r in d.collect()] == [(1, "accepted", 0, [0, 1, 2, 4])]
+    assert {(r.author, r.verdict) for r in G.after_quorum(d, df, ["subject"]).collect()} == {("u0", "accepted"), ("u1", "accepted"), ("u2", "accepted"), ("u4", "accepted"), ("u3", "rejected")}
 
 
 def test_graph(spark):
@@ -103,10 +119,38 @@ def test_graph(spark):
     kids = spark.createDataFrame([("p", ["a", "b"]), ("p", ["b", "c"]), ("q", [])], "project string, hashes array<string>")
     r = G.change_ratio(kids, spark.createDataFrame([("p", ["a"])], "project string, hashes array<string>"), ["project"]).collect()
     assert [(x.project, x.n_union, x.n_kept, x.enqueue) for x in r] == [("p", 3, 1, True)]
-    jobs = spark.createDataFrame([(i, i % 2, 0, i) for i in range(6)], "job_id long, priority int, level int, created int")
-    w = spark.createDataFrame([(1,), (2,)], "worker long")
-    assert {tuple(x) for x in G.claims(jobs, w).collect()} == {(1, 0), (2, 2)}
-    assert {tuple(x) for x in G.claims(jobs, w, spark.createDataFrame([(1, 0)], "worker long, job_id long")).collect()} == {(2, 2)}
+
+
+def test_claims(spark, monkeypatch):
+    jobs = spark.createDataFrame([(i, f"g{i}", i % 2, 0, i) for i in range(6)] + [(10, "g0", 0, 3, 0)], "job_id long, group string, priority int, level int, created int")
+    w = spark.createDataFrame([(1,), (2,), (3,)], "worker long")
+
+    def got(*barred, **how):
+        return dict(tuple(x) for x in G.claims(jobs, w, excluded=spark.createDataFrame(list(barred), "worker long, group string"), **how).collect())
+
+    assert got() == {1: 0, 2: 2, 3: 4}
+    assert got((1, "g0")) == {1: 2, 2: 0, 3: 4}  # an excluded worker gets the next job, the job goes to the next worker
+    assert got((1, "g0"), (2, "g0"), (3, "g0")) == {1: 2, 2: 4, 3: 1}
+    assert got(banned=w.where("worker = 2")) == {1: 0, 3: 2}
+    assert got(held=spark.createDataFrame([(3, "g4")], "worker long, group string"), max_level=0) == {1: 0, 2: 2, 3: 1}
+    monkeypatch.setattr(G, "CLAIM_BATCH", 1)
+    assert got((1, "g0"), (2, "g2")) == {1: 2, 2: 0, 3: 4}
+    few = jobs.where("job_id < 1")
+    assert G.claims(few, w).count() == 1 and G.claims(few.limit(0), w).count() == 0 and G.claims(jobs, w.limit(0)).count() == 0
+
+
+def test_job_states(spark):
+    steps = {1: ["claim", "complete"], 2: ["claim", "fail", "claim", "expire", "claim", "fail"], 3: ["claim", "cancel", "complete"], 4: ["complete"], 5: ["claim", "complete", "enqueue", "claim"]}
+    e = spark.createDataFrame([(j, i, i, x) for j, xs in steps.items() for i, x in enumerate(xs)], "job_id long, at long, event_id long, event string")
+    got = {r.job_id: (r.generation, r.status, r.attempts) for r in G.finished(e).collect()}
+    assert got == {1: (0, "done", 1), 2: (0, "parked", 3), 3: (1, "pending", 0), 4: (0, "pending", 0), 5: (1, "claimed", 1)}
+
+
+def test_cascade(spark):
+    rows = [(1, "p", 1, "a/x", ["h1", "h2"]), (2, "p", 1, "a/y", ["h3"]), (3, "p", 2, "a", ["h1", "h2", "h3"]), (4, "p", 3, "p", ["z"]), (5, "q", 1, "b/x", []), (6, "q", 2, "b", None)]
+    n = spark.createDataFrame([(*r, False, False) for r in rows], "id long, project string, level int, subject string, hashes array<string>, rejected boolean, stale boolean")
+    got = {(r.project, r.level, r.subject): (r.n_union, r.n_kept, r.enqueue) for r in G.cascade(n, T.theme_of(F.col("subject"))).collect()}
+    assert got == {("p", 2, "a"): (3, 3, False), ("p", 3, "p"): (3, 0, True), ("q", 2, "b"): (0, 0, True), ("q", 3, "q"): (0, 0, True)}
 
 
 def test_parents_over_stretches(spark):
@@ -127,7 +171,24 @@ def test_cache(spark):
     assert {r.id for r in Q.stale_by_hashes(e, spark.createDataFrame([("b",), ("b",)], "hash string")).collect()} == {2}
     assert {r.id: r.intact for r in Q.provenance(e, spark.createDataFrame([("a",)], "hash string")).collect()} == {1: True, 2: False, 3: False, 4: True}
     assert {r.id for r in Q.evictions(e, 1, 1000.0, 1000).collect()} == {2, 3}
-    assert {r.query_id: r.outcome for r in Q.lookup(q, e).collect()} == {1: "exact", 2: "miss", 3: "miss"}
+    near = spark.createDataFrame([(2, 2, 0.95), (3, 4, 0.95)], "query_id long, id long, similarity double")
+    jac = Q.overlaps(near, spark.createDataFrame([(2, 7), (2, 8)], "query_id long, chunk long"), spark.createDataFrame([(2, 7), (2, 8), (4, 9)], "id long, chunk long"))
+
+    def outcome(intact):
+        return {r.query_id: (r.outcome, r.id) for r in Q.lookup(q, e, e.where(intact), near, jac).collect()}
+
+    assert outcome("true") == {1: ("exact", 1), 2: ("near", 2), 3: ("miss", None)}
+    assert outcome("id > 2") == {1: ("miss", None), 2: ("miss", None), 3: ("miss", None)}  # a lost source makes a hit a miss
+    v = e.withColumn("vector", F.array(F.lit(1.0), F.col("id").cast("double")))
+    asked = spark.createDataFrame([(9, "p", [1.0, 2.0]), (8, None, [1.0, 2.0])], "query_id long, project string, vector array<double>")
+    assert [(r.query_id, r.id) for r in Q.nearest(asked, v).collect()] == [(9, 2)]
+
+
+def test_store_answers(spark):
+    old = spark.createDataFrame([(1, "p", "h", 1, None, 0)], "id long, project string, hash string, version long, superseded_by long, stored_ms long").withColumn("hash", T.question_hash(F.lit("How to?")))
+    new = spark.createDataFrame([(5, "p", "how TO?"), (6, "p", "Howto?"), (7, "q", "x"), (8, "p", None)], "id long, project string, question string")
+    got = {r.id: (r.version, r.superseded_by) for r in Q.store_answers(old, new, 9).collect()}
+    assert got == {1: (1, 5), 5: (2, 6), 6: (3, None), 7: (1, None)}
 
 
 def test_maps(spark):
@@ -135,13 +196,49 @@ def test_maps(spark):
     assert [x.problems for x in P.problems(r).orderBy("request_id").collect()] == [["goal missing"], ["summary too long"]]
     files = spark.createDataFrame([("p", "a", "h2"), ("p", "a", "h1")], "project string, path string, hash string")
     assert {(x.path, x.hash) for x in P.resolved(P.anchors(r), files).collect()} == {("a", "h1"), ("gone", None)}
-    assert [tuple(x) for x in P.broken(P.anchors(r), files).collect()] == [(1, ["gone"])]
+    assert [tuple(x) for x in P.broken(P.resolved(P.anchors(r), files), files).collect()] == [(1, ["gone"])]
+    changed = spark.createDataFrame([("p", "a", "h9")], "project string, path string, hash string")
+    broken = P.broken(P.resolved(P.anchors(r), files), changed)
+    assert [tuple(x) for x in broken.collect()] == [(1, ["a", "gone"])]  # a changed hash breaks an anchor
+    m = spark.createDataFrame([(1, "p", "fresh"), (2, "p", "fresh")], "id long, project string, status string")
+    assert {(x.id, x.status, x.stale_reason) for x in P.mark_stale(m, broken).collect()} == {(1, "stale", '["a","gone"]'), (2, "fresh", None)}
+    assert {(x.project, x.epoch) for x in P.bumped(spark.createDataFrame([("p", 3), ("z", 1)], "project string, epoch long"), spark.createDataFrame([("p",), ("n",), ("p",)], "project string")).collect()} == {("p", 4), ("z", 1), ("n", 1)}
     ev = spark.createDataFrame([(1, i, i, True) for i in range(5)] + [(1, 9, 9, False)], "id long, at long, event_id long, contradicts boolean")
     assert [tuple(x) for x in P.feedback(ev).collect()] == [(1, 1, 5, 2)]
     s = spark.createDataFrame([(1, 0.2), (1, 0.3), (2, 0.1)], "id long, similarity double")
     assert {x.id: x.grounded for x in P.grounded(s).collect()} == {1: True, 2: False}
 
 
+def test_map_search_gates(spark):
+    states = ["fresh", "retired", "pending_review", "stale", "fresh"]
+    maps = spark.createDataFrame([(i, "p", f"g{i}", st, 5, 1, 1, 0, 5) for i, st in enumerate(states)], "id long, project string, goal string, status string, epoch long, age_days int, confirmed int, contradicted int, now_epoch long")
+    near = spark.createDataFrame([(1, i, 0.9 - i / 100, i) for i in range(5)], "query_id long, id long, similarity double, rank int")
+    bad = spark.createDataFrame([(4,)], "id long")
+    assert [r.id for r in P.search(near, maps, bad).collect()] == [0]
+    assert {r.id for r in P.search(near, maps, bad, include_stale=True).collect()} == {0, 3, 4}
+    assert P.search(near.withColumn("similarity", F.lit(0.4)), maps, bad, include_stale=True).count() == 0
+    older = maps.unionByName(spark.createDataFrame([(90, "p", "g0", "fresh", 2, 1, 1, 0, 5)], maps.schema))
+    assert [r.id for r in P.search(near, older, bad.limit(0), as_of=3).collect()] == [90]
+
+
+def test_serving(spark):
+    n = spark.createDataFrame([(1, "p", 2, "s", "t", "approved", False, None), (2, "p", 2, "s", "t", "approved", True, None), (3, "q", 1, "s", "t", "pending", False, None), (4, "q", 1, "s", "t", "approved", None, 1)], "id long, project string, level int, subject string, summary_text string, review_status string, stale boolean, deleted_at long")
+    assert [r.id for r in V.servable(n).collect()] == [1] and V.servable(n, "q").count() == 0
+    lex = spark.createDataFrame([(7, 1, 2.0), (7, 2, 1.0)], "query_id long, id long, score double")
+    sem = spark.createDataFrame([(7, 3, 0.9, 0), (7, 1, 0.8, 1)], "query_id long, id long, score double, rank int")
+    got = V.summaries(lex, sem, n.where("id < 3"))
+    assert [(r.id, round(r.norm, 6)) for r in got.orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
+    assert [r.path for r in V.as_chunks(got.where("id = 1"), n).collect()] == ["[summary:2] s"]
+    chunks = spark.createDataFrame([(7, i, 1 - i / 10) for i in range(10)], "query_id long, id long, norm double")
+    maps = spark.createDataFrame([(7, 50, 0.5)], "query_id long, id long, confidence double")
+    kinds = [r.kind for r in V.unified(chunks, got, maps).collect()]
+    assert (kinds.count("chunk"), kinds.count("summary"), kinds.count("map")) == (9, 1, 1)
+    rep = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert tuple(V.merged_reports([rep, rep]).first()) == (2, 4)
+    use = spark.createDataFrame([("k", 1, 1, 3, 4), ("k", 2, 2, 5, 0)], "key string, at int, id int, prompt int, completion int")
+    assert [r.remaining for r in V.budget_left(use, 10).orderBy("id").collect()] == [3, 0]
+
+
 def test_maintenance(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(30)], "id long, k string")
     assert {r.id for r in M.duplicates(df, ["k"]).collect()} == {i for i in range(30) if i % 3 and i != 29}
