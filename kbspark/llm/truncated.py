@@ -252,10 +252,10 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     single = pairs.groupBy("_source", "what", "w2").agg(F.sum("pn").alias("un"), F.sum("ps").alias("us"))
     place = F.when(F.col("state") == "ask", "listed").otherwise("word")
     ends = feats.withColumn("place", place)
-    ends = ends.withColumn("_from", F.coalesce("_source", F.lit("")))
-    # most texts have no closing line of their own; they stay out of the joins, where they would be one hot key
-    none = ends.where("start = ''").withColumns({"closing": F.lit(None).cast("boolean"), "anywhere": F.lit(None).cast("boolean")})
-    ends = ends.where("start <> ''").join(closing, ["_from", "start"], "left").join(anywhere, "start", "left").unionByName(none).drop("_from")
+    # most texts have no closing line of their own; their key is spread out, or it would be a hot one that meets nothing
+    alone = F.concat(F.lit("\0"), F.pmod(F.coalesce("hash", F.lit(0)), F.lit(1024)).cast("string"))
+    ends = ends.withColumns({"_from": F.coalesce("_source", F.lit("")), "start": F.when(F.col("start") == "", alone).otherwise(F.col("start"))})
+    ends = ends.join(closing, ["_from", "start"], "left").join(anywhere, "start", "left").drop("_from")
     p = pairs.alias("p")
     same = F.col("e._source").eqNullSafe(F.col("p._source")) & (F.col("e.place") == F.col("p.what")) & (F.col("e.w1") == F.col("p.w1")) & (F.col("e.w2") == F.col("p.w2"))
     ends = ends.alias("e").join(p, same, "left").select("e.*", "p.pn", "p.ps")
