@@ -24,6 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import unicodedata
 
@@ -85,14 +86,19 @@ _BASE = 0x5851F42D4C957F2D  # odd, so its powers can be divided out again
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
 
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every character whether it belongs to words, and a number; made once per process."""
+    letter = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    value = (np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return letter, value ^ (value >> np.uint64(31))
+
+
 class Words:
     """Hashes of all words of a few texts at once: prefix sums of the characters, taken at the ends of the words."""
 
     def __init__(self):
-        code = np.arange(0x110000, dtype=np.uint64)
-        self.letter = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
-        self.value = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        self.value ^= self.value >> np.uint64(31)
+        self.letter, self.value = _characters()
         self.power = self.unpower = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:

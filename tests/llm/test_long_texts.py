@@ -22,5 +22,5 @@ def test_cost(kind):
     C.find('# token ' + t + '\npassword = "' + t, "a.py")
     G.content_class("// " + t + "\n" + t, "a.rs", "p")
     T.ending(t, True), T.ending(t, False), T.lengths(t)
-    L.words(t), E.leaves(t, 1000), S.spans(t.encode(), S.boundaries(t.encode()), 128, 16)
+    L.Words()([L.plain(t)]), E.leaves(t, 1000), S.spans(t.encode(), S.boundaries(t.encode()), 128, 16)
     assert time.time() - began < 8
