@@ -8,12 +8,15 @@ the inputs are ignored; ids are expected once; rows repeated with one id count a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kbspark.config import Chunking, Search
-from kbspark.functions import scores, vectors
+from kbspark.functions import scores
 from kbspark.functions import text as T
 from kbspark.functions.porter import stem_counts, stemmed
 from kbspark.plans.spread import spread
@@ -186,31 +189,86 @@ def entity_search(queries: DataFrame, index: DataFrame) -> DataFrame:
 # -- vectors ------------------------------------------------------------------------------------------------------------
 
 
+#: Similarities worked on at once, and what rounding may move one by.
+CELLS, CLOSE = 4_000_000, 1e-6
+
+
+def _compared(asked: pa.Table, metric: str, same_buffer: bool, exclude_self: bool, k: int | None, least: float | None):
+    """Scores of a block of queries against batches of items as matrix products; of each batch only what may be in a result goes on."""
+    by_length: dict[int, np.ndarray] = {}
+
+    def usable(column: pa.ChunkedArray | pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(column), -1)) == n)
+        flat = pc.list_flatten(column.take(pa.array(at))).cast(pa.float64())
+        x = np.asarray(flat.fill_null(float("nan")), np.float64).reshape(len(at), n)
+        good = np.isfinite(x).all(1)
+        return at[good], x[good]
+
+    ask = asked.combine_chunks()
+    for n in set(pc.list_value_length(ask["vector"]).to_pylist()) - {None, 0}:
+        by_length[n] = usable(ask["vector"], n)
+    keys = pa.concat_arrays(ask["query_id"].chunks) if ask["query_id"].num_chunks else pa.array([], ask["query_id"].type)
+    names, rooms = (np.asarray(ask[c].to_pylist(), object) for c in ("query_id", "buffer"))
+
+    def score(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        g = q @ x.T
+        if metric == "l2":
+            d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * g, 0)
+            return 1 / (1 + d)
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+        return np.clip(np.divide(g, n, out=np.zeros_like(g), where=n > 0), -1, 1)
+
+    def run(batches):
+        for batch in batches:
+            ids, buffers = (np.asarray(batch.column(i).to_pylist(), object) for i in (0, 1))
+            for n, (which, q) in by_length.items():
+                at, x = usable(batch.column(2), n)
+                step = max(CELLS // max(len(q), 1), 1)
+                for i in range(0, len(at), step):
+                    rows = at[i : i + step]
+                    v = score(q, x[i : i + step])
+                    if same_buffer:
+                        v[(rooms[which][:, None] != buffers[rows]) | np.equal(rooms[which], None)[:, None]] = -np.inf
+                    if exclude_self:
+                        v[names[which][:, None] == ids[rows]] = -np.inf
+                    floor = np.full(len(v), -2.0 if least is None else least - CLOSE)
+                    if k is not None and k < len(rows):
+                        floor = np.maximum(floor, np.partition(v, len(rows) - k, axis=1)[:, len(rows) - k] - CLOSE)
+                    r, c = np.nonzero(v >= floor[:, None])
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(which[r])), batch.column(0).take(pa.array(rows[c])), batch.column(1).take(pa.array(rows[c])), pa.array(v[r, c], pa.float64())],
+                        ["query_id", "id", "buffer", "score"],
+                    )
+
+    return run
+
+
+def _scored(queries: DataFrame, items: DataFrame, metric: str, same_buffer: bool, exclude_self: bool, k: int | None = None, least: float | None = None) -> list[DataFrame]:
+    """``(query_id, id, buffer, score)`` of each block of queries, from one pass over the items per block."""
+    types = dict(queries.dtypes) | {f"i_{n}": t for n, t in items.dtypes}
+    schema = f"query_id {types['query_id']}, id {types['i_id']}, buffer {types['i_buffer']}, score double"
+    i = spread(items.select("id", "buffer", "vector").where("id is not null and vector is not null"))
+    out = []
+    for block in query_blocks(queries.select("query_id", "buffer", "vector").where("query_id is not null and vector is not null")):
+        asked = block.toArrow()  # a block is bounded
+        out.append(i.mapInArrow(_compared(asked, metric, same_buffer, exclude_self, k, least), schema).withColumn("score", F.round("score", 6)))
+    return out
+
+
 def vector_search(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2", same_buffer: bool = False, exclude_self: bool = True) -> DataFrame:
     """``(query_id, id, buffer, score, rank)``: exact nearest items of a stated set of query vectors.
 
-    ``l2`` scores 1/(1+squared distance), ``cosine`` the cosine. Every item meets every query of the set, in one pass
-    over the items per block of queries; lists are cut to k before the shuffle. Items of another length than the query
-    are left out.
+    ``l2`` scores 1/(1+squared distance), ``cosine`` the cosine. Every item meets every query of the set as a matrix
+    product, in one pass over the items per block of queries; lists are cut to k in each batch. Items of another length
+    than the query, and vectors with null or infinite values or without any value, are left out.
     """
-    q = queries.select("query_id", F.col("vector").alias("_q"), F.col("buffer").alias("_qb"))
-    i = items.select("id", "buffer", "vector")
-    on = F.size("_q") == F.size("vector")
-    if same_buffer:
-        on = on & (F.col("_qb") == F.col("buffer"))
-    if exclude_self:
-        on = on & (F.col("query_id") != F.col("id"))
-    value = vectors.distance_score(vectors.l2_squared(F.col("_q"), F.col("vector"))) if metric == "l2" else vectors.cosine(F.col("_q"), F.col("vector"))
-    return _united([top_k(i.join(block, on).select("query_id", "id", "buffer", F.round(value, 6).alias("score")), k) for block in query_blocks(q)])
+    return _united([top_k(x, k) for x in _scored(queries, items, metric, same_buffer, exclude_self, k=k)])
 
 
 def within_radius(queries: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """``(query_id, id, similarity)`` of all items at least so similar, for a stated set of query vectors, block by block."""
-    q = queries.select("query_id", F.col("vector").alias("_q"))
-    sim = F.round(vectors.cosine(F.col("_q"), F.col("vector")), 6)
-    on = (F.size("_q") == F.size("vector")) & (F.col("query_id") != F.col("id"))
-    i = items.select("id", "vector")
-    return _united([i.join(block, on).select("query_id", "id", sim.alias("similarity")).where(F.col("similarity") >= least) for block in query_blocks(q)])
+    q, i = queries.withColumn("buffer", F.lit("")), items.withColumn("buffer", F.lit(""))
+    return _united([x.where(F.col("score") >= least).select("query_id", "id", F.col("score").alias("similarity")) for x in _scored(q, i, "cosine", False, True, least=least)])
 
 
 def centroids(items: DataFrame) -> DataFrame:
