@@ -1,6 +1,7 @@
 """Answering new vectors with the neighbour graph: greedy search for a stated set of queries.
 
-Every query starts from a few nodes of the leaves it falls into and keeps a beam of the most similar nodes seen. Each
+Neighbourhoods of a graph of nearest neighbours are often not linked with each other, so every query starts from many
+nodes of the leaves it falls into, and links are followed both ways. It keeps a beam of the most similar nodes seen. Each
 step expands the best nodes of the beam that were not expanded yet: their neighbours are joined by id, those not seen
 before get their vectors and similarities, and the beam is cut again. A query is done when its beam holds nothing to
 expand. Vectors of nodes stay where they are; only ids and the vectors of the queries, whose number is counted first,
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window as W
 from kbspark.llm.neighbours import DIM, K, Trees, _matrix, _unit, live_groups, neighbour_graph, spread_groups
 from kbspark.plans.lineage import cut_lineage
 
-BEAM, WIDTH, STARTS = 32, 6, 3
+BEAM, WIDTH, STARTS = 64, 12, 64
 #: Queries that are broadcast; more take a shuffled join.
 FEW = 20_000
 
@@ -55,6 +56,8 @@ def graph_search(queries: DataFrame, graph: DataFrame, placed: DataFrame, trees:
     entries = in_leaf.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= starts).select("id", "leaf")
     asked = q.select(F.col("query_id").alias("id"), F.col("qvec").alias("vec")).mapInPandas(_leaves_of(trees, dim), "id long, leaf long").select(F.col("id").alias("query_id"), "leaf")
     new = cut_lineage(asked.join(entries, "leaf").select("query_id", "id").where("query_id <> id").distinct())
+    out = graph.select("id", F.explode("nbr.id").alias("other"))
+    links = cut_lineage(out.unionByName(out.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
     seen = new
     state = q.select("query_id").limit(0).selectExpr("query_id", "query_id as id", "0.0D as sim", "true as done")
     best = W.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
@@ -64,7 +67,7 @@ def graph_search(queries: DataFrame, graph: DataFrame, placed: DataFrame, trees:
         turn = F.sum((~F.col("done")).cast("int")).over(best.rowsBetween(W.unboundedPreceding, 0))
         top = cut_lineage(top.withColumn("go", ~F.col("done") & (turn <= width)).drop("rk"))
         state = top.select("query_id", "id", "sim", (F.col("done") | F.col("go")).alias("done"))
-        reached = top.where("go").select("query_id", "id").join(graph.select("id", "nbr"), "id").select("query_id", F.explode("nbr.id").alias("id")).where("query_id <> id").distinct()
+        reached = top.where("go").select("query_id", "id").join(links, "id").select("query_id", F.col("other").alias("id")).where("query_id <> id").distinct()
         new = cut_lineage(reached.join(seen, ["query_id", "id"], "left_anti"))
         if new.isEmpty() and top.where("go").isEmpty():
             break

@@ -49,3 +49,23 @@ def test_every_row_of_a_direction_asks_and_answers(spark):
         want = sorted((-s[n], i) for n, i in enumerate(ids) if i != q)[:10]
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in want]
     assert {r.query_id for r in got} == {50, 100, 150}
+
+
+def test_recall_where_neighbourhoods_are_not_linked(spark):
+    rng = np.random.default_rng(21)
+    dim, n = 32, 3000
+    c = rng.normal(size=(200, dim))
+    x = np.float32(c[np.arange(n) % 200] + 0.15 * rng.normal(size=(n, dim)))
+    v = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "id long, vec binary")
+    graph, placed, trees = N.neighbour_graph(v, dim)
+    q = v.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    got = {}
+    for r in G.graph_search(q, graph, placed, trees, dim=dim).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for i in range(0, n, 50):
+        s = u @ u[i]
+        s[i] = -9
+        hits += len(got[i] & set(np.argsort(-s)[:10].tolist()))
+    assert hits / (10 * n / 50) > 0.9
