@@ -162,22 +162,39 @@ def _phrase(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " "))
 
 
+def _tails(name: Column) -> Column:
+    """What stands in a name from each of its words on."""
+    words = F.split(_phrase(name), " ")
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
+
+
 def entity_phrases(index: DataFrame) -> DataFrame:
     """``(id, buffer, phrase)``: what stands in a name from each of its words on, so that a phrase within it is a prefix here."""
-    words = F.split(_phrase(F.col("entity")), " ")
-    tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
-    return index.select("id", "buffer", F.explode_outer(F.array_distinct(tails)).alias("phrase")).where("phrase <> ''").distinct()
+    return index.select("id", "buffer", F.explode_outer(F.array_distinct(_tails(F.col("entity")))).alias("phrase")).where("phrase <> ''").distinct()
+
+
+def phrase_lists(named: DataFrame) -> DataFrame:
+    """``(id, buffer, phrases)`` of ``(id, buffer, names)``: the same phrases in one row per item; nothing is shuffled."""
+    phrases = F.array_distinct(F.filter(F.flatten(F.transform("names", _tails)), lambda x: x != ""))
+    return named.select("id", "buffer", phrases.alias("phrases"))
+
+
+def wanted_phrases(queries: DataFrame) -> DataFrame:
+    """``(query_id, wanted)``: the distinct phrases of ``(query_id, entity)``."""
+    return queries.select("query_id", _phrase(F.col("entity")).alias("wanted")).where("wanted <> ''").distinct()
 
 
 def entity_search(queries: DataFrame, index: DataFrame) -> DataFrame:
     """``(query_id, id, buffer, score)``: chunks by how many entities of a query they hold, ``(query_id, entity)`` given.
 
     A query entity is a phrase of words of which the last may go on; it matches anywhere in a name. Each chunk counts
-    once per query entity. ``index`` holds ``phrase`` (of ``entity_phrases``) or ``entity``. Phrases meet queries by
-    equality of their beginnings of the lengths that queries have.
+    once per query entity. ``index`` holds ``phrase`` (of ``entity_phrases``), ``phrases`` (of ``phrase_lists``) or ``entity``.
+    Phrases meet queries by equality of their beginnings of the lengths that queries have.
     """
+    if "phrases" in index.columns:
+        index = index.select("id", "buffer", F.explode_outer("phrases").alias("phrase")).where("phrase is not null")
     phrases = index if "phrase" in index.columns else entity_phrases(index)
-    q, _ = held(queries.select("query_id", _phrase(F.col("entity")).alias("wanted")).where("wanted <> ''").distinct())
+    q, _ = held(wanted_phrases(queries))
     lengths = sorted(r[0] for r in q.select(F.length("wanted")).distinct().collect())  # one row per length of a name
     if not lengths:
         return phrases.where("false").select(F.lit(None).cast(dict(queries.dtypes)["query_id"]).alias("query_id"), "id", "buffer", F.lit(0.0).alias("score"))
@@ -300,21 +317,26 @@ def decayed(ranked: DataFrame, ages: DataFrame, rate: float = Search.decay_rate,
     return r.withColumn("score", scores.decay(F.col("score"), F.coalesce("age_hours", F.lit(0.0)), rate, enabled)).drop("age_hours")
 
 
+def _cut(hits: DataFrame, k: int, by: list[str] = ("query_id",)) -> DataFrame:
+    """The k best of every list, by its ranks if it has them."""
+    return hits.where(F.col("rank") < k) if "rank" in hits.columns else top_k(hits, k, by)
+
+
 def hybrid(lexical: DataFrame, entity: DataFrame | None, vector: DataFrame | None, k: int = Search.top_k) -> DataFrame:
     """``(query_id, id, score, rank)``: the fusion of the ranked lists of the tiers that are there.
 
-    Lists are cut to k times the over-fetch, the vector list to twice that; the fused list is cut to k.
+    Lists are cut to k times the over-fetch, the vector list to twice that; the fused list is cut to k. Lists may be ranked already.
     """
     most = k * Search.over_fetch
-    lists = [top_k(lexical.withColumn("score", F.round("score", 6)), most)]
+    lists = [_cut(lexical if "rank" in lexical.columns else lexical.withColumn("score", F.round("score", 6)), most)]
     if entity is not None:
-        lists.append(top_k(entity, most))
+        lists.append(_cut(entity, most))
     if vector is not None:
-        lists.append(vector.where(F.col("rank") < 2 * most) if "rank" in vector.columns else top_k(vector, 2 * most))
+        lists.append(_cut(vector, 2 * most))
     return top_k(rrf(lists).withColumn("score", F.round("score", 9)), k)
 
 
 def across_buffers(ranked: DataFrame, k: int = Search.top_k) -> DataFrame:
-    """Fusion of the lists of several buffers: ranks are taken within each buffer."""
-    per = top_k(ranked, k * Search.over_fetch, ["query_id", "buffer"])
+    """Fusion of the lists of several buffers: ranks are taken within each buffer, if they are not given."""
+    per = _cut(ranked, k * Search.over_fetch, ["query_id", "buffer"])
     return top_k(rrf([per]).withColumn("score", F.round("score", 9)), k)

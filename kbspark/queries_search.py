@@ -131,9 +131,13 @@ def _hits(spark: SparkSession, d: str, mode: str = "or") -> DataFrame:
     return D.text_index(spark, d).search(D.text_queries(spark, d), mode).withColumn("score", F.round("score", 6))
 
 
+def _top(spark: SparkSession, d: str, k: int, mode: str = "or", by_buffer: bool = False) -> DataFrame:
+    return D.text_index(spark, d).top(D.text_queries(spark, d), k, mode, by_buffer)
+
+
 def _bm(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return S.top_k(_hits(spark, d, mode), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+        return _top(spark, d, 10, mode).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
     return run
 
