@@ -52,10 +52,10 @@ def text_index(spark: SparkSession, d: str) -> I.Index:
 
 
 def doc_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """The stored names in documents; written by the first query that needs them."""
+    """The stored names in documents, in a row each; written by the first query that needs them."""
     path = stored(spark, d, "phrases")
     if not exists(spark, f"{path}/_SUCCESS"):
-        S.entity_phrases(doc_entities(spark, d)).repartitionByRange("phrase").sortWithinPartitions("phrase").write.mode("overwrite").parquet(path)
+        S.phrase_lists(doc_names(spark, d)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -67,11 +67,11 @@ def chunk_phrases(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def doc_entities(spark: SparkSession, d: str) -> DataFrame:
-    """``(id, buffer, entity)``: the first ten identifiers of every document."""
+def doc_names(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, buffer, names)``: the first ten identifiers of every document."""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
     names = F.filter(F.regexp_extract_all(plain, F.lit(S.IDENTIFIER), 1), lambda x: F.length(x) >= 3)
-    return documents(spark, d).select("id", "buffer", F.explode_outer(F.slice(F.sort_array(F.array_distinct(F.transform(names, F.lower))), 1, 10)).alias("entity")).where("entity is not null")
+    return documents(spark, d).select("id", "buffer", F.slice(F.sort_array(F.array_distinct(F.transform(names, F.lower))), 1, 10).alias("names"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:

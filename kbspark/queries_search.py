@@ -12,6 +12,7 @@ from kbspark.functions.porter import stemmed
 from kbspark.operators import context as X
 from kbspark.operators import index as I
 from kbspark.operators import search as S
+from kbspark.operators.best import by_entities
 from kbspark.session import table
 
 QUERIES: dict = {}
@@ -234,7 +235,7 @@ def centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm_list(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return S.top_k(_hits(spark, d, "fallback"), k)
+    return _top(spark, d, k, "fallback")
 
 
 _VL = f"vl AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 / (1 + {_L2}), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
@@ -265,8 +266,8 @@ _DEH = f"{_DENT}, {_EQ}, {_entity_hits_sql('dent')}"
 
 def _hybrid(tier: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        lexical = D.text_index(spark, d).search(D.text_queries(spark, d), "fallback")
-        entity = S.entity_search(D.entity_queries(spark, d), D.doc_phrases(spark, d)) if tier != "fts" else None
+        lexical = _bm_list(spark, d, 30)
+        entity = by_entities(D.entity_queries(spark, d), D.doc_phrases(spark, d), 30) if tier != "fts" else None
         vector = S.vector_search(D.vector_queries(spark, d), D.vectors(spark, d), 60, exclude_self=False) if tier == "vector" else None
         return S.hybrid(lexical, entity, vector).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
