@@ -13,6 +13,7 @@ from kbspark.operators import context as X
 from kbspark.operators import index as I
 from kbspark.operators import search as S
 from kbspark.operators.best import by_entities
+from kbspark.plans.lineage import cut_lineage
 from kbspark.session import table
 
 QUERIES: dict = {}
@@ -302,9 +303,12 @@ def decay_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
-    """The k best documents of each query with their texts; the lists are broadcast if they are few."""
+    """The k best documents of each query with their texts; the lists are made once, and broadcast unless they are long."""
+    lists = cut_lineage(_bm_list(spark, d, k).drop("buffer"))
+    if lists.count() <= D.BROADCAST_IDS:
+        lists = F.broadcast(lists)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
-    return S.small(_bm_list(spark, d, k)).join(docs, "id").select("query_id", "rank", "id", "path", "text", "score")
+    return lists.join(docs, "id").select("query_id", "rank", "id", "path", "text", "score")
 
 
 _RES = f"res AS (SELECT t.query_id, t.rank, t.id, source || '/' || CAST(t.id AS VARCHAR) AS path, text, t.score FROM ({_FB}) t JOIN documents ON doc_id = t.id)"
