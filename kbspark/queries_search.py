@@ -258,7 +258,7 @@ def rrf_two_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BM25} " + _rrf_sql(_ranked("SELECT query_id, buffer, id, round(score, 6) AS score FROM bm", 30, "query_id, buffer")))
 def rrf_cross_project(spark: SparkSession, d: str) -> DataFrame:
-    return S.across_buffers(_hits(spark, d)).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.across_buffers(_top(spark, d, 30, by_buffer=True)).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _DENT = "dent AS (SELECT doc_id AS id, source AS buffer, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g'), '" + S.IDENTIFIER + "', 1), lambda x: length(x) >= 3), lambda x: lower(x))))[1:10] AS es FROM documents)"
