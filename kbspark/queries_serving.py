@@ -45,7 +45,7 @@ def _summaries(spark: SparkSession, d: str, revisions: DataFrame | None = None)
     ok = V.servable(nodes)
     path = D.stored(spark, d, "nodes")
     index = I.current(ok.select("id", F.col("project").alias("buffer"), F.concat_ws("\n", "subject", "summary_text").alias("text")), path)
-    lexical = index.search(D.text_queries(spark, d), "fallback").withColumn("score", F.round("score", 6))
+    lexical = index.top(D.text_queries(spark, d), 10, "fallback")
     items = D.usable_vectors(spark, d).join(nodes.select("id", F.lit("").alias("buffer")), "id")
     semantic = S.vector_search(D.usable_queries(spark, d), items, 10, "cosine")
     return V.summaries(lexical, semantic, ok, revisions)
