@@ -129,10 +129,6 @@ def postings_stats(spark: SparkSession, d: str) -> DataFrame:
     return S.term_stats(D.text_index(spark, d).postings())
 
 
-def _hits(spark: SparkSession, d: str, mode: str = "or") -> DataFrame:
-    return D.text_index(spark, d).search(D.text_queries(spark, d), mode).withColumn("score", F.round("score", 6))
-
-
 def _top(spark: SparkSession, d: str, k: int, mode: str = "or", by_buffer: bool = False) -> DataFrame:
     return D.text_index(spark, d).top(D.text_queries(spark, d), k, mode, by_buffer)
 
@@ -151,7 +147,7 @@ for _n, _w in (("bm25_and", "bm WHERE n_hit = n_terms"), ("bm25_or", "bm"), ("bm
 
 @query(f"WITH {_BM25} " + _ranked("SELECT query_id, buffer, id, round(score, 6) AS score FROM bm", 3, "query_id, buffer"))
 def bm25_per_buffer(spark: SparkSession, d: str) -> DataFrame:
-    return S.top_k(_hits(spark, d), 3, ["query_id", "buffer"]).select("query_id", "buffer", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return _top(spark, d, 3, by_buffer=True).select("query_id", "buffer", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {D.TEXT_SQL}, w AS (SELECT DISTINCT term, stem FROM stems WHERE term IN (SELECT unnest(terms) FROM tok)) SELECT stem, count(*) AS terms FROM w GROUP BY stem")
