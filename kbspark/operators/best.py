@@ -135,12 +135,28 @@ def _lists(terms: DataFrame, items: DataFrame, asked: Callable, k: int, mode: st
     return S._united(out)
 
 
-def by_text(terms: DataFrame, docs: DataFrame, frequency: Callable, stats: tuple[int, float | None], k: int, mode: str = "or", by_buffer: bool = False) -> DataFrame:
-    """The best of ``search.ranked_hits`` for documents ``(id, buffer, dl, terms)``; ``frequency`` gives ``(term, df)`` of given terms."""
+def _frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
+    """The number of documents with each of some words; a task counts its own and hands on a row per word."""
+    known = pa.array(words, pa.string())
+
+    def run(batches):
+        n = np.zeros(len(words), np.int64)
+        for b in batches:
+            term = pc.index_in(pc.struct_field(pc.list_flatten(b.column(0)), "term").cast(pa.string()), value_set=known).drop_null()
+            n += np.bincount(np.asarray(term), minlength=len(words))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["term", "df"])
+
+    df = docs.select("terms").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return {words[r["term"]]: r["df"] for r in df.collect()}  # terms of a block are bounded
+
+
+def by_text(terms: DataFrame, docs: DataFrame, stats: tuple[int, float | None], k: int, mode: str = "or", by_buffer: bool = False) -> DataFrame:
+    """The best of ``search.ranked_hits`` for documents ``(id, buffer, dl, terms)``, a term once in each."""
     n_docs, avg_dl = stats
 
     def asked(words: list[str]):
-        df = {r["term"]: r["df"] for r in frequency(words).collect()}  # terms of a block are bounded
+        df = _frequencies(docs, words)
         idf = np.array([max(np.log((n_docs - df[w] + 0.5) / (df[w] + 0.5)), S.IDF_FLOOR) if w in df else 0.0 for w in words])
         known = pa.array(words, pa.string())
 

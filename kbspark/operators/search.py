@@ -78,7 +78,12 @@ def tokenized(docs: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame) -> DataFrame:
     """``(id, buffer, dl, term, tf)``: the inverted index of ``(id, buffer, text)``, by stems; nothing is shuffled."""
-    t = tokenized(docs).select("id", "buffer", "dl", F.explode_outer("terms").alias("t"))
+    return posted(tokenized(docs))
+
+
+def posted(docs: DataFrame) -> DataFrame:
+    """The same of documents that are ``tokenized``."""
+    t = docs.select("id", "buffer", "dl", F.explode_outer("terms").alias("t"))
     return t.where("t is not null").select("id", "buffer", "dl", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
 
 

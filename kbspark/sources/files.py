@@ -9,3 +9,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder; failures to ask are errors, not absence."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
