@@ -70,7 +70,8 @@ def chunk_phrases(spark: SparkSession, d: str) -> DataFrame:
 def doc_names(spark: SparkSession, d: str) -> DataFrame:
     """``(id, buffer, names)``: the first ten identifiers of every document."""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
-    names = F.filter(F.regexp_extract_all(plain, F.lit(S.IDENTIFIER), 1), lambda x: F.length(x) >= 3)
+    identifier = S.IDENTIFIER.replace("+", "++")  # the same names, without going back within one
+    names = F.filter(F.regexp_extract_all(plain, F.lit(identifier), 1), lambda x: F.length(x) >= 3)
     return documents(spark, d).select("id", "buffer", F.slice(F.sort_array(F.array_distinct(F.transform(names, F.lower))), 1, 10).alias("names"))
 
 

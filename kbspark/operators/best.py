@@ -22,6 +22,8 @@ from kbspark.operators import search as S
 
 #: Queries that pass over the documents together; documents a task scores at once; digits of a score.
 QUERIES, ROWS, DIGITS = 50_000, 20_000, 6
+#: Terms whose values a task keeps for all documents of a table; hits a task gathers before it keeps the best of them only.
+SPREAD, KEPT = 256, 300_000
 
 
 def repeated(items: DataFrame) -> bool:
@@ -49,11 +51,24 @@ def _column(items: pa.Table, name: str) -> pa.Array:
 
 def _scorer(sets: list[np.ndarray], weights: np.ndarray, read: Callable, k: int, mode: str, by_buffer: bool):
     """The k best items of each question in a shard. ``read`` gives row, term and value of what a table of items holds, each row and term once."""
-    scale = 10.0**DIGITS
+    scale, tiny = 10.0**DIGITS, np.nextafter(0.0, 1.0)
+
+    def best_of(kept: list[pa.RecordBatch], low: np.ndarray, whole: np.ndarray) -> list[pa.RecordBatch]:
+        """The k best of each question of what was found so far; ``low`` follows them."""
+        got = pa.Table.from_batches(kept)
+        q, full = np.asarray(got["q"]), np.asarray(got["full"])
+        got = got.filter(pa.array((np.asarray(got["score"]) >= low[q]) & (full | ~whole[q])))
+        got = got.take(pc.sort_indices(got, [("q", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+        q = np.asarray(got["q"])
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = np.flatnonzero(rank == k - 1)
+        low[q[last]] = np.asarray(got["score"])[last]
+        return got.filter(pa.array(rank < k)).combine_chunks().to_batches(max_chunksize=ROWS)
 
     def run(batches):
         least: dict = {}  # of each buffer, what the k-th of every question has so far
         whole = np.zeros(len(sets), bool)  # questions with an item that has all terms
+        kept, least_kept = [], 0  # what was found, and its rows when it was last gone through
         for items in _tables(batches, ROWS):
             bounds, names = np.array([0, items.num_rows]), [None]
             if by_buffer:
@@ -68,45 +83,69 @@ def _scorer(sets: list[np.ndarray], weights: np.ndarray, read: Callable, k: int,
             order = np.argsort(term, kind="stable")
             row, value = row[order], value[order] * weights[term[order]]
             start = np.searchsorted(term[order], np.arange(len(weights) + 1))
-            score, n_hit, found = np.zeros(len(ids)), np.zeros(len(ids), np.int32), []
+            score, found, held = np.zeros(len(ids)), [], {}
+
+            def values(t: int) -> np.ndarray:
+                """What a term has in every row, NaN where it is missing."""
+                if (x := held.get(t)) is None:
+                    x = np.full(len(ids), np.nan)
+                    x[row[start[t] : start[t + 1]]] = value[start[t] : start[t + 1]]
+                    if len(held) < SPREAD:
+                        held[t] = x
+                return x
+
             for q, terms in enumerate(sets):
                 parts = [slice(start[t], start[t + 1]) for t in terms if start[t] < start[t + 1]]
                 if not parts:
                     continue
-                score.fill(0)
-                for p in parts:
-                    score[row[p]] += value[p]
                 full = mode != "or" and len(terms) == 1
                 if mode != "or" and len(terms) > 1:
-                    n_hit.fill(0)
-                    for p in parts:
-                        n_hit[row[p]] += 1
-                    all_ = n_hit == len(terms)
-                    if not whole[q] and all_.any():
-                        whole[q] = True
-                        for x in least.values():
-                            x[q] = 0
+                    at, x = np.array([], np.int64), np.array([])
+                    if len(parts) == len(terms):
+                        at = row[min(parts, key=lambda p: p.stop - p.start)]
+                        x = sum(values(t)[at] for t in terms)  # NaN without one of the terms
+                        if not whole[q] and not np.isnan(x).all():
+                            whole[q] = True
+                            for y in least.values():
+                                y[q] = 0
                     full = mode == "and" or bool(whole[q])
-                    if full:
-                        score[~all_] = 0
-                for g, name in enumerate(names):
-                    low = least.setdefault(name, np.zeros(len(sets)))
-                    x = score[bounds[g] : bounds[g + 1]]
-                    at = np.flatnonzero((x > 0) & (x >= low[q] - 1 / scale))
-                    r = np.floor(x[at] * scale + 0.5) / scale
-                    at, r = at[r >= low[q]], r[r >= low[q]]
-                    if len(at) >= k:
+                lows = [least.setdefault(name, np.zeros(len(sets))) for name in names]
+                floor = max(min(y[q] for y in lows) - 1 / scale, tiny)
+                if full and len(terms) > 1:
+                    most = x >= floor
+                    at, x = at[most], x[most]
+                else:
+                    score.fill(0)
+                    for p in parts:
+                        score[row[p]] += value[p]
+                    at = np.flatnonzero(score >= floor)
+                    x = score[at]
+                rounded = np.floor(x * scale + 0.5) / scale
+                cuts = np.searchsorted(at, bounds)
+                for g, low in enumerate(lows):
+                    at_, r = at[cuts[g] : cuts[g + 1]], rounded[cuts[g] : cuts[g + 1]]
+                    at_, r = at_[r >= low[q]], r[r >= low[q]]
+                    if len(at_) >= k:
                         low[q] = np.partition(r, len(r) - k)[len(r) - k]
                         above, tied = np.flatnonzero(r > low[q]), np.flatnonzero(r == low[q])
                         left = k - len(above)
-                        tied = tied[np.argsort(place[bounds[g] + at[tied]])[:left]]
+                        tied = tied[np.argpartition(place[at_[tied]], left - 1)[:left]]
                         some = np.concatenate([above, tied])
-                        at, r = at[some], r[some]
-                    if len(at):
-                        found.append((np.full(len(at), q, np.int32), bounds[g] + at, r, np.full(len(at), full)))
+                        at_, r = at_[some], r[some]
+                    if len(at_):
+                        found.append((np.full(len(at_), q, np.int32), at_, r, np.full(len(at_), full)))
             if found:
                 q, at, r, full = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q), ids.take(pa.array(at)), _column(items, "buffer").take(pa.array(at)), pa.array(r), pa.array(full)], ["q", "id", "buffer", "score", "full"])
+                part = pa.RecordBatch.from_arrays([pa.array(q), ids.take(pa.array(at)), _column(items, "buffer").take(pa.array(at)), pa.array(r), pa.array(full)], ["q", "id", "buffer", "score", "full"])
+                if by_buffer:
+                    yield part
+                    continue
+                kept.append(part)
+                if sum(x.num_rows for x in kept) > max(KEPT, 2 * least_kept):
+                    kept = best_of(kept, least[None], whole)
+                    least_kept = sum(x.num_rows for x in kept)
+        if kept:
+            yield from best_of(kept, least[None], whole)
 
     return run
 

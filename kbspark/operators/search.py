@@ -167,20 +167,20 @@ def _phrase(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " "))
 
 
-def _tails(name: Column) -> Column:
-    """What stands in a name from each of its words on."""
-    words = F.split(_phrase(name), " ")
-    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
+def _tails(names: Column) -> Column:
+    """What stands in each of some names from each of its words on."""
+    words = F.transform(names, lambda x: F.split(_phrase(x), " "))  # once per name
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, F.size(w)), " "))))
 
 
 def entity_phrases(index: DataFrame) -> DataFrame:
     """``(id, buffer, phrase)``: what stands in a name from each of its words on, so that a phrase within it is a prefix here."""
-    return index.select("id", "buffer", F.explode_outer(F.array_distinct(_tails(F.col("entity")))).alias("phrase")).where("phrase <> ''").distinct()
+    return index.select("id", "buffer", F.explode_outer(F.array_distinct(_tails(F.array("entity")))).alias("phrase")).where("phrase <> ''").distinct()
 
 
 def phrase_lists(named: DataFrame) -> DataFrame:
     """``(id, buffer, phrases)`` of ``(id, buffer, names)``: the same phrases in one row per item; nothing is shuffled."""
-    phrases = F.array_distinct(F.filter(F.flatten(F.transform("names", _tails)), lambda x: x != ""))
+    phrases = F.array_distinct(F.filter(_tails(F.col("names")), lambda x: x != ""))
     return named.select("id", "buffer", phrases.alias("phrases"))
 
 
