@@ -6,7 +6,7 @@ list is one group. Null texts count as empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -16,18 +16,35 @@ from kbspark.functions import text as T
 CUT_LEAST = 100
 
 
-def budget_with_cut(results: DataFrame, most: int) -> DataFrame:
-    """Results while they fit; the first that does not is cut to what is left, if that is worth it; then no more."""
+def tokens(text: Column) -> Column:
+    """What a text takes of a budget."""
+    return T.tokens_by_words(F.coalesce(text, F.lit("")))
+
+
+def fitted(sizes: DataFrame, most: int) -> DataFrame:
+    """Which results fit, by their ``tokens``; texts are not needed. Adds ``was_cut`` and what was ``left`` for each.
+
+    Results are taken while they fit; the first that does not is cut to what is left, if that is worth it; then no more.
+    """
     w = W.partitionBy("query_id").orderBy("rank")
-    r = results.withColumn("tokens", T.tokens_by_words(F.coalesce("text", F.lit(""))))
-    r = r.withColumn("before", F.coalesce(F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    r = sizes.withColumn("before", F.coalesce(F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     fits, left = F.col("before") + F.col("tokens") <= most, F.lit(most) - F.col("before")
-    words = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda x: x != "")
-    cut = F.array_join(F.slice(words, 1, F.floor(F.greatest(left, F.lit(0)) / 1.3).cast("int")), " ")
-    r = r.withColumns({"was_cut": ~fits, "kept": F.when(fits, F.col("text")).otherwise(cut)})
+    r = r.withColumns({"was_cut": ~fits, "left": left})
     return r.where(fits | ((F.col("before") < most) & (left > CUT_LEAST))).drop("before")
 
 
+def kept(text: Column, was_cut: Column, left: Column) -> Column:
+    """What is kept of the text of a result that is ``fitted``."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda x: x != "")
+    return F.when(~was_cut, text).otherwise(F.array_join(F.slice(words, 1, F.floor(F.greatest(left, F.lit(0)) / 1.3).cast("int")), " "))
+
+
+def budget_with_cut(results: DataFrame, most: int) -> DataFrame:
+    """Results that are ``fitted``, with what is ``kept`` of each."""
+    r = fitted(results.withColumn("tokens", tokens(F.col("text"))), most)
+    return r.withColumn("kept", kept(F.col("text"), F.col("was_cut"), F.col("left"))).drop("left")
+
+
 def budget_with_skip(results: DataFrame, most: int) -> DataFrame:
     """Results in order, each that does not fit left out while later smaller ones may still be taken; bytes over four."""
     r = results.withColumn("tokens", T.tokens_by_bytes_floor(F.coalesce("text", F.lit(""))))

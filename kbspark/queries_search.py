@@ -298,13 +298,16 @@ def decay_rerank(spark: SparkSession, d: str) -> DataFrame:
 # -- context ------------------------------------------------------------------------------------------------------------
 
 
+def _with_texts(spark: SparkSession, d: str, rows: DataFrame, most: int) -> DataFrame:
+    """Rows with an ``id``, at most so many, and the path and text of each; they are broadcast unless they are many."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    return (F.broadcast(rows) if most <= D.BROADCAST_IDS else rows).join(docs, "id")
+
+
 def _results(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
-    """The k best documents of each query with their texts; the lists are made once, and broadcast unless they are long."""
+    """The k best documents of each query with their texts; the lists are made once."""
     lists = cut_lineage(_bm_list(spark, d, k).drop("buffer"))
-    if lists.count() <= D.BROADCAST_IDS:
-        lists = F.broadcast(lists)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
-    return lists.join(docs, "id").select("query_id", "rank", "id", "path", "text", "score")
+    return _with_texts(spark, d, lists, lists.count()).select("query_id", "rank", "id", "path", "text", "score")
 
 
 _RES = f"res AS (SELECT t.query_id, t.rank, t.id, source || '/' || CAST(t.id AS VARCHAR) AS path, text, t.score FROM ({_FB}) t JOIN documents ON doc_id = t.id)"
@@ -317,7 +320,15 @@ SELECT query_id, id, tokens, before + tokens > 3000 AS was_cut, sha256(CASE WHEN
 FROM c WHERE before + tokens <= 3000 OR (before < 3000 AND 3000 - before > 100)"""
 )
 def token_budget_truncate(spark: SparkSession, d: str) -> DataFrame:
-    return X.budget_with_cut(_results(spark, d), 3000).select("query_id", "id", "tokens", "was_cut", T.content_hash(F.col("kept")).alias("kept"))
+    """What fits is decided by sizes; the texts that are kept meet their rows by broadcast and are not shuffled."""
+    lists = cut_lineage(_bm_list(spark, d, 30).select("query_id", "rank", "id"))
+    n = lists.count()
+    sizes = cut_lineage(_with_texts(spark, d, lists, n).select("query_id", "rank", "id", X.tokens(F.col("text")).alias("tokens")))
+    if sizes.count() > n:  # an id with several texts: each goes on with its own
+        r = X.budget_with_cut(_with_texts(spark, d, lists, n), 3000)
+    else:
+        r = _with_texts(spark, d, X.fitted(sizes, 3000), n).withColumn("kept", X.kept(F.col("text"), F.col("was_cut"), F.col("left")))
+    return r.select("query_id", "id", "tokens", "was_cut", T.content_hash(F.col("kept")).alias("kept"))
 
 
 @query(
