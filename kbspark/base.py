@@ -51,11 +51,11 @@ def text_index(spark: SparkSession, d: str) -> I.Index:
     return _OPEN[path]
 
 
-def doc_phrases(spark: SparkSession, d: str) -> DataFrame:
+def doc_phrases(spark: SparkSession, d: str, most: int | None = 10) -> DataFrame:
     """The stored names in documents, in a row each; written by the first query that needs them."""
-    path = stored(spark, d, "phrases")
+    path = stored(spark, d, "phrases" if most is None else f"phrases_{most}")
     if not exists(spark, f"{path}/_SUCCESS"):
-        S.phrase_lists(doc_names(spark, d)).write.mode("overwrite").parquet(path)
+        S.phrase_lists(doc_names(spark, d, most)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -67,12 +67,13 @@ def chunk_phrases(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def doc_names(spark: SparkSession, d: str) -> DataFrame:
-    """``(id, buffer, names)``: the first ten identifiers of every document."""
+def doc_names(spark: SparkSession, d: str, most: int | None = 10) -> DataFrame:
+    """``(id, buffer, names)``: the first ``most`` identifiers of every document, all if it is None."""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
     identifier = S.IDENTIFIER.replace("+", "++")  # the same names, without going back within one
-    names = F.filter(F.regexp_extract_all(plain, F.lit(identifier), 1), lambda x: F.length(x) >= 3)
-    return documents(spark, d).select("id", "buffer", F.slice(F.sort_array(F.array_distinct(F.transform(names, F.lower))), 1, 10).alias("names"))
+    found = F.filter(F.regexp_extract_all(plain, F.lit(identifier), 1), lambda x: F.length(x) >= 3)
+    names = F.array_distinct(F.transform(found, F.lower))
+    return documents(spark, d).select("id", "buffer", (names if most is None else F.slice(F.sort_array(names), 1, most)).alias("names"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:

@@ -259,12 +259,14 @@ def rrf_cross_project(spark: SparkSession, d: str) -> DataFrame:
 
 _DENT = "dent AS (SELECT doc_id AS id, source AS buffer, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g'), '" + S.IDENTIFIER + "', 1), lambda x: length(x) >= 3), lambda x: lower(x))))[1:10] AS es FROM documents)"
 _DEH = f"{_DENT}, {_EQ}, {_entity_hits_sql('dent')}"
+_ALL = _DEH.replace("[1:10] AS es", " AS es")
 
 
 def _hybrid(tier: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         lexical = _bm_list(spark, d, 30)
-        entity = by_entities(D.entity_queries(spark, d), D.doc_phrases(spark, d), 30) if tier != "fts" else None
+        names = None if tier == "entity" else 10
+        entity = by_entities(D.entity_queries(spark, d), D.doc_phrases(spark, d, names), 30) if tier != "fts" else None
         vector = S.vector_search(D.vector_queries(spark, d), D.vectors(spark, d), 60, exclude_self=False) if tier == "vector" else None
         return S.hybrid(lexical, entity, vector).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -273,7 +275,7 @@ def _hybrid(tier: str):
 
 QUERIES |= {f"hybrid_{t}": _hybrid(t) for t in ("fts", "entity", "vector")}
 SQL["hybrid_fts"] = f"WITH {_BM25} " + _rrf_sql(_FB)
-SQL["hybrid_entity"] = f"WITH {_BM25}, {_DEH} " + _rrf_sql(_FB, _ranked("SELECT query_id, id, score FROM eh", 30))
+SQL["hybrid_entity"] = f"WITH {_BM25}, {_ALL} " + _rrf_sql(_FB, _ranked("SELECT query_id, id, score FROM eh", 30))
 SQL["hybrid_vector"] = f"WITH {_BM25}, {_DEH}, {_VL} " + _rrf_sql(_FB, _ranked("SELECT query_id, id, score FROM eh", 30), _ranked("SELECT * FROM vl", 60))
 
 
